@@ -343,20 +343,22 @@ def stat_pages(customers: DataFrame, spec: TableSpec) -> DataFrame:
     table_tag = F.when(v == TERSE, F.lit("<TABLE id=")).otherwise(F.lit('<table class="stats" id='))
     table = F.concat(table_tag, table_id, F.lit(">"), header, body, F.lit("</table>"))
     # The advanced table of every second page sits in a comment below its wrapper.
-    commented = F.concat(F.lit("<!-- "), table, F.lit(" -->"))
+    shown = F.col("table_markup")
+    commented = F.concat(F.lit("<!-- "), shown, F.lit(" -->"))
     if advanced_page:
-        placed = F.when(v == WRONG_PLACE, F.concat(F.lit("</div><div>"), table)).when(
+        placed = F.when(v == WRONG_PLACE, F.concat(F.lit("</div><div>"), shown)).when(
             F.pmod(p, F.lit(2)) == 1, commented
-        ).otherwise(table)
+        ).otherwise(shown)
     else:
-        placed = F.when(v == WRONG_PLACE, commented).otherwise(table)
+        placed = F.when(v == WRONG_PLACE, commented).otherwise(shown)
     placed = F.when(v == NO_TABLE, F.lit("<p>Not found <b>today")).otherwise(placed)
     wrapper = F.when(F.col("is_playoff"), "all_advanced_stats").otherwise("all_advanced")
     html = F.concat(
         F.lit('<!DOCTYPE html><html><head><title>Stats</title><script>var a="<table id=totals_stats>";</script></head>'),
         F.lit('<body><p>Intro<div id="'), wrapper, F.lit('">'), placed, F.lit("</div></body></html>"),
     )
-    return stat_page_keys(customers, spec).select("page_id", "url", html.alias("html"))
+    keyed = stat_page_keys(customers, spec).withColumn("table_markup", table)
+    return keyed.select("page_id", "url", html.alias("html"))
 
 
 # Page variants of the shot feed, by customer key modulo 8.

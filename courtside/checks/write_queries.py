@@ -7,7 +7,7 @@ from datetime import datetime
 from pyspark.sql import functions as F
 
 from courtside.checks import feeds
-from courtside.checks.registry import columns, customers, events, query, stored_path, table
+from courtside.checks.registry import columns, customers, events, query, stored_path
 from courtside.operators import credentials as cred
 from courtside.operators.keyedtable import KeyedTable
 from courtside.operators.merge import (
@@ -37,9 +37,10 @@ _CASES = {
 
 
 def _full(spark, d, short):
-    if short == "shots":
-        return feeds.shots(events(spark, d))
-    return (feeds.totals if short == "totals" else feeds.advanced)(spark, d)
+    """The stored table with its soft-deleted rows."""
+    spec = _CASES[short][0]
+    rows = spark.read.schema(spec.schema).parquet(stored_path(spark, d, spec))
+    return rows.select(*spec.schema.names)
 
 
 def base_and_delta(spark, d, short):
@@ -316,9 +317,8 @@ def requests_with_key_id(spark, d):
        GROUP BY 1""",
 )
 def feeds_in_one_table(spark, d):
-    rows = table(spark, d, TOTALS)
-    full = feeds.totals(spark, d)
-    both = full.filter("is_playoff").unionByName(full.filter("NOT is_playoff").select(*rows.columns))
+    full = _full(spark, d, "totals")
+    both = full.filter("is_playoff").unionByName(full.filter("NOT is_playoff"))
     return both.groupBy("is_playoff").agg(F.count(F.lit(1)).alias("n"), F.sum("points").alias("points"))
 
 

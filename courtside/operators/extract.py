@@ -15,7 +15,6 @@ from courtside.functions.coerce import (
     fields,
     first_nonempty,
     first_nonzero,
-    lookup,
     strict_float,
     strict_int,
     trim_space,
@@ -92,11 +91,14 @@ def table_rows(extracted: DataFrame, spec: TableSpec) -> DataFrame:
     ``kind`` is ``malformed`` (more cells than headers), ``no_player`` or ``player``.
     """
     keyed = extracted.withColumn("keys", F.concat("headers", F.array(F.lit(APPENDED_KEY))))
-    exploded = keyed.select(
+    # Where each wanted key stands is worked out once per page, ahead of the explode.
+    places = [(F.array_position("keys", k) - 1).cast("int").alias(k) for k in _wanted_keys(spec)]
+    exploded = keyed.withColumn("place", F.struct(*places)).select(
         "page_id",
         "season",
         "is_playoff",
         "keys",
+        "place",
         (F.size(F.array_distinct("keys")) < F.size("keys")).alias("keys_repeat"),
         F.posexplode("rows").alias("row_idx", "row"),
     )
@@ -120,11 +122,15 @@ def table_rows(extracted: DataFrame, spec: TableSpec) -> DataFrame:
         kind.alias("kind"),
         player.alias("player_id"),
         cells.alias("cells"),
-        "keys",
-        "keys_repeat",
+        F.when(F.col("keys_repeat"), F.col("keys")).alias("repeating_keys"),
+        "place",
     )
 
 
+def _wanted_keys(spec: TableSpec) -> list[str]:
+    return list(dict.fromkeys(key for keys in spec.page_keys.values() for key in keys))
+
+
 def cell_rows(extracted: DataFrame) -> DataFrame:
     """Long view: one row per cell, paired with its header key by position."""
     rows = extracted.select(
@@ -145,23 +151,36 @@ def cell_rows(extracted: DataFrame) -> DataFrame:
 
 
 def typed_rows(rows: DataFrame, spec: TableSpec) -> DataFrame:
-    """Player rows as typed table columns, driven by the table's page keys."""
-    mapped = rows.filter(F.col("kind") == "player").withColumn(
-        "data",
-        zip_last_wins(F.col("keys"), F.transform("cells", trim_space), F.col("keys_repeat")),
+    """Player rows as typed table columns, driven by the table's page keys.
+
+    A cell is read at its key's place. Only on pages that repeat a key is the row zipped
+    into a map first, since which repeat counts depends on the length of the row.
+    """
+    zipped = zip_last_wins(F.col("repeating_keys"), F.col("cells"), F.lit(True))
+    players = rows.filter(F.col("kind") == "player").withColumn(
+        "zipped", F.when(F.col("repeating_keys").isNotNull(), zipped)
     )
 
+    def text(key: str) -> Column:
+        shown = F.coalesce(
+            F.try_element_at(F.col("zipped"), F.lit(key)), F.get("cells", F.col(f"place.{key}")), F.lit("")
+        )
+        return trim_space(shown).alias(f"text_{key}")
+
+    kept = [c for c in spec.names if c not in spec.page_keys]
+    texts = players.select("page_id", *kept, *[text(key) for key in _wanted_keys(spec)])
+
     def value(column: str) -> Column:
         if column not in spec.page_keys:
             return F.col(column)
-        texts = [lookup(F.col("data"), key) for key in spec.page_keys[column]]
+        sources = [F.col(f"text_{key}") for key in spec.page_keys[column]]
         if spec.types[column] == LONG:
-            return first_nonzero(*[strict_int(text) for text in texts])
+            return first_nonzero(*[strict_int(text) for text in sources])
         if spec.types[column] == DOUBLE:
-            return strict_float(texts[0])
-        return first_nonempty(*texts)
+            return strict_float(sources[0])
+        return first_nonempty(*sources)
 
-    return mapped.select("page_id", *[value(c).alias(c) for c in spec.names])
+    return texts.select("page_id", *[value(c).alias(c) for c in spec.names])
 
 
 def extract_shots(pages: DataFrame) -> DataFrame:

@@ -2,7 +2,8 @@
 
 Files are never changed in place. A commit writes the partitions it touches into a new
 folder and then publishes a small list saying which folder holds each partition; readers
-use the newest published list. Untouched partitions are not read or rewritten.
+use the newest published list. Untouched partitions are not read or rewritten. A table takes one
+writer at a time; readers are never blocked.
 """
 
 from __future__ import annotations
@@ -10,7 +11,6 @@ from __future__ import annotations
 from datetime import datetime
 
 from py4j.protocol import Py4JError
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from courtside.operators.merge import merge_rows, unique_batch, with_audit
@@ -38,21 +38,29 @@ class KeyedTable:
         """Rows of one leading key share a bucket, so a small batch reaches few buckets."""
         return F.pmod(F.xxhash64(self.spec.keys[0]), F.lit(self.spec.buckets)).cast("int")
 
-    def _lists(self) -> DataFrame:
-        schema = T.StructType([*self._listing.fields, T.StructField("commit", T.LongType())])
-        try:
-            return self.spark.read.schema(schema).parquet(f"{self.root}/partitions")
-        except AnalysisException:
-            return empty_table(self.spark, schema)
-
     def version(self) -> int:
-        """Number of the newest published commit, 0 for a table that was never written."""
-        return self._lists().agg(F.coalesce(F.max("commit"), F.lit(0))).first()[0]
+        """Number of the newest published commit, 0 for a table that was never written.
+
+        Looks at folder names only; a list counts once its write is marked complete.
+        """
+        hadoop = self.spark.sparkContext._jvm.org.apache.hadoop.fs
+        folder = hadoop.Path(f"{self.root}/partitions")
+        files = folder.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        if not files.exists(folder):
+            return 0
+        names = [status.getPath().getName() for status in files.listStatus(folder)]
+        commits = sorted((int(n.split("=")[1]) for n in names if n.startswith("commit=")), reverse=True)
+        for commit in commits:
+            if files.exists(hadoop.Path(f"{self.root}/partitions/commit={commit}/_SUCCESS")):
+                return commit
+        return 0
 
     def partitions(self, version: int | None = None) -> DataFrame:
         """Partition -> commit folder. One row per partition, so always small."""
         version = self.version() if version is None else version
-        return self._lists().filter(F.col("commit") == version).drop("commit")
+        if version == 0:
+            return empty_table(self.spark, self._listing)
+        return self.spark.read.schema(self._listing).parquet(f"{self.root}/partitions/commit={version}")
 
     def read_all(self, version: int | None = None) -> DataFrame:
         """Every stored row, soft-deleted ones included."""
@@ -93,8 +101,9 @@ class KeyedTable:
         number = commit if commit is not None else current + 1
         stage = f"{self.root}/staging/commit={number}"
         fresh = with_audit(batch.select(*self.spec.names, *self._extra(batch, order)), stamp)
-        fresh.withColumn(BUCKET, self._bucket()).write.mode("overwrite").parquet(stage)
-        fresh = self.spark.read.parquet(stage)
+        fresh = fresh.withColumn(BUCKET, self._bucket())
+        fresh.write.mode("overwrite").parquet(stage)
+        fresh = self.spark.read.schema(fresh.schema).parquet(stage)
         touched = fresh.select(*self.parts).distinct()
         held = self.partitions(current)
         outcome = touched.join(held, self.parts, "left").collect()

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import accumulate
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from courtside.operators.statquery import StatQuery, matching, order_columns, response_rows
@@ -30,18 +32,23 @@ def _slice(rows: DataFrame, order, offset: int, limit: int) -> DataFrame:
 
 
 def after(order: list[tuple[str, bool]], boundary) -> Column:
-    """Rows strictly behind ``boundary`` (one value per order column, nulls last)."""
-    later, tied = F.lit(False), F.lit(True)
-    for (column, descending), value in zip(order, boundary):
-        col = F.col(column)
-        if value is None:
-            beyond = F.lit(False)
-        else:
-            beyond = (col < F.lit(value)) if descending else (col > F.lit(value))
-            beyond = beyond | col.isNull()
-        later = later | (tied & F.coalesce(beyond, F.lit(False)))
-        tied = tied & col.eqNullSafe(F.lit(value))
-    return later
+    """Rows strictly behind ``boundary``, one value per order column.
+
+    The leading column sorts either way with nulls last. The others are the natural key,
+    ascending and never null, so they compare as one struct.
+    """
+    (column, descending), value = order[0], boundary[0]
+    col, keys = F.col(column), [name for name, _ in order[1:]]
+    if value is None:
+        beyond = F.lit(False)
+    else:
+        beyond = ((col < F.lit(value)) if descending else (col > F.lit(value))) | col.isNull()
+    if not keys:
+        return F.coalesce(beyond, F.lit(False))
+    held = F.struct(*[F.lit(v).alias(k) for k, v in zip(keys, boundary[1:])])
+    return F.coalesce(beyond, F.lit(False)) | (
+        col.eqNullSafe(F.lit(value)) & (F.struct(*[F.col(k) for k in keys]) > held)
+    )
 
 
 def _not_before(order, boundary) -> Column:
@@ -65,36 +72,44 @@ def deep_slice(
 ) -> DataFrame:
     """Exact ``orderBy.offset.limit`` for any offset.
 
-    Each round draws a few pivot rows, counts the rows up to each pivot in one parallel
-    aggregate, and keeps only the stretch between the pivots that enclose the page. What
-    returns to the driver is one row per pivot and one row of counts.
+    Each round draws a few pivot rows, counts the rows between neighbouring pivots in one
+    parallel aggregate, and keeps only the stretch that holds the page. What returns to
+    the driver is the pivots and one count per stretch.
     """
     columns = [column for column, _ in order]
     region, round_no = rows, 0
     while offset > heap_rows:
         draw = F.xxhash64(F.lit(round_no), *[F.col(c) for c in columns])
-        pivots = [
-            tuple(pivot)
-            for pivot in region.select(*columns).orderBy(draw, *columns).limit(PIVOTS).collect()
-        ]
-        if not pivots:
-            return region.limit(0)
-        up_to = [F.sum(F.when(after(order, p), 0).otherwise(1)).alias(f"p{i}") for i, p in enumerate(pivots)]
-        *counts, held = region.agg(*up_to, F.count(F.lit(1)).alias("held")).first()
-        if offset >= held:
+        drawn = region.select(*columns).orderBy(draw, *columns).limit(PIVOTS)
+        pivots = [tuple(pivot) for pivot in drawn.orderBy(*order_columns(order)).collect()]
+        stretch = _pivots_passed(order, pivots, 0, len(pivots)).alias("stretch")
+        held = dict(region.groupBy(stretch).agg(F.count(F.lit(1))).collect())
+        if offset >= sum(held.values()):
             return region.limit(0)
-        below = [(n, p) for n, p in zip(counts, pivots) if n <= offset]
-        above = [(n, p) for n, p in zip(counts, pivots) if n >= offset + limit]
+        # Rows up to and including each pivot, in pivot order.
+        up_to = list(accumulate(held.get(i, 0) for i in range(len(pivots))))
+        below = [(n, p) for n, p in zip(up_to, pivots) if n <= offset]
+        above = [p for n, p in zip(up_to, pivots) if n >= offset + limit]
         if below:
-            skipped, pivot = max(below, key=lambda pair: pair[0])
+            skipped, pivot = below[-1]
             region = region.filter(_not_before(order, pivot) & after(order, pivot))
             offset -= skipped
         if above:
-            region = region.filter(~after(order, min(above, key=lambda pair: pair[0])[1]))
+            region = region.filter(~after(order, above[0]))
         round_no += 1
     return _slice(region, order, offset, limit)
 
 
+def _pivots_passed(order, pivots, low: int, high: int) -> Column:
+    """How many of the sorted pivots a row lies behind, by halving."""
+    if low == high:
+        return F.lit(low)
+    middle = (low + high) // 2
+    return F.when(after(order, pivots[middle]), _pivots_passed(order, pivots, middle + 1, high)).otherwise(
+        _pivots_passed(order, pivots, low, middle)
+    )
+
+
 def page_meta(rows: DataFrame, query: StatQuery) -> DataFrame:
     """One row: total, page, pageSize, pages. A plain aggregate, so counting is parallel."""
     size = F.lit(query.page_size).cast("bigint")

@@ -33,15 +33,23 @@ CLOSES_P = {
 }
 TABLE_PARTS = {"table", "tbody", "thead", "tfoot", "tr", "td", "th"}
 
+_ATTRS = r"(?>=\s*(?>\"[^\"]*\"|'[^']*'|[^\s>]*)|[^>=]+)*+"
+# One match per token: the text before it, then a comment, a raw-text element with its
+# body, a tag, other markup, or a lone "<" that belongs to the text.
 TOKEN = re.compile(
-    r"<!--(?:>|->|(?P<comment>.*?)(?:--!?>|\Z))"
-    r"|<(?P<close>/?)(?P<tag>[A-Za-z][^\s/>]*)"
-    r"(?P<attrs>(?>=\s*(?>\"[^\"]*\"|'[^']*'|[^\s>]*)|[^>=]+)*+)>"
-    r"|<[!?/][^>]*>",
-    re.S,
+    r"([^<]*)(?:"
+    r"(<!--)(?:>|->|(.*?)(?:--!?>|\Z))"
+    rf"|<({'|'.join(sorted(RAW_TEXT))})(?=[\s/>])({_ATTRS})>(.*?)(?:</\4\s*>|\Z)"
+    rf"|<(/?)([a-z][^\s/>]*)({_ATTRS})>"
+    r"|<[!?/][^>]*>"
+    r"|(<)|\Z)",
+    re.S | re.I,
 )
 ATTRIBUTE = re.compile(r"([^\s/>=][^\s/>=]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]*)))?")
 
+# Fixed value: the cell attribute that carries the player's id.
+PLAYER_ATTRIBUTE = "data-append-csv"
+
 
 class Element:
     __slots__ = ("tag", "source", "children", "parent", "_attrs")
@@ -59,19 +67,26 @@ class Element:
                 self._attrs.setdefault(name.lower(), unescape(double or single or bare))
         return self._attrs
 
-    def walk(self, comments: bool = False):
-        """Descendant elements (or comments) in document order, at any nesting depth."""
-        pending = [iter(self.children)]
+    def walk(self) -> list[Element]:
+        """Descendant elements in document order, at any nesting depth."""
+        found, pending = [], self.children[::-1]
+        while pending:
+            node = pending.pop()
+            if type(node) is Element:
+                found.append(node)
+                if node.children:
+                    pending += node.children[::-1]
+        return found
+
+    def comments(self):
+        """Comments below this element in document order."""
+        pending = self.children[::-1]
         while pending:
-            child = next(pending[-1], None)
-            if child is None:
-                pending.pop()
-            elif isinstance(child, Element):
-                if not comments:
-                    yield child
-                pending.append(iter(child.children))
-            elif comments and isinstance(child, Comment):
-                yield child
+            node = pending.pop()
+            if type(node) is Element:
+                pending.extend(node.children[::-1])
+            elif type(node) is Comment:
+                yield node
 
     def inside(self, tag: str) -> bool:
         node = self.parent
@@ -82,15 +97,13 @@ class Element:
     def text(self) -> str:
         if len(self.children) == 1 and type(self.children[0]) is str:
             return self.children[0]
-        found, pending = [], [iter(self.children)]
+        found, pending = [], self.children[::-1]
         while pending:
-            child = next(pending[-1], None)
-            if child is None:
-                pending.pop()
-            elif isinstance(child, Element):
-                pending.append(iter(child.children))
-            elif not isinstance(child, Comment):
-                found.append(child)
+            node = pending.pop()
+            if type(node) is Element:
+                pending.extend(node.children[::-1])
+            elif type(node) is str:
+                found.append(node)
         return "".join(found)
 
     def classes(self) -> list[str]:
@@ -113,35 +126,28 @@ def _unwind(current: Element, closed: set, boundary: set) -> Element:
 
 def parse(markup: str) -> Element:
     root = current = Element("", "", None)
-    position, end = 0, len(markup)
-    while position < end:
-        token = TOKEN.search(markup, position)
-        if token is None:
-            break
-        if token.start() > position:
-            current.children.append(unescape(markup[position : token.start()]))
-        position = token.end()
-        tag = token["tag"]
-        if tag is None:
-            if token[0].startswith("<!--"):
-                current.children.append(Comment(token["comment"] or ""))
-            continue
-        tag = tag.lower()
-        if token["close"]:
-            current = _close(current, tag)
-            continue
-        current = _prepare(current, tag)
-        element = Element(tag, token["attrs"], current)
-        current.children.append(element)
-        if tag in RAW_TEXT:
-            stop = re.compile(rf"</{tag}\s*>", re.I).search(markup, position)
-            body = markup[position : stop.start() if stop else end]
-            element.children.append(unescape(body) if tag in ("title", "textarea") else body)
-            position = stop.end() if stop else end
-        elif tag not in VOID:
-            current = element
-    if position < end:
-        current.children.append(unescape(markup[position:]))
+    for text, bang, comment, raw, raw_attrs, body, close, tag, attrs, lone in TOKEN.findall(markup):
+        if text or lone:
+            text += lone
+            current.children.append(unescape(text) if "&" in text else text)
+        if tag:
+            tag = tag.lower()
+            if close:
+                current = _close(current, tag)
+                continue
+            if tag in CLOSED_BY or tag in CLOSES_P:
+                current = _prepare(current, tag)
+            element = Element(tag, attrs, current)
+            current.children.append(element)
+            if tag not in VOID:
+                current = element
+        elif bang:
+            current.children.append(Comment(comment))
+        elif raw:
+            raw = raw.lower()
+            element = Element(raw, raw_attrs, current)
+            element.children.append(unescape(body) if raw in ("title", "textarea") else body)
+            current.children.append(element)
     return root
 
 
@@ -149,7 +155,7 @@ def _prepare(current: Element, tag: str) -> Element:
     """End what the new tag implicitly ends, and add the implied table parts."""
     if tag in CLOSED_BY:
         current = _unwind(current, *CLOSED_BY[tag])
-    elif tag in CLOSES_P:
+    else:
         current = _unwind(current, {"p"}, {"table", "td", "th"})
     if tag == "tr" and current.tag == "table":
         current = _open_implied(current, "tbody")
@@ -196,13 +202,13 @@ def stat_table(markup: str, table_id: str, wrapper_id: str | None) -> dict:
             tables = _tables(parse(hidden[0]), table_id, None)
     if not tables:
         return {"status": "no_table", "headers": [], "rows": []}
+    inner = [element for table in tables for element in table.walk()]
     headers = [
         cell.attrs["data-stat"]
-        for table in tables
-        for cell in table.walk()
-        if cell.tag == "th" and cell.attrs.get("data-stat") and cell.inside("tr") and cell.inside("thead")
+        for cell in inner
+        if cell.tag == "th" and cell.inside("thead") and cell.inside("tr") and cell.attrs.get("data-stat")
     ]
-    rows = [_row(tr) for table in tables for tr in table.walk() if tr.tag == "tr" and tr.inside("tbody")]
+    rows = [_row(tr) for tr in inner if tr.tag == "tr" and tr.inside("tbody")]
     return {"status": "ok", "headers": headers, "rows": rows}
 
 
@@ -223,7 +229,10 @@ def _row(tr: Element) -> dict:
     return {
         "row_class": tr.attrs.get("class", ""),
         "cells": [cell.text() for cell in cells],
-        "append_csv": [cell.attrs.get("data-append-csv") for cell in cells],
+        "append_csv": [
+            cell.attrs.get(PLAYER_ATTRIBUTE) if PLAYER_ATTRIBUTE in cell.source.lower() else None
+            for cell in cells
+        ],
     }
 
 
@@ -239,7 +248,7 @@ def shot_tooltips(markup: str) -> dict:
         "",
     )
     outcome = {"status": "no_comment", "player_name": name, "tooltips": []}
-    chart = next((c for c in root.walk(comments=True) if 'id="div_shot-chart"' in c), None)
+    chart = next((c for c in root.comments() if 'id="div_shot-chart"' in c), None)
     if chart is None:
         return outcome
     wrappers = [
