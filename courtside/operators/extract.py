@@ -18,7 +18,6 @@ from courtside.functions.coerce import (
     strict_float,
     strict_int,
     trim_space,
-    zip_last_wins,
 )
 from courtside.functions.text import has_class_token, pixels
 from courtside.schemas import ADVANCED, DOUBLE, LONG, SHOTS, TOTALS, TableSpec
@@ -91,44 +90,61 @@ def table_rows(extracted: DataFrame, spec: TableSpec) -> DataFrame:
     ``kind`` is ``malformed`` (more cells than headers), ``no_player`` or ``player``.
     """
     keyed = extracted.withColumn("keys", F.concat("headers", F.array(F.lit(APPENDED_KEY))))
-    # Where each wanted key stands is worked out once per page, ahead of the explode.
-    places = [(F.array_position("keys", k) - 1).cast("int").alias(k) for k in _wanted_keys(spec)]
-    exploded = keyed.withColumn("place", F.struct(*places)).select(
+    exploded = keyed.withColumn("places", _places(F.col("keys"), wanted_keys(spec))).select(
         "page_id",
         "season",
         "is_playoff",
-        "keys",
-        "place",
-        (F.size(F.array_distinct("keys")) < F.size("keys")).alias("keys_repeat"),
+        F.size("keys").alias("n_keys"),
+        "places",
         F.posexplode("rows").alias("row_idx", "row"),
     )
-    cls = F.col("row.row_class")
+    cls, cells = F.col("row.row_class"), F.col("row.cells")
     repeated = cls.contains("thead") if spec is TOTALS else has_class_token(cls, "thead")
-    keys = F.col("keys")
-    cells = F.col("row.cells")
-    player = F.try_element_at(
-        F.filter(F.col("row.append_csv"), lambda value: value.isNotNull()), F.lit(-1)
-    )
-    kind = (
-        F.when(F.size(cells) > F.size(keys), "malformed")
-        .when(F.coalesce(player, F.lit("")) == "", "no_player")
-        .otherwise("player")
-    )
-    return exploded.filter(~repeated).select(
+    given = exploded.filter(~repeated).select(
         "page_id",
         "season",
         "is_playoff",
         "row_idx",
-        kind.alias("kind"),
-        player.alias("player_id"),
+        "n_keys",
+        "places",
+        F.try_element_at(
+            F.filter("row.append_csv", lambda value: value.isNotNull()), F.lit(-1)
+        ).alias("player_id"),
         cells.alias("cells"),
-        F.when(F.col("keys_repeat"), F.col("keys")).alias("repeating_keys"),
-        "place",
     )
+    kind = (
+        F.when(F.size("cells") > F.col("n_keys"), "malformed")
+        .when(F.coalesce("player_id", F.lit("")) == "", "no_player")
+        .otherwise("player")
+    )
+    return given.select(
+        "page_id", "season", "is_playoff", "row_idx", kind.alias("kind"), "player_id", "cells", "places"
+    )
+
+
+def wanted_keys(spec: TableSpec) -> dict[str, list[str]]:
+    """Page keys to look up, by the kind of column they fill."""
+    found: dict[str, list[str]] = {"long": [], "double": [], "text": []}
+    for column, keys in spec.page_keys.items():
+        kind = _kind(spec, column)
+        found[kind] += [key for key in keys if key not in found[kind]]
+    return found
 
 
-def _wanted_keys(spec: TableSpec) -> list[str]:
-    return list(dict.fromkeys(key for keys in spec.page_keys.values() for key in keys))
+def _kind(spec: TableSpec, column: str) -> str:
+    return {LONG: "long", DOUBLE: "double"}.get(spec.types[column], "text")
+
+
+def _places(keys: Column, wanted: dict[str, list[str]]) -> Column:
+    """Where each wanted key stands among the headers, worked out once per page.
+
+    A key has one place, or several on pages that repeat it; -1 when it is missing.
+    """
+    names = F.array(*[F.lit(key) for group in wanted.values() for key in group])
+    every = F.sequence(F.lit(0), F.size(keys) - 1)
+    several = F.transform(names, lambda name: F.filter(every, lambda i: F.get(keys, i) == name))
+    one = F.transform(names, lambda name: F.array((F.array_position(keys, name) - 1).cast("int")))
+    return F.when(F.size(F.array_distinct(keys)) < F.size(keys), several).otherwise(one)
 
 
 def cell_rows(extracted: DataFrame) -> DataFrame:
@@ -153,34 +169,36 @@ def cell_rows(extracted: DataFrame) -> DataFrame:
 def typed_rows(rows: DataFrame, spec: TableSpec) -> DataFrame:
     """Player rows as typed table columns, driven by the table's page keys.
 
-    A cell is read at its key's place. Only on pages that repeat a key is the row zipped
-    into a map first, since which repeat counts depends on the length of the row.
+    Cells are picked and coerced as arrays, one per kind of column, which keeps the
+    generated code small enough to be compiled. Of repeated keys the last one that the
+    row is long enough to fill counts; a missing cell reads as empty text.
     """
-    zipped = zip_last_wins(F.col("repeating_keys"), F.col("cells"), F.lit(True))
-    players = rows.filter(F.col("kind") == "player").withColumn(
-        "zipped", F.when(F.col("repeating_keys").isNotNull(), zipped)
-    )
+    wanted = wanted_keys(spec)
+    players = rows.filter(F.col("kind") == "player")
 
-    def text(key: str) -> Column:
-        shown = F.coalesce(
-            F.try_element_at(F.col("zipped"), F.lit(key)), F.get("cells", F.col(f"place.{key}")), F.lit("")
-        )
-        return trim_space(shown).alias(f"text_{key}")
+    def picked(places: Column) -> Column:
+        filled = F.filter(places, lambda place: place < F.size("cells"))
+        place = F.when(F.size(places) == 1, F.get(places, F.lit(0))).otherwise(F.array_max(filled))
+        return trim_space(F.coalesce(F.get("cells", place), F.lit("")))
+
+    def part(kind: str, coerce=None) -> Column:
+        start = 1 + sum(len(wanted[k]) for k in list(wanted)[: list(wanted).index(kind)])
+        texts = F.slice("texts", F.lit(start), F.lit(len(wanted[kind])))
+        return (F.transform(texts, coerce) if coerce else texts).alias(kind)
 
     kept = [c for c in spec.names if c not in spec.page_keys]
-    texts = players.select("page_id", *kept, *[text(key) for key in _wanted_keys(spec)])
+    values = players.select("page_id", *kept, F.transform("places", picked).alias("texts")).select(
+        "page_id", *kept, part("long", strict_int), part("double", strict_float), part("text")
+    )
 
     def value(column: str) -> Column:
         if column not in spec.page_keys:
             return F.col(column)
-        sources = [F.col(f"text_{key}") for key in spec.page_keys[column]]
-        if spec.types[column] == LONG:
-            return first_nonzero(*[strict_int(text) for text in sources])
-        if spec.types[column] == DOUBLE:
-            return strict_float(sources[0])
-        return first_nonempty(*sources)
-
-    return texts.select("page_id", *[value(c).alias(c) for c in spec.names])
+        kind = _kind(spec, column)
+        found = [F.get(kind, F.lit(wanted[kind].index(key))) for key in spec.page_keys[column]]
+        return first_nonempty(*found) if kind == "text" else first_nonzero(*found)
+
+    return values.select("page_id", *[value(c).alias(c) for c in spec.names])
 
 
 def extract_shots(pages: DataFrame) -> DataFrame:

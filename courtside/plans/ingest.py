@@ -42,7 +42,7 @@ def ingest_stat_pages(pages: DataFrame, tasks: DataFrame, spec: TableSpec) -> In
     clean, rejected = split_duplicate_batches(typed, "page_id", list(spec.keys))
     return Ingested(
         rows=clean,
-        malformed=body.filter(F.col("kind") == "malformed").drop("repeating_keys", "place"),
+        malformed=body.filter(F.col("kind") == "malformed").drop("places"),
         page_status=extracted.select("page_id", "season", "is_playoff", "status"),
         rejected_pages=rejected,
     )
