@@ -12,7 +12,7 @@ from courtside.schemas import TableSpec
 # Up to this many rows one bounded heap per task serves the page; beyond it the page
 # is located by narrowing the sort range first (same rows, no long prefix in one task).
 HEAP_ROWS = 100_000
-PIVOTS = 32
+PIVOTS = 16
 
 
 def page_rows(
