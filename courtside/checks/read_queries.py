@@ -353,7 +353,12 @@ def json_rows_shots(spark, d):
     return json_rows(table(spark, d, SHOTS), SHOTS).select(F.from_json("json", shape).alias("r")).select("r.*")
 
 
-@query("json_rows_credentials")
+@query(
+    "json_rows_credentials",
+    "SELECT id, base64(unhex(hash)) AS hash, label, revoked FROM lg_keys WHERE revoked_at IS NULL",
+)
 def json_rows_credentials(spark, d):
     keys = feeds.credentials(spark, d).withColumn("hash", F.unhex("hash"))
-    return listed_credentials(keys).select(F.to_json(F.struct("*")).alias("json"))
+    encoded = listed_credentials(keys).select(F.to_json(F.struct("*")).alias("json"))
+    shape = "id bigint, hash string, label string, revoked boolean"
+    return encoded.select(F.from_json("json", shape).alias("r")).select("r.*")
