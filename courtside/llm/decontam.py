@@ -149,7 +149,7 @@ class _Segment:
         self.low = np.where(known & (at > 0), self.ends[np.maximum(at, 1) - 1] if len(held) else 0, 0)
         self.high = np.where(known, self.ends[np.minimum(at, len(held) - 1)] if len(held) else 0, 0)
         self.high = np.maximum(self.high, self.low)
-        self.counts = np.where(known, self.high - self.low, 0)
+        self.counts = np.where(known, self.high - self.low, 0).astype(np.int64)
 
     def postings(self, term: int) -> np.ndarray:
         return self.positions[self.low[term] : self.high[term]]

@@ -29,7 +29,8 @@ ORDINARY = r"[A-Za-z0-9_-]{6,}"
 SAMPLE_WORDS = 50_000
 SAMPLE_DOCS = 4_000
 # Mean log-likelihood ratio a step, above which a candidate counts as random.
-MARGIN = 0.6
+MARGIN = 0.25
+BACKING = 5.0
 # Character codes the models tell apart; all others are one.
 CODES = 128
 
@@ -119,7 +120,8 @@ def _code(char: Column) -> Column:
 def log_ratios(words: DataFrame) -> DataFrame:
     """One row with ``ratio``: by 128 * previous + next character, log P(random) - log P(ordinary).
 
-    Both models are smoothed by one count for each of the 64 common characters. At most CODES * CODES numbers.
+    A step's probability is its count drawn towards the next character's own share by BACKING counts,
+    so a step neither model has seen is judged by the characters in it. At most CODES * CODES numbers.
     """
     steps = words.select(
         "random",
@@ -136,13 +138,20 @@ def log_ratios(words: DataFrame) -> DataFrame:
     codes = counts.sparkSession.range(CODES)
     grid = codes.select(F.col("id").cast("int").alias("a"), F.explode(F.sequence(F.lit(0), F.lit(CODES - 1))).alias("b"))
     rows = counts.groupBy("a").agg(F.sum("r").alias("row_r"), F.sum("o").alias("row_o"))
-    cells = grid.join(counts, ["a", "b"], "left").join(rows, "a", "left").fillna(0)
-    ratio = F.log((F.col("r") + 1) / (F.col("row_r") + 64)) - F.log((F.col("o") + 1) / (F.col("row_o") + 64))
+    shares = counts.groupBy("b").agg(F.sum("r").alias("col_r"), F.sum("o").alias("col_o"))
+    both = counts.agg(F.struct(F.sum("r").alias("r"), F.sum("o").alias("o"))).scalar()
+    cells = grid.join(counts, ["a", "b"], "left").join(rows, "a", "left").join(shares, "b", "left").fillna(0)
+
+    def log_p(kind: str) -> Column:
+        share = (F.col(f"col_{kind}") + 0.5) / (F.coalesce(both[kind], F.lit(0)) + 0.5 * CODES / 2)
+        return F.log((F.col(kind) + BACKING * share) / (F.col(f"row_{kind}") + BACKING))
+
+    cells = cells.withColumn("ratio", log_p("r") - log_p("o"))
     # A model without samples says nothing.
     trained = counts.agg((F.sum("r") > 0).alias("has_r"), (F.sum("o") > 0).alias("has_o"))
     table = cells.groupBy().agg(
         F.transform(
-            F.array_sort(F.collect_list(F.struct((F.col("a") * CODES + F.col("b")).alias("k"), ratio.alias("v")))), lambda x: x["v"]
+            F.array_sort(F.collect_list(F.struct((F.col("a") * CODES + F.col("b")).alias("k"), F.col("ratio").alias("v")))), lambda x: x["v"]
         ).alias("ratio")
     )
     usable = trained.select(F.coalesce(F.col("has_r") & F.col("has_o"), F.lit(False))).scalar()

@@ -1,0 +1,72 @@
+import hashlib
+import random
+import re
+
+from courtside.llm import secretscan as ss
+from llm.rows import AWKWARD, documents
+
+ASSIGN = re.compile(
+    r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII
+)
+
+
+def plain(text):
+    text, spans = text or "", []
+    spans += [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= 12]
+    spans += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 18]
+    spans += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 16]
+    return sorted(spans)
+
+
+def cases():
+    rng = random.Random(1)
+    bits = ["password=", "PassWord : '", "token=secret : ", "api_key=", "apikey\" = \"", "AKIA", "AKIAKIA", "é漢😀", " ", "\n", "="]
+    bits += ["a1b2c3d4e5f60718", "ABCDEFGH1234567890", "abc", "zz9", "x_y.z-w+/==", "0" * 15, "0" * 16]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randrange(12))) for _ in range(300)]
+    return [*AWKWARD, *texts, "token=password=abcdefghijklmnop", "secret: short then 1234567890abcdef", "token=secret : abcdefghijklmnop"]
+
+
+def test_base_spans_equal_the_definition(spark):
+    texts = cases()
+    rows = ss.with_base_spans(documents(spark, texts)).select("doc_id", "_base").collect()
+    found = {r.doc_id: [(s.start, s.kind, s.end) for s in r._base] for r in rows}
+    for doc_id, text in enumerate(texts):
+        assert found[doc_id] == plain(text), text
+
+
+def test_models_add_spans_and_keep_base_ones(spark):
+    rng = random.Random(2)
+    alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    keys = ["".join(rng.choice(alphabet) for _ in range(24)) for _ in range(80)]
+    words = ["configuration", "identifier_name", "reader_options", "session-handler", "temporary_folder_name", "maximum_iteration_count"]
+    texts = [f"the {rng.choice(words)} is password={k} for {rng.choice(words)} and {rng.choice(words)}" for k in keys]
+    hidden = "".join(rng.choice(alphabet) for _ in range(24))
+    texts += [f"call with {hidden} now", "temporary_folder_name and maximum_iteration_count", None]
+    docs = documents(spark, texts)
+    rows = {r.doc_id: r for r in ss.scan(docs, ss.log_ratios(ss.labelled_words(docs))).collect()}
+    assert len(rows) == len(texts)
+    assert [(s.start, s.kind, s.end) for s in rows[80]._found] == [(10, 3, 34)]
+    assert rows[81]._found == [] and rows[82]._found == []
+    assert all([(s.start, s.kind, s.end) for s in rows[i]._found if s.kind < 3] == plain(texts[i]) for i in range(80))
+
+
+def test_without_samples_only_base_spans(spark):
+    docs = documents(spark, ["Ab3Ab3Ab3Ab3Ab3Ab3Ab3x", None, ""])
+    rows = ss.scan(docs, ss.log_ratios(ss.labelled_words(docs))).collect()
+    assert all(r._found == [] for r in rows) and len(rows) == 3
+    assert ss.scan(docs.limit(0), ss.log_ratios(ss.labelled_words(docs.limit(0)))).count() == 0
+
+
+def test_query_digest(spark, sf_dir):
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    for r in ss.query(spark, sf_dir).collect():
+        spans = plain(texts[r.doc_id])
+        said = ",".join(f"{ss.KINDS[k]}:{a}:{b}" for a, k, b in spans)
+        assert r.base_sha256 == hashlib.sha256(said.encode()).hexdigest()
+        assert [r.n_assign, r.n_access, r.n_hex] == [sum(k == j for _, k, _ in spans) for j in range(3)]
+        assert set(filter(None, said.split(","))) <= set(r.spans.split(","))
+
+
+def test_no_python_in_the_plan(spark, sf_dir):
+    text = ss.query(spark, sf_dir)._jdf.queryExecution().toString()
+    assert "Python" not in text and "Arrow" not in text
