@@ -103,7 +103,10 @@ def labelled_words(docs: DataFrame, most: int = SAMPLE_WORDS, most_docs: int = S
     random = docs.select(F.explode(values).alias("word")).where(F.col("word").rlike("[A-Za-z]"))
     some = docs.select("text").orderBy(F.xxhash64("doc_id", "text"), "text").limit(most_docs)
     # Words with digits may be secrets that are not known yet.
-    ordinary = some.select(F.explode(matches_of(text, ORDINARY)).alias("word")).where(~F.col("word").rlike("[0-9]"))
+    rest = text
+    for pattern in (ASSIGN, ACCESS, HEX):
+        rest = F.regexp_replace(rest, pattern, " ")
+    ordinary = some.select(F.explode(matches_of(rest, ORDINARY)).alias("word")).where(~F.col("word").rlike("[0-9]"))
 
     def drawn(words: DataFrame, label: int) -> DataFrame:
         distinct = words.groupBy("word").agg(F.lit(label).alias("random"))

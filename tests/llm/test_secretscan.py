@@ -38,7 +38,8 @@ def test_models_add_spans_and_keep_base_ones(spark):
     rng = random.Random(2)
     alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
     keys = ["".join(rng.choice(alphabet) for _ in range(24)) for _ in range(80)]
-    words = ["configuration", "identifier_name", "reader_options", "session-handler", "temporary_folder_name", "maximum_iteration_count"]
+    parts = "config session handler reader option folder temporary maximum iteration count default buffer writer stream Path Builder".split()
+    words = ["_".join(rng.sample(parts, 2)) for _ in range(60)]
     texts = [f"the {rng.choice(words)} is password={k} for {rng.choice(words)} and {rng.choice(words)}" for k in keys]
     hidden = "".join(rng.choice(alphabet) for _ in range(24))
     texts += [f"call with {hidden} now", "temporary_folder_name and maximum_iteration_count", None]
