@@ -3,7 +3,7 @@
 A text becomes one leading mark and its characters, each space written as the mark. It is cut
 before every run of marks into marked words; no piece of the vocabulary has a mark behind another
 character, so the best segmentation of a text is that of its words in turn. The distinct words of
-a batch are sorted, which lays them out as a trie walked depth first: neighbours share
+many texts are sorted, which lays them out as a trie walked depth first: neighbours share
 their longest common prefix, and the forward scores of that prefix are kept, so only the rest
 of a word is scored. The best path has the largest sum of piece scores; characters no piece covers
 are written as byte pieces. Equal sums take the longer last piece.
@@ -19,7 +19,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -33,8 +33,10 @@ MARK = "▁"
 # stand in a text too, so it is itself written as bytes.
 _OWN_MARK = "﷐"
 _MARKED_WORD = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
-# Words whose ids a task remembers, at most.
-_MEMORY = 300_000
+# Texts are segmented together until they hold this many distinct words.
+_TOGETHER = 200_000
+# Far below any sum of scores.
+NO_PIECE = -1e300
 
 
 @dataclass
@@ -47,6 +49,11 @@ class Pieces:
     texts: list[bytes]  # by id: the bytes a piece stands for, marks as spaces
     longest: int
     unknown: float
+    # Score of every string that ends a piece; NO_PIECE for those that are none themselves.
+    endings: dict[str, float] = field(default_factory=dict)
+
+    def __post_init__(self) -> None:
+        self.endings = {piece[k:]: NO_PIECE for piece in self.scores for k in range(1, len(piece))} | self.scores
 
     @classmethod
     def load(cls, path: str = MODEL) -> Pieces:
@@ -73,14 +80,15 @@ class TrieViterbi:
 
     def __init__(self, vocabulary: Pieces):
         self.vocabulary = vocabulary
-        # Pieces by their last character, then all of them: candidates ending at a position.
         self.word = ""
         self.best: list[float] = [0.0]
         self.back: list[int] = [0]
 
     def encode(self, word: str) -> list[int]:
-        vocabulary, scores = self.vocabulary, self.vocabulary.scores
-        best, back, longest = self.best, self.back, vocabulary.longest
+        """Ids of the best path. Candidates for the last piece are tried from the shortest on, and no
+        longer than some piece still ends so."""
+        vocabulary, endings = self.vocabulary, self.vocabulary.endings
+        best, back, unknown, longest = self.best, self.back, vocabulary.unknown, vocabulary.longest
         shared = 0
         for a, b in zip(word, self.word):
             if a != b:
@@ -89,13 +97,16 @@ class TrieViterbi:
         del best[shared + 1 :], back[shared + 1 :]
         for end in range(shared + 1, len(word) + 1):
             # A single character always leads on, if need be as bytes.
-            start = end - 1
-            score = best[start] + scores.get(word[start:end], vocabulary.unknown)
-            came = start
-            for start in range(end - 2, max(end - longest, 0) - 1, -1):
-                piece = scores.get(word[start:end])
-                if piece is not None and best[start] + piece >= score:
-                    score, came = best[start] + piece, start
+            came = end - 1
+            known = endings.get(word[came])
+            score = best[came] + (unknown if known is None or known == NO_PIECE else known)
+            if known is not None:
+                for start in range(end - 2, max(end - longest, 0) - 1, -1):
+                    known = endings.get(word[start:end])
+                    if known is None:
+                        break
+                    if best[start] + known >= score:
+                        score, came = best[start] + known, start
             best.append(score)
             back.append(came)
         self.word = word
@@ -130,24 +141,41 @@ def marked_words(text: str) -> list[str]:
     return _MARKED_WORD.findall(MARK + text.replace(MARK, _OWN_MARK).replace(" ", MARK))
 
 
-def encode_batch(texts: list[str | None], vocabulary: Pieces, memory: dict[str, np.ndarray]) -> list[np.ndarray | None]:
-    """Ids of each text; ``memory`` holds words known from earlier batches."""
-    split = [None if text is None else marked_words(text) if text else [] for text in texts]
-    fresh = sorted({w for words in split if words for w in words if w not in memory})
-    if len(memory) + len(fresh) > _MEMORY:
-        memory.clear()
-        fresh = sorted({w for words in split if words for w in words})
+def encode_batch(texts: list[str | None], vocabulary: Pieces) -> list[np.ndarray | None]:
+    """Ids of each text. The distinct words are segmented once, in sorted order."""
+    number: dict[str, int] = {}
+    held, out = [], []
+    for text in texts:
+        words = marked_words(text) if text else []
+        held.append(None if text is None else np.fromiter((number.setdefault(w, len(number)) for w in words), np.int64, len(words)))
+        if len(number) >= _TOGETHER:
+            out += _assemble(held, number, vocabulary)
+            number, held = {}, []
+    return out + _assemble(held, number, vocabulary)
+
+
+def _assemble(held: list[np.ndarray | None], number: dict[str, int], vocabulary: Pieces) -> list[np.ndarray | None]:
+    flat: list[int] = []
+    begin, size = np.zeros(len(number), np.int64), np.zeros(len(number), np.int64)
     walk = TrieViterbi(vocabulary)
-    for word in fresh:
-        if word[0] == "\0" and len(word) == 2 and word[1] == _OWN_MARK:
-            ids = [vocabulary.byte_ids[value] for value in _OWN_MARK.encode()]
+    for word in sorted(number):
+        at = number[word]
+        begin[at] = len(flat)
+        if word == "\0" + _OWN_MARK:
+            flat += [vocabulary.byte_ids[value] for value in _OWN_MARK.encode()]
         else:
-            ids = walk.encode(word)
-        memory[word] = np.array(ids, dtype=np.int32)
-    none = np.empty(0, dtype=np.int32)
-    return [
-        None if words is None else np.concatenate([memory[w] for w in words]) if words else none for words in split
-    ]
+            flat += walk.encode(word)
+        size[at] = len(flat) - begin[at]
+    ids, out = np.array(flat, dtype=np.int32), []
+    for words in held:
+        if words is None:
+            out.append(None)
+            continue
+        sizes = size[words]
+        ends = np.cumsum(sizes)
+        shift = np.repeat(begin[words] - ends + sizes, sizes)
+        out.append(ids[shift + np.arange(len(shift))])
+    return out
 
 
 def decode(ids: list[int] | None, vocabulary: Pieces) -> str | None:
@@ -181,12 +209,9 @@ def encode_column(text: Column | str, model: str = MODEL) -> Column:
 
     @F.arrow_udf(T.ArrayType(T.IntegerType()))
     def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        vocabulary, memory = _vocabulary(model), {}
+        vocabulary = _vocabulary(model)
         for texts in batches:
-            rows: list[np.ndarray | None] = []
-            for at in range(0, len(texts), 256):
-                rows += encode_batch(texts.slice(at, 256).to_pylist(), vocabulary, memory)
-            yield _lists(rows)
+            yield _lists(encode_batch([text.as_py() for text in texts], vocabulary))
 
     return encode(text)
 

@@ -16,8 +16,10 @@ def vocabulary():
     return pieces.Pieces.load()
 
 
-def test_round_trip_of_every_text(vocabulary):
-    ids = pieces.encode_batch(TEXTS, vocabulary, {})
+@pytest.mark.parametrize("together", [200_000, 1])
+def test_round_trip_of_every_text(vocabulary, monkeypatch, together):
+    monkeypatch.setattr(pieces, "_TOGETHER", together)
+    ids = pieces.encode_batch(TEXTS, vocabulary)
     assert [pieces.decode(None if i is None else i.tolist(), vocabulary) for i in ids] == TEXTS
 
 
@@ -70,7 +72,7 @@ def test_same_ids_as_the_library_for_a_unigram_model(vocabulary):
     rng = random.Random(8)
     for _ in range(150):
         text = " ".join("".join(rng.choice("theionrsaézñ") for _ in range(rng.randrange(1, 9))) for _ in range(6))
-        assert pieces.encode_batch([text], held, {})[0].tolist() == library.encode(text)
+        assert pieces.encode_batch([text], held)[0].tolist() == library.encode(text)
 
 
 def test_query_form(spark):
