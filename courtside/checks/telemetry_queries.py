@@ -274,8 +274,8 @@ def stream_windows_15s(spark, d):
        FROM (SELECT *, unnest(range(3)) AS k FROM lg_requests) GROUP BY 1, 2, 3, 4""",
 )
 def stream_trailing_15m(spark, d):
-    counted = live.live_windows(feeds.requests(event_stream(spark, d)), "15 minutes", "5 minutes", "1 hour")
-    return _streamed(spark, counted, live.WINDOWED_COUNTS).select("window_start", *tm.COUNTER_LABELS, "n")
+    counted = live.live_windows(feeds.requests(event_stream(spark, d)), "5 minutes", delay="1 hour")
+    return live.trailing_counts(_streamed(spark, counted, live.WINDOWED_COUNTS), 15 * 60, 5 * 60)
 
 
 @query(
@@ -289,17 +289,31 @@ def stream_latency_histogram(spark, d):
     return tm.histogram_rows(wide).withColumn("duration_sum", F.round("duration_sum", 6))
 
 
-@query("stream_upsert_shots", f"SELECT {columns(SHOTS)} FROM lg_shots")
+@query(
+    "stream_upsert_shots",
+    f"""SELECT {columns(SHOTS)} FROM (
+          SELECT * REPLACE (CASE WHEN "left" % 2 = 0 THEN team_score ELSE team_score + 1 END AS team_score) FROM lg_shots)""",
+)
 def stream_upsert_shots(spark, d):
-    arriving = feeds.shots(event_stream(spark, d)).select(*SHOTS.names)
-    return _streamed_append(spark, arriving, SHOTS).select(*SHOTS.names)
-
-
-def _streamed_append(spark, stream, spec):
-    root = scratch_path(spark, f"stream-{spec.name}")
-    store = KeyedTable(spark, f"{root}/table", spec)
+    """A stream onto a table that two batches have filled, with a third batch in between.
+
+    The batches write their shots with one point more. The stream then brings the shots at even
+    places as they are, some of which the table holds and some not, in several micro-batches.
+    """
+    shots = feeds.shots(events(spark, d)).select(*SHOTS.names)
+    earlier = shots.withColumn("team_score", F.col("team_score") + 1)
+    even, half = F.col("left") % 2 == 0, F.pmod(F.xxhash64(*SHOTS.keys), F.lit(2)) == 0
+    root = scratch_path(spark, "stream-upsert")
+    store = KeyedTable(spark, f"{root}/table", SHOTS)
+    store.upsert(earlier.where(half), STAMP)
+    store.upsert(earlier.where(~half & ~even), STAMP)
+    shots.where(even & half).coalesce(1).write.mode("append").parquet(f"{root}/arriving")
+    stream = live.parquet_stream(spark, f"{root}/arriving", shots.schema, maxFilesPerTrigger="1")
     live.merge_into(stream, store, STAMP, f"{root}/checkpoint", mode="append").awaitTermination()
-    return store.read()
+    store.upsert(earlier.where(~even & half), STAMP)
+    shots.where(even & ~half).coalesce(1).write.mode("append").parquet(f"{root}/arriving")
+    live.merge_into(stream, store, STAMP, f"{root}/checkpoint", mode="append").awaitTermination()
+    return store.read().select(*SHOTS.names)
 
 
 @query(
@@ -315,15 +329,37 @@ def stream_authorised_requests(spark, d):
     return spark.read.parquet(f"{root}/rows")
 
 
-@query("stream_late_rows", "SELECT CAST(0 AS BIGINT) AS dropped, count(*) AS counted FROM lg_requests")
+@query(
+    "stream_late_rows",
+    """WITH r AS (SELECT *, row_number() OVER (ORDER BY ts, request_id) * 3 > count(*) OVER () AS early FROM lg_requests),
+            w AS (SELECT max(ts) FILTER (early) - INTERVAL 10 MINUTE AS mark FROM r),
+            l AS (SELECT *, time_bucket(INTERVAL '1 hour', ts) AS hour,
+                         NOT early AND time_bucket(INTERVAL '1 hour', ts) + INTERVAL 1 HOUR <= mark AS late FROM r, w)
+       SELECT count(DISTINCT (hour, method, endpoint, status)) FILTER (late) AS dropped, count(*) FILTER (NOT late) AS counted FROM l""",
+)
 def stream_late_rows(spark, d):
-    """Rows dropped as late plus rows counted; a first batch never has late rows."""
+    """The last third of the requests arrives first, then the middle one, then the first, which is late by then.
+
+    Rows count as late against the watermark that the batch before had.
+    Late rows are counted where they are dropped, which is after each task has counted by window and labels.
+    """
     root = scratch_path(spark, "stream-late")
+    requests = feeds.requests(events(spark, d))
+    ranked = tm.cumulative_requests(requests.select("request_id", "ts", *[F.lit("x").alias(c) for c in tm.COUNTER_LABELS]), ["ts", "request_id"])
+    third = requests.agg(F.count(F.lit(1))).scalar()
+    early = ranked.where(F.col("counter") * 3 > third).select("request_id")
+    newest = ranked.where(F.col("counter") * 3 > third * 2).select("request_id")
+    for part in (
+        requests.join(newest, "request_id", "left_semi"),
+        requests.join(early, "request_id", "left_semi").join(newest, "request_id", "left_anti"),
+        requests.join(early, "request_id", "left_anti"),
+    ):
+        part.coalesce(1).write.mode("append").parquet(f"{root}/arriving")
     store = KeyedTable(spark, f"{root}/table", live.WINDOWED_COUNTS)
-    windows = live.live_windows(feeds.requests(event_stream(spark, d)), "1 hour", delay="10 minutes")
-    run = live.merge_into(windows, store, STAMP, f"{root}/checkpoint")
+    stream = live.parquet_stream(spark, f"{root}/arriving", requests.schema, maxFilesPerTrigger="1")
+    run = live.merge_into(live.live_windows(stream, "1 hour", delay="10 minutes"), store, STAMP, f"{root}/checkpoint")
     run.awaitTermination()
-    dropped = live.rows_dropped_as_late(run)
+    dropped = live.rows_dropped_as_late(run, spark)
     return store.read().agg(F.sum("n").alias("counted")).select(
         F.lit(dropped).cast("bigint").alias("dropped"), "counted"
     )

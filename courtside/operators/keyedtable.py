@@ -1,23 +1,34 @@
 """A stored table with keyed upserts on plain Parquet.
 
 Files are never changed in place. A commit writes the partitions it touches into a new
-folder and then publishes a small list saying which folder holds each partition; readers
-use the newest published list. Untouched partitions are not read or rewritten. A table takes one
-writer at a time; readers are never blocked.
+folder, then a small list saying which folder holds each partition, and is published last by
+creating one numbered marker file, which only one writer can do. A writer that comes second
+merges again on top of the other's commit. Untouched partitions are not read or rewritten.
 """
 
 from __future__ import annotations
 
+import json
+import time
+import uuid
 from datetime import datetime
 
-from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from courtside.operators.merge import merge_rows, unique_batch, with_audit
+from courtside.operators.statquery import StatQuery
 from courtside.schemas import TableSpec
 from courtside.sources.tables import empty_table, visible
+from courtside.workspace import create_once, hadoop_path, names_in, read_small
 
 BUCKET = "key_bucket"
+# A marker is a few bytes written at once; one still unreadable after this long has lost its writer.
+MARKER_WAIT_S = 10.0
+ATTEMPTS = 20
+
+
+class IncompleteCommitError(RuntimeError):
+    """A published commit cannot be read whole."""
 
 
 class KeyedTable:
@@ -31,50 +42,72 @@ class KeyedTable:
         )
         self._listing = T.StructType(
             [T.StructField(name, types[name]) for name in self.parts]
-            + [T.StructField("data_commit", T.LongType())]
+            + [T.StructField("data_commit", T.LongType()), T.StructField("folder", T.StringType())]
         )
 
-    def _bucket(self) -> Column:
+    def _bucket(self, key: Column | None = None) -> Column:
         """Rows of one leading key share a bucket, so a small batch reaches few buckets."""
-        return F.pmod(F.xxhash64(self.spec.keys[0]), F.lit(self.spec.buckets)).cast("int")
+        hashed = F.xxhash64(F.col(self.spec.keys[0]) if key is None else key)
+        return F.pmod(hashed, F.lit(self.spec.buckets)).cast("int")
 
     def version(self) -> int:
-        """Number of the newest published commit, 0 for a table that was never written.
+        """Number of the newest published commit, 0 for a table that was never written."""
+        return max((int(name) for name in names_in(self.spark, f"{self.root}/commits") if name.isdigit()), default=0)
 
-        Looks at folder names only; a list counts once its write is marked complete.
-        """
-        hadoop = self.spark.sparkContext._jvm.org.apache.hadoop.fs
-        folder = hadoop.Path(f"{self.root}/partitions")
-        files = folder.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        if not files.exists(folder):
-            return 0
-        names = [status.getPath().getName() for status in files.listStatus(folder)]
-        commits = sorted((int(n.split("=")[1]) for n in names if n.startswith("commit=")), reverse=True)
-        for commit in commits:
-            if files.exists(hadoop.Path(f"{self.root}/partitions/commit={commit}/_SUCCESS")):
-                return commit
-        return 0
+    def _marker(self, version: int) -> dict:
+        """What a commit's marker says: its list's folder and size, and the last batch of each stream."""
+        if version == 0:
+            return {"streams": {}}
+        deadline = time.monotonic() + MARKER_WAIT_S
+        while True:
+            try:
+                return json.loads(read_small(self.spark, f"{self.root}/commits/{version:012d}"))
+            except json.JSONDecodeError:
+                if time.monotonic() > deadline:
+                    raise IncompleteCommitError(f"{self.root}: marker of commit {version} is not complete") from None
+                time.sleep(0.2)
 
     def partitions(self, version: int | None = None) -> DataFrame:
-        """Partition -> commit folder. One row per partition, so always small."""
+        """Partition -> commit and folder. One row per partition, so always small."""
         version = self.version() if version is None else version
         if version == 0:
             return empty_table(self.spark, self._listing)
-        return self.spark.read.schema(self._listing).parquet(f"{self.root}/partitions/commit={version}")
+        return self.spark.read.schema(self._listing).parquet(f"{self.root}/partitions/{self._marker(version)['list']}")
+
+    def _places(self, version: int) -> list:
+        found = self.partitions(version).collect()
+        if version and len(found) != self._marker(version)["partitions"]:
+            raise IncompleteCommitError(f"{self.root}: the list of commit {version} is not complete")
+        return found
+
+    def read_all(self, version: int | None = None, query: StatQuery | None = None) -> DataFrame:
+        """Every stored row, soft-deleted ones included; with ``query``, of the partitions it can touch."""
+        version = self.version() if version is None else version
+        return self._scan([row for row in self._places(version) if query is None or self._reached(row, query)])
+
+    def read(self, version: int | None = None, query: StatQuery | None = None) -> DataFrame:
+        return visible(self.read_all(version, query))
 
-    def read_all(self, version: int | None = None) -> DataFrame:
-        """Every stored row, soft-deleted ones included."""
-        return self._scan(self.partitions(version).collect())
+    def _reached(self, row, query: StatQuery) -> bool:
+        """Whether a partition can hold rows of ``query``, by season, phase and the player's bucket."""
+        for name in self.spec.partition_by:
+            wanted = getattr(query, name, None)
+            if wanted is not None and row[name] != wanted:
+                return False
+        leading = self.spec.keys[0]
+        wanted = getattr(query, leading, None)
+        return wanted is None or row[BUCKET] == self._bucket_of(wanted)
 
-    def read(self, version: int | None = None) -> DataFrame:
-        return visible(self.read_all(version))
+    def _bucket_of(self, value) -> int:
+        one = self.spark.range(1).select(self._bucket(F.lit(value).cast(self.spec.types[self.spec.keys[0]])))
+        return one.first()[0]
 
     def _folder(self, row) -> str:
         def text(value):
             return str(value).lower() if isinstance(value, bool) else str(value)
 
         inner = "/".join(f"{name}={text(row[name])}" for name in self.parts)
-        return f"{self.root}/data/commit={row['data_commit']}/{inner}"
+        return f"{self.root}/data/commit={row['folder']}/{inner}"
 
     def _scan(self, listing) -> DataFrame:
         if not listing:
@@ -90,60 +123,88 @@ class KeyedTable:
         on_duplicate: str = "error",
         order: list[str] | None = None,
         commit: int | None = None,
+        stream: str = "",
     ) -> int:
         """Merge ``batch`` and publish; returns the commit number. An empty batch writes nothing.
 
-        ``commit`` makes a replay harmless: an already published number is skipped.
+        ``commit`` is the batch's number within ``stream``. It makes a replay harmless: a batch
+        is skipped if its stream has published that number or a later one. It is apart from
+        the table's own commit number, so several streams and single batches can share a table.
         """
-        current = self.version()
-        if commit is not None and commit <= current:
-            return current
-        number = commit if commit is not None else current + 1
-        stage = f"{self.root}/staging/commit={number}"
+        if commit is not None:
+            current = self.version()
+            if self._marker(current)["streams"].get(stream, commit - 1) >= commit:
+                return current
+        name = uuid.uuid4().hex
+        stage = f"{self.root}/staging/{name}"
         fresh = with_audit(batch.select(*self.spec.names, *self._extra(batch, order)), stamp)
         fresh = fresh.withColumn(BUCKET, self._bucket())
-        fresh.write.mode("overwrite").parquet(stage)
+        fresh.write.parquet(stage)
         fresh = self.spark.read.schema(fresh.schema).parquet(stage)
-        touched = fresh.select(*self.parts).distinct()
-        held = self.partitions(current)
-        outcome = touched.join(held, self.parts, "left").collect()
-        if not outcome:
-            return current
-        # Checked on the staged rows, so the error leaves the table as it was.
-        fresh = unique_batch(fresh, self.spec, on_duplicate, order).select(*self.spec.schema.names)
-        target = self._scan([row for row in outcome if row["data_commit"] is not None])
-        merged = merge_rows(target, fresh, self.spec, small_batch=self._broadcastable(fresh))
-        data = f"{self.root}/data/commit={number}"
+        try:
+            touched = {tuple(row) for row in fresh.select(*self.parts).distinct().collect()}
+            if not touched:
+                return self.version()
+            # Checked on the staged rows, so the error leaves the table as it was.
+            fresh = unique_batch(fresh, self.spec, on_duplicate, order).select(*self.spec.schema.names)
+            for attempt in range(ATTEMPTS):
+                number = self._attempt(fresh, touched, f"{name}-{attempt}", commit, stream)
+                if number is not None:
+                    return number
+            raise RuntimeError(f"{self.root}: other writers were first {ATTEMPTS} times")
+        finally:
+            self._delete(stage)
+
+    def _attempt(self, fresh: DataFrame, touched: set, name: str, commit: int | None, stream: str) -> int | None:
+        """Merge on top of the newest commit; None if another writer published meanwhile."""
+        current = self.version()
+        streams = dict(self._marker(current)["streams"])
+        if commit is not None:
+            if streams.get(stream, commit - 1) >= commit:
+                return current
+            streams[stream] = commit
+        held = self._places(current)
+        key = lambda row: tuple(row[part] for part in self.parts)
+        merged = merge_rows(self._scan([row for row in held if key(row) in touched]), fresh, self.spec)
         (
             merged.withColumn(BUCKET, self._bucket())
-            # Rebalance groups by partition and lets AQE split an oversized one.
-            .hint("rebalance", *[F.col(name) for name in self.parts])
-            .write.mode("overwrite")
-            .partitionBy(*self.parts)
-            .parquet(data)
+            # Rebalance groups by partition and lets AQE split an oversized one; files are sorted by key.
+            .hint("rebalance", *[F.col(part) for part in self.parts])
+            .sortWithinPartitions(*self.parts, *[k for k in self.spec.keys if k not in self.parts])
+            .write.partitionBy(*self.parts)
+            .parquet(f"{self.root}/data/commit={name}")
         )
-        self._publish(number, held, outcome)
-        return number
+        kept = [tuple(row) for row in held if key(row) not in touched]
+        listing = kept + [(*parts, current + 1, name) for parts in sorted(touched, key=repr)]
+        frame = self.spark.createDataFrame(listing, self._listing)
+        frame.coalesce(1).write.parquet(f"{self.root}/partitions/{name}")
+        marker = {"list": name, "partitions": len(listing), "streams": streams}
+        if create_once(self.spark, f"{self.root}/commits/{current + 1:012d}", json.dumps(marker)):
+            return current + 1
+        self._delete(f"{self.root}/data/commit={name}")
+        self._delete(f"{self.root}/partitions/{name}")
+        return None
+
+    def _delete(self, path: str) -> None:
+        files, folder = hadoop_path(self.spark, path)
+        files.delete(folder, True)
+
+    def vacuum(self, keep: int = 10) -> int:
+        """Drop all but the newest ``keep`` commits and the folders only they use; returns how many went.
+
+        Not to be run while an upsert is under way, nor while older versions are read.
+        """
+        numbers = sorted(int(name) for name in names_in(self.spark, f"{self.root}/commits") if name.isdigit())
+        gone, kept = numbers[:-keep], numbers[-keep:]
+        lists = {self._marker(number)["list"] for number in kept}
+        folders = {row["folder"] for number in kept for row in self._places(number)}
+        for number in gone:
+            self._delete(f"{self.root}/commits/{number:012d}")
+        for kind, used in (("partitions", lists), ("data", {f"commit={folder}" for folder in folders})):
+            for name in names_in(self.spark, f"{self.root}/{kind}"):
+                if name not in used:
+                    self._delete(f"{self.root}/{kind}/{name}")
+        return len(gone)
 
     def _extra(self, batch: DataFrame, order: list[str] | None) -> list[str]:
         return [c for c in (order or []) if c in batch.columns and c not in self.spec.names]
-
-    def _broadcastable(self, staged: DataFrame) -> bool:
-        """Whether the staged files are within Spark's own broadcast limit."""
-        limit = self.spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
-        try:
-            jvm = self.spark.sparkContext._jvm
-            allowed = jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(limit)
-            size = staged._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-            return int(size.toString()) <= allowed
-        except (AttributeError, Py4JError):
-            return False
-
-    def _publish(self, number: int, held: DataFrame, outcome) -> None:
-        replaced = self.spark.createDataFrame(
-            [tuple(row[name] for name in self.parts) + (number,) for row in outcome], self._listing
-        )
-        kept = held.join(replaced.select(*self.parts), self.parts, "left_anti")
-        # One small file, so the list appears as a whole or not at all.
-        listing = kept.select(*self._listing.names).unionByName(replaced)
-        listing.coalesce(1).write.mode("overwrite").parquet(f"{self.root}/partitions/commit={number}")

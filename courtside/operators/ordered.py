@@ -8,8 +8,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from courtside.workspace import cut_lineage
-
 
 def running_sum(
     rows: DataFrame, series: list[str], ts: str, value: str, output: str, chunk: str = "day"
@@ -35,28 +33,32 @@ def running_sum(
     )
 
 
-def running_count(rows: DataFrame, series: list[str], order: list[str], output: str) -> DataFrame:
-    """1, 2, 3, ... per series in ``order`` (unique within the series), for any skew.
+def running_count(
+    rows: DataFrame, series: list[str], order: list[str], output: str, chunk: str = "hour"
+) -> DataFrame:
+    """1, 2, 3, ... per series in ``order`` (unique within the series; its first column is a time).
 
-    Rows are range-partitioned on (series, order), which splits even a single hot series
-    evenly; the partition numbers are frozen by cutting lineage before they are used.
+    Rows are numbered within (series, chunk of time), and each chunk adds the count of the chunks
+    before it. A finer ``chunk`` spreads a hotter series.
     """
-    ranged = cut_lineage(rows.repartitionByRange(*series, *order)).withColumn(
-        "_part", F.spark_partition_id()
-    )
-    before = Window.partitionBy(*series).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    chunked = rows.withColumn("_chunk", F.date_trunc(chunk, order[0]).cast("timestamp_ntz"))
+    before = Window.partitionBy(*series).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
-        ranged.groupBy(*series, "_part")
+        chunked.groupBy(*series, "_chunk")
         .agg(F.count(F.lit(1)).alias("_n"))
-        .select(*series, "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    )
-    inside = Window.partitionBy(*series, "_part").orderBy(*order)
-    local = ranged.withColumn("_local", F.row_number().over(inside))
-    return (
-        local.join(offsets, [*series, "_part"])
-        .withColumn(output, (F.col("_before") + F.col("_local")).cast("bigint"))
-        .drop("_part", "_before", "_local")
+        .select(
+            *[F.col(c).alias(f"_of_{c}") for c in series],
+            F.col("_chunk").alias("_of_chunk"),
+            F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"),
+        )
     )
+    inside = Window.partitionBy(*series, "_chunk").orderBy(*order)
+    local = chunked.withColumn("_local", F.row_number().over(inside))
+    same = F.col("_chunk").eqNullSafe(F.col("_of_chunk"))
+    for column in series:
+        same = same & F.col(column).eqNullSafe(F.col(f"_of_{column}"))
+    counted = local.join(offsets, same).withColumn(output, (F.col("_before") + F.col("_local")).cast("bigint"))
+    return counted.select(*rows.columns, output)
 
 
 def _step(value: Column, previous: Column) -> Column:

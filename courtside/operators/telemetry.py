@@ -5,13 +5,15 @@ from __future__ import annotations
 from functools import reduce
 from operator import and_
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from courtside.operators.ordered import counter_increase, running_count
 
 COUNTER_LABELS = ["method", "endpoint", "status"]
 HISTOGRAM_LABELS = ["method", "endpoint"]
 SERIES = ["job", "instance", "method", "endpoint", "status"]
+# Length of the stretches of time in which a series' samples are put in order.
+STRETCH_S = 3600
 
 # Upper bounds of the latency buckets, in seconds; the last one is +Inf.
 BUCKET_BOUNDS = [0.005, 0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1.0, 2.5, 5.0, 10.0]
@@ -105,18 +107,26 @@ def instant_values(
 ) -> DataFrame:
     """Value of every series at each step: its newest sample within the look-back.
 
-    A sample serves the steps in [ts, ts + look-back), a fixed number of them, and the
-    newest one per (step, series) is kept by an aggregate that combines before the shuffle.
+    A sample serves the steps in [ts, ts + look-back), but only up to the next sample. So one
+    sample per (series, first step) is kept, and each becomes just the steps it is the newest for.
+    Neighbours are found within stretches of time, so a hot series is spread; where two stretches meet,
+    the last aggregate keeps the newer sample.
     """
     labels = labels or SERIES
     step = step_s * 1_000_000
     at = F.unix_micros(F.col("ts").cast("timestamp"))
     first = F.ceil(at / F.lit(step)).cast("bigint")
     last = F.ceil((at + F.lit(lookback_s * 1_000_000)) / F.lit(step)).cast("bigint") - 1
-    served = samples.filter(F.col("value").isNotNull()).withColumn(
-        "_step", F.explode(F.when(first <= last, F.sequence(first, last)).otherwise(F.array()))
+    known = samples.filter(F.col("value").isNotNull()).select(*labels, "ts", "value", first.alias("_first"), last.alias("_last"))
+    one = known.groupBy(*labels, "_first").agg(F.max(F.struct("ts", "value", "_last")).alias("_s"))
+    stretch = (F.col("_first") * F.lit(step_s) / F.lit(STRETCH_S)).cast("bigint")
+    following = F.lead("_first").over(Window.partitionBy(*labels, "_stretch").orderBy("_first"))
+    ended = one.withColumn("_stretch", stretch).withColumn(
+        "_last", F.least(F.col("_s._last"), F.coalesce(following - 1, F.col("_s._last")))
     )
-    newest = served.groupBy("_step", *labels).agg(F.max_by("value", "ts").alias("value"))
+    steps = F.when(F.col("_first") <= F.col("_last"), F.sequence("_first", "_last")).otherwise(F.array())
+    served = ended.select(*labels, "_s", F.explode(steps).alias("_step"))
+    newest = served.groupBy("_step", *labels).agg(F.max_by("_s.value", "_s.ts").alias("value"))
     step_ts = F.timestamp_micros(F.col("_step") * F.lit(step)).cast("timestamp_ntz")
     return newest.select(step_ts.alias("step_ts"), *labels, "value")
 
@@ -149,8 +159,8 @@ def absolute_band(value: Column, limit: float = 80) -> Column:
 
 def percentage_bands(values: DataFrame, column: str = "value") -> DataFrame:
     """Band by position in the min..max range of the whole result: below 20, 80, and above."""
-    low = values.agg(F.min(column).alias("low")).scalar()
-    high = values.agg(F.max(column).alias("high")).scalar()
+    bounds = values.agg(F.struct(F.min(column).alias("low"), F.max(column).alias("high")).alias("bounds")).scalar()
+    low, high = bounds["low"], bounds["high"]
     share = F.coalesce(
         F.try_divide((F.col(column) - low) * F.lit(100.0), (high - low).cast("double")), F.lit(0.0)
     )

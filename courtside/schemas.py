@@ -111,6 +111,16 @@ AUDIT_COLUMNS = [
     ("deleted_at", "DeletedAt"),
 ]
 
+# The names of a credential's fields in a response.
+CREDENTIAL_RESPONSE = {
+    "id": "ID",
+    "hash": "Hash",
+    "label": "Label",
+    "revoked": "Revoked",
+    "created_at": "CreatedAt",
+    "revoked_at": "RevokedAt",
+}
+
 CREDENTIALS = T.StructType(
     [
         T.StructField("id", LONG, False),
@@ -188,6 +198,7 @@ TOTALS = TableSpec(
         "three_percent", "ft_percent", "player_id", "season", "team",
     ),
     extended_sort_keys=("blocks",),
+    buckets=4,
 )
 
 ADVANCED = TableSpec(
@@ -199,6 +210,7 @@ ADVANCED = TableSpec(
     # Columns a caller may sort by.
     sort_keys=("win_shares", "per", "ts_percent", "player_id", "season", "team"),
     extended_sort_keys=("vorp", "usage_percent"),
+    buckets=4,
 )
 
 SHOTS = TableSpec(

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import json
+import threading
+from collections import Counter
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from courtside.operators.keyedtable import KeyedTable
 from courtside.operators.telemetry import (
@@ -15,6 +18,7 @@ from courtside.operators.telemetry import (
     latency_histogram_wide,
 )
 from courtside.schemas import DOUBLE, LONG, TEXT, TableSpec
+from courtside.workspace import read_small
 
 _LABELS = [(name, TEXT, name, ()) for name in COUNTER_LABELS]
 _WINDOW = [("window_start", T.TimestampNTZType(), "windowStart", ()), ("day", T.DateType(), "day", ())]
@@ -80,10 +84,32 @@ def live_windows(
     )
 
 
+def trailing_counts(partial: DataFrame, width_s: int, slide_s: int) -> DataFrame:
+    """Counts of trailing windows from counts of windows as wide as the slide.
+
+    A stream keeps one count per slide, whatever the width; each of them, not each request, belongs
+    to ``width / slide`` windows.
+    """
+    if width_s % slide_s:
+        raise ValueError("the width must be a whole number of slides")
+    start = F.col("window_start")
+    starts = F.transform(
+        F.sequence(F.lit(0), F.lit(width_s // slide_s - 1)),
+        lambda k: start - F.make_dt_interval(secs=(k * slide_s).cast("decimal(18,6)")),
+    )
+    spread = partial.withColumn("window_start", F.explode(starts))
+    return spread.groupBy("window_start", *COUNTER_LABELS).agg(F.sum("n").alias("n"))
+
+
 def live_histogram(requests: DataFrame) -> DataFrame:
     return latency_histogram_wide(requests)
 
 
+def stream_id(spark: SparkSession, checkpoint: str) -> str:
+    """The id a stream keeps with its checkpoint."""
+    return json.loads(read_small(spark, f"{checkpoint}/metadata"))["id"]
+
+
 def merge_into(
     stream: DataFrame,
     table: KeyedTable,
@@ -91,12 +117,21 @@ def merge_into(
     checkpoint: str,
     mode: str = "update",
     trigger: dict | None = None,
+    on_duplicate: str = "error",
+    order: list[str] | None = None,
 ) -> StreamingQuery:
-    """Upsert every micro-batch. The batch number is the commit, so a replay changes nothing."""
+    """Upsert every micro-batch.
+
+    A batch is known to the table by the stream's own id, kept with its checkpoint, and its number
+    there; so a replay changes nothing, and a new checkpoint is a new stream. ``on_duplicate``
+    and ``order`` say what becomes of a key that a micro-batch holds twice.
+    """
+    spark = stream.sparkSession
 
     def upsert(batch: DataFrame, batch_id: int) -> None:
-        table.upsert(batch, stamp, commit=batch_id + 1)
+        table.upsert(batch, stamp, on_duplicate, order, commit=batch_id, stream=stream_id(spark, checkpoint))
 
+    _watch(spark)
     writer = stream.writeStream.outputMode(mode).foreachBatch(upsert)
     return writer.option("checkpointLocation", checkpoint).trigger(
         **(trigger or {"availableNow": True})
@@ -107,16 +142,63 @@ def append_into(
     stream: DataFrame, path: str, checkpoint: str, trigger: dict | None = None
 ) -> StreamingQuery:
     """Append rows to Parquet files exactly once, for row-wise results and closed windows."""
+    _watch(stream.sparkSession)
     writer = stream.writeStream.outputMode("append").format("parquet").option("path", path)
     return writer.option("checkpointLocation", checkpoint).trigger(
         **(trigger or {"availableNow": True})
     ).start()
 
 
-def rows_dropped_as_late(query: StreamingQuery) -> int:
-    """Rows the watermark discarded, over the progress reports still held by the query."""
-    return sum(
-        operator["numRowsDroppedByWatermark"]
-        for progress in query.recentProgress
-        for operator in progress["stateOperators"]
-    )
+class LateRows(StreamingQueryListener):
+    """Adds up the rows the watermark discarded, over all progress reports of each run.
+
+    An aggregation drops rows after its partial counts, so one dropped row may stand for several
+    requests of one window and label set.
+    """
+
+    def __init__(self) -> None:
+        self._dropped: Counter[str] = Counter()
+        self._ended: set[str] = set()
+        self._news = threading.Condition()
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        with self._news:
+            self._dropped[str(event.progress.runId)] += sum(
+                operator.numRowsDroppedByWatermark for operator in event.progress.stateOperators
+            )
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        with self._news:
+            self._ended.add(str(event.runId))
+            self._news.notify_all()
+
+    def dropped(self, query: StreamingQuery, wait: float = 30.0) -> int:
+        """Rows dropped so far; of an ended query all of them, as its last report comes before its end."""
+        run = str(query.runId)
+        with self._news:
+            if not query.isActive and not self._news.wait_for(lambda: run in self._ended, wait):
+                raise TimeoutError("the end of the query was not reported")
+            return self._dropped[run]
+
+
+_listeners: dict[str, LateRows] = {}
+
+
+def _watch(spark: SparkSession) -> LateRows:
+    """The session's counter of late rows, listening since before its first query."""
+    key = f"{spark.sparkContext.applicationId} {id(spark._jsparkSession)}"
+    if key not in _listeners:
+        _listeners[key] = LateRows()
+        spark.streams.addListener(_listeners[key])
+    return _listeners[key]
+
+
+def rows_dropped_as_late(query: StreamingQuery, spark: SparkSession | None = None) -> int:
+    """Rows the watermark of a run discarded, started by this module in ``spark`` (else the active session)."""
+    return _watch(spark or SparkSession.active()).dropped(query)

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
 # Settings for a cluster session; none is required for right results.
@@ -21,14 +23,23 @@ RECOMMENDED_SETTINGS = {
     ),
 }
 
+_scratch: dict[str, list[str]] = {}
+
+
+def recommended(builder: SparkSession.Builder) -> SparkSession.Builder:
+    """The builder with the recommended settings; settings made afterwards take precedence."""
+    return builder.config(map=dict(RECOMMENDED_SETTINGS))
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, as named by the session.
 
-    Only where ``spark.checkpoint.dir`` is unset (local tests) is a local folder taken.
+    A local folder is taken only where the setting is missing and driver and executors are one process.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         configured = tempfile.mkdtemp(prefix="courtside-")
         spark.conf.set("spark.checkpoint.dir", configured)
     return configured.rstrip("/")
@@ -36,7 +47,54 @@ def shared_dir(spark: SparkSession) -> str:
 
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh path below the shared folder."""
-    return f"{shared_dir(spark)}/courtside-{label}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/courtside-{label}-{uuid.uuid4().hex}"
+    _scratch.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete every scratch path of this session; to be called when its results are no longer read."""
+    for path in _scratch.pop(spark.sparkContext.applicationId, []):
+        files, folder = hadoop_path(spark, path)
+        files.delete(folder, True)
+
+
+def hadoop_path(spark: SparkSession, path: str):
+    """(file system, path) of a location, by the session's own configuration."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), folder
+
+
+def create_once(spark: SparkSession, path: str, content: str) -> bool:
+    """Create a small file unless it is there already; False if another writer was first."""
+    files, file = hadoop_path(spark, path)
+    files.mkdirs(file.getParent())
+    try:
+        stream = files.create(file, False)
+    except Py4JJavaError as error:
+        if files.exists(file):
+            return False
+        raise error
+    stream.write(bytearray(content.encode()))
+    stream.close()
+    return True
+
+
+def read_small(spark: SparkSession, path: str) -> str:
+    files, file = hadoop_path(spark, path)
+    stream = files.open(file)
+    try:
+        return bytes(stream.readAllBytes()).decode()
+    finally:
+        stream.close()
+
+
+def names_in(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder; none if it does not exist."""
+    files, folder = hadoop_path(spark, path)
+    if not files.exists(folder):
+        return []
+    return [status.getPath().getName() for status in files.listStatus(folder)]
 
 
 def cut_lineage(rows: DataFrame) -> DataFrame:
@@ -51,4 +109,4 @@ def staged(rows: DataFrame, label: str) -> DataFrame:
     """Write once to the shared folder and read back, for results used several times."""
     path = scratch_path(rows.sparkSession, label)
     rows.write.parquet(path)
-    return rows.sparkSession.read.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)

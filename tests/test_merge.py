@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from courtside.operators.keyedtable import KeyedTable
 from courtside.operators.merge import DuplicateKeyError, merge_rows, split_duplicate_batches, with_audit
+from courtside.operators.statquery import StatQuery
 from courtside.schemas import SHOTS
 
 STAMP, LATER = datetime(2024, 1, 1), datetime(2024, 2, 1)
@@ -92,3 +93,45 @@ def test_batches_with_a_repeated_key_are_refused_whole(spark):
     clean, refused = split_duplicate_batches(rows, "batch", ["k"])
     assert sorted(map(tuple, clean.collect())) == [(1, "a"), (1, "b"), (3, "c")]
     assert [r.batch for r in refused.collect()] == [2]
+
+
+def test_the_second_of_two_writers_merges_again(spark, store, monkeypatch):
+    store.upsert(shots(spark, range(5)), STAMP)
+    other = KeyedTable(spark, store.root, SHOTS)
+    real, waiting = KeyedTable._places, [True]
+
+    def places(self, version):
+        found = real(self, version)
+        if self is store and waiting:
+            waiting.clear()
+            other.upsert(shots(spark, [50], score=2), STAMP)  # comes in between reading and publishing
+        return found
+
+    monkeypatch.setattr(KeyedTable, "_places", places)
+    assert store.upsert(shots(spark, [60], score=3), STAMP) == 3
+    assert {r.top: r.team_score for r in store.read().collect()} == {**dict.fromkeys(range(5), 1), 50: 2, 60: 3}
+
+
+def test_incomplete_commits_are_refused(spark, store, monkeypatch):
+    from courtside.operators import keyedtable
+    from courtside.workspace import create_once
+
+    monkeypatch.setattr(keyedtable, "MARKER_WAIT_S", 0.1)
+    store.upsert(shots(spark, range(5)), STAMP)
+    assert create_once(spark, f"{store.root}/commits/{2:012d}", "") and not create_once(spark, f"{store.root}/commits/{2:012d}", "x")
+    with pytest.raises(keyedtable.IncompleteCommitError):
+        store.read()
+
+
+def test_reads_prune_partitions_and_vacuum_keeps_newest(spark, store):
+    for score in (1, 2, 3):
+        store.upsert(shots(spark, range(40), score=score), STAMP)
+    query = StatQuery(season=2021, player_id="p3")
+    pruned = store.read(query=query)
+    files = pruned.inputFiles()
+    assert files and all("season=2021" in f for f in files) and len({f.split("key_bucket=")[1].split("/")[0] for f in files}) == 1
+    assert content(pruned.where("season = 2021 and player_id = 'p3'")) == content(store.read().where("season = 2021 and player_id = 'p3'"))
+    assert store.vacuum(keep=1) == 2 and store.version() == 3
+    assert {r.team_score for r in store.read().collect()} == {3}
+    with pytest.raises(Exception):
+        store.read(1).collect()
