@@ -238,10 +238,13 @@ def load_lines(events: DataFrame) -> DataFrame:
 NO_TABLE, WRONG_PLACE, OVERLONG, EMPTY, OLD_KEYS, TERSE, SHORT, DOUBLED = 7, 8, 9, 11, 5, 10, 4, 6
 
 
+# Header keys by which newer pages name the columns that older ones name as on the left.
+NEW_NAMES = {"rk": "ranker", "player": "name_display", "team_id": "team_name_abbr", "g": "games", "gs": "games_started"}
+
+
 def page_seeds(customers: DataFrame) -> DataFrame:
-    """Customer keys spread over the cores: a page is much larger than its seed row."""
-    cores = customers.sparkSession.sparkContext.defaultParallelism
-    return customers.select("c_custkey").repartition(cores)
+    """Customer keys, in partitions that Spark sizes by the data: a page is much larger than its seed row."""
+    return customers.select("c_custkey").hint("rebalance")
 
 
 def stat_page_keys(customers: DataFrame, spec: TableSpec) -> DataFrame:
@@ -271,15 +274,14 @@ def stat_pages(customers: DataFrame, spec: TableSpec) -> DataFrame:
     """
     p, v = F.col("page_id"), F.col("variant")
     old = v == OLD_KEYS
-    new_name = {"rk": "ranker", "player": "name_display", "team_id": "team_name_abbr", "g": "games", "gs": "games_started"}
     columns = [c for c in spec.names if c in spec.page_keys]
 
     def key(column: str) -> Column:
         keys = spec.page_keys[column]
         if len(keys) == 1:
             return F.lit(keys[0])
-        older = next(k for k in keys if k in new_name)
-        return F.when(old, F.lit(older)).otherwise(F.lit(new_name[older]))
+        older = next(k for k in keys if k in NEW_NAMES)
+        return F.when(old, F.lit(older)).otherwise(F.lit(NEW_NAMES[older]))
 
     def th(name: Column) -> Column:
         return F.concat(F.lit('<th class="x" data-stat="'), name, F.lit('">'), name, F.lit("</th>"))

@@ -13,15 +13,17 @@ from courtside.operators.extract import (
     comment_bodies,
     extract_shots,
     extract_tables,
+    markup_counts,
     shot_rows,
     table_rows,
     typed_rows,
     typed_shots,
 )
 from courtside.operators.keyedtable import KeyedTable
-from courtside.plans.ingest import ingest_shot_pages, ingest_stat_pages, merge_ingested, run_log
+from courtside.plans.ingest import ingest_pages_into, ingest_shot_pages, ingest_stat_pages, merge_ingested, run_log
 from courtside.schemas import ADVANCED, SHOTS, TOTALS
 from courtside.sources.pagefeeds import ingest_tasks, pages_of_tasks
+from courtside.streaming.live import parquet_stream
 from courtside.workspace import scratch_path
 
 STAMP = datetime(2024, 6, 1)
@@ -41,6 +43,17 @@ def extracted_shots(spark, d):
     return extract_shots(pages_of_tasks(feeds.shot_pages(customers(spark, d)), shot_tasks_of(spark, d)))
 
 
+def _headers(spec, old):
+    """All header keys of a page, in order."""
+
+    def key(column):
+        keys = spec.page_keys[column]
+        older = next((k for k in keys if k in feeds.NEW_NAMES), keys[0]) if len(keys) > 1 else keys[0]
+        return older if old or len(keys) == 1 else feeds.NEW_NAMES[older]
+
+    return ",".join(key(c) for c in spec.names if c in spec.page_keys)
+
+
 for _spec, _short in ((TOTALS, "totals"), (ADVANCED, "advanced")):
     query(f"extract_{_short}_rows", f"SELECT page_id, {columns(_spec)} FROM lg_{_short}_rows")(
         lambda spark, d, spec=_spec: typed_rows(table_rows(extracted(spark, d, spec), spec), spec)
@@ -67,14 +80,15 @@ for _spec, _short in ((TOTALS, "totals"), (ADVANCED, "advanced")):
     )
     query(
         f"extract_{_short}_headers",
-        f"""SELECT p AS page_id, CASE WHEN v = 5 THEN 'rk,player' ELSE 'ranker,name_display' END || ',pos,age' AS head,
+        f"""SELECT p AS page_id, CASE WHEN v = 5 THEN '{_headers(_spec, True)}' ELSE '{_headers(_spec, False)}' END
+                   || CASE WHEN v = 6 THEN ',pos' ELSE '' END AS head,
                    {len(_spec.page_keys)} + CASE WHEN v = 6 THEN 1 ELSE 0 END AS n FROM lg_page_keys WHERE v NOT IN (7, 8)""",
     )(
         lambda spark, d, spec=_spec: extracted(spark, d, spec)
         .filter(F.col("status") == "ok")
         .select(
             "page_id",
-            F.array_join(F.slice("headers", 1, 4), ",").alias("head"),
+            F.array_join("headers", ",").alias("head"),
             F.size("headers").alias("n"),
         )
     )
@@ -158,6 +172,20 @@ def page_comments(spark, d):
     )
 
 
+@query(
+    "raw_page_elements",
+    r"""SELECT page_id, 'ok' AS status, len(regexp_extract_all(html, '(?s)<!--.*?-->')) AS comments,
+               len(regexp_extract_all(live, '<p[\s>]')) AS n_p, len(regexp_extract_all(live, '<li[\s>]')) AS n_li,
+               len(regexp_extract_all(live, '<a[\s>]')) AS n_a
+        FROM (SELECT page_id, html,
+                     regexp_replace(regexp_replace(html, '(?s)<(script|style|title)[\s>].*?</(script|style|title)>', '', 'g'),
+                                    '(?s)<!--.*?-->', '', 'g') AS live FROM pages)""",
+)
+def raw_page_elements(spark, d):
+    """The markup reader over every raw page: comments and elements it finds."""
+    return markup_counts(feeds.source(spark, d, "pages"), ["p", "li", "a"])
+
+
 @query("raw_page_status", "SELECT page_id, 'no_table' AS status FROM pages")
 def raw_page_status(spark, d):
     """Raw pages hold no statistics table; each one is reported, none stops the job."""
@@ -189,6 +217,20 @@ for _spec, _short in ((TOTALS, "totals"), (ADVANCED, "advanced")):
     query(f"ingest_{_short}", f"SELECT {columns(_spec)} FROM lg_{_short}_rows")(_ingest)
 
 
+@query("stream_ingest_totals", f"SELECT {columns(TOTALS)} FROM lg_totals_rows")
+def stream_ingest_totals(spark, d):
+    """Pages that keep arriving: extraction and merge in every micro-batch."""
+    root = scratch_path(spark, "stream-ingest")
+    pages = feeds.stat_pages(customers(spark, d), TOTALS)
+    # Two files, each a micro-batch; between pages with a key in common the later one wins.
+    for part in (pages.filter("page_id < 60"), pages.filter("page_id >= 60")):
+        part.coalesce(1).write.mode("append").parquet(f"{root}/pages")
+    stream = parquet_stream(spark, f"{root}/pages", pages.schema, maxFilesPerTrigger="1")
+    store = KeyedTable(spark, f"{root}/table", TOTALS)
+    ingest_pages_into(stream, ingest_tasks(spark), store, STAMP, f"{root}/checkpoint").awaitTermination()
+    return store.read().select(*TOTALS.names)
+
+
 @query("ingest_shots", f"SELECT {columns(SHOTS)} FROM lg_shot_rows")
 def ingest_shots(spark, d):
     ingested = ingest_shot_pages(feeds.shot_pages(customers(spark, d)), shot_tasks_of(spark, d))

@@ -6,6 +6,7 @@ exploded, repeated header rows skipped, malformed rows routed aside, values type
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -21,7 +22,7 @@ from courtside.functions.coerce import (
 )
 from courtside.functions.text import has_class_token, pixels
 from courtside.schemas import ADVANCED, DOUBLE, LONG, SHOTS, TOTALS, TableSpec
-from courtside.sources.markup import shot_tooltips, stat_table
+from courtside.sources.markup import parse, shot_tooltips, stat_table
 
 # Fixed values: (table id, wrapper id) by table and season phase.
 TABLE_IDS = {
@@ -37,25 +38,38 @@ APPENDED_KEY = "player-additional"
 _ROW = pa.struct(
     [("row_class", pa.string()), ("cells", pa.list_(pa.string())), ("append_csv", pa.list_(pa.string()))]
 )
-_TABLE_FIELDS = {"status": pa.string(), "headers": pa.list_(pa.string()), "rows": pa.list_(_ROW)}
+_TABLE_FIELDS = {
+    "status": pa.string(), "message": pa.string(), "headers": pa.list_(pa.string()), "rows": pa.list_(_ROW)
+}
 _TABLE_DDL = (
-    "status string, headers array<string>, "
+    "status string, message string, headers array<string>, "
     "rows array<struct<row_class: string, cells: array<string>, append_csv: array<string>>>"
 )
 _SHOT_FIELDS = {
     "status": pa.string(),
+    "message": pa.string(),
     "player_name": pa.string(),
     "tooltips": pa.list_(pa.struct([("style", pa.string()), ("tip", pa.string())])),
 }
-_SHOT_DDL = "status string, player_name string, tooltips array<struct<style: string, tip: string>>"
+_SHOT_DDL = "status string, message string, player_name string, tooltips array<struct<style: string, tip: string>>"
 
 
 def _read_markup(pages: DataFrame, carried: list[str], reader, fields_: dict, ddl: str) -> DataFrame:
-    """Run ``reader(row)`` over every page; ``carried`` columns pass through untouched."""
+    """Run ``reader(row)`` over every page; ``carried`` columns pass through untouched.
+
+    A page the reader fails on becomes a row of status ``error`` with the message; no page stops the job.
+    """
+    blank = {name: [] if pa.types.is_list(kind) else None for name, kind in fields_.items()}
+
+    def guarded(row: dict) -> dict:
+        try:
+            return blank | reader(row)
+        except Exception as error:  # whatever a page does to the reader
+            return blank | {"status": "error", "message": f"{type(error).__name__}: {error}"[:500]}
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [reader(row) for row in batch.to_pylist()]
+            found = [guarded(row) for row in batch.to_pylist()]
             arrays = [batch.column(name) for name in carried]
             arrays += [pa.array([f[name] for f in found], type=t) for name, t in fields_.items()]
             yield pa.RecordBatch.from_arrays(arrays, names=[*carried, *fields_])
@@ -70,9 +84,10 @@ def extract_tables(pages: DataFrame, spec: TableSpec) -> DataFrame:
     Pages without the table's id never cross into Python: their markup is blanked first.
     """
     ids = TABLE_IDS[spec.name]
-    marked = F.when(F.col("is_playoff"), F.col("html").contains(ids[True][0])).otherwise(
-        F.col("html").contains(ids[False][0])
-    )
+    # A page of no known phase reaches the reader, which refuses it.
+    marked = F.col("is_playoff").isNull() | F.when(
+        F.col("is_playoff"), F.col("html").contains(ids[True][0])
+    ).otherwise(F.col("html").contains(ids[False][0]))
     carried = ["page_id", "season", "is_playoff"]
     needed = pages.select(*carried, F.when(marked, F.col("html")).alias("html"))
 
@@ -293,6 +308,21 @@ def shot_date(date_text: Column) -> Column:
     return F.try_to_date(date_text, "MMM d,yyyy")
 
 
+def markup_counts(pages: DataFrame, tags: list[str]) -> DataFrame:
+    """(page_id, status, comments, and per tag the number of elements) as the reader sees every page."""
+
+    def reader(row: dict) -> dict:
+        root = parse(row["html"] or "")
+        found = Counter(element.tag for element in root.walk())
+        return {"status": "ok", "comments": sum(1 for _ in root.comments())} | {f"n_{tag}": found[tag] for tag in tags}
+
+    names = ["comments", *[f"n_{tag}" for tag in tags]]
+    fields_ = {"status": pa.string(), "message": pa.string()} | {name: pa.int64() for name in names}
+    ddl = "status string, message string, " + ", ".join(f"{name} bigint" for name in names)
+    read = _read_markup(pages.select("page_id", "html"), ["page_id"], reader, fields_, ddl)
+    return read.select("page_id", "status", *names)
+
+
 def comment_bodies(html: Column) -> Column:
     """All comment texts of a page, natively."""
     return F.regexp_extract_all(html, F.lit("(?s)<!--(.*?)-->"), F.lit(1))

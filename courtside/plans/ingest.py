@@ -6,6 +6,7 @@ from dataclasses import dataclass
 from datetime import datetime
 
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from courtside.operators.extract import (
     extract_shots,
@@ -19,6 +20,7 @@ from courtside.operators.keyedtable import KeyedTable
 from courtside.operators.merge import last_of_duplicates, split_duplicate_batches
 from courtside.schemas import SHOTS, TableSpec
 from courtside.sources.pagefeeds import pages_of_tasks
+from courtside.streaming.live import stream_id
 from courtside.workspace import staged
 
 
@@ -68,6 +70,32 @@ def merge_ingested(table: KeyedTable, ingested: Ingested, stamp: datetime) -> in
     return table.upsert(batch, stamp)
 
 
+def ingest_pages_into(
+    pages: DataFrame,
+    tasks: DataFrame,
+    table: KeyedTable,
+    stamp: datetime,
+    checkpoint: str,
+    log_path: str | None = None,
+    trigger: dict | None = None,
+) -> StreamingQuery:
+    """Continuous ingest: every micro-batch of arriving season pages is read and merged.
+
+    Malformed rows and failing pages never stop the stream. With ``log_path`` the run log of each
+    batch is kept in a folder of the batch's number.
+    """
+
+    def ingest(batch: DataFrame, batch_id: int) -> None:
+        found = ingest_stat_pages(batch, tasks, table.spec)
+        rows = last_of_duplicates(found.rows, list(table.spec.keys), ["page_id"])
+        table.upsert(rows, stamp, commit=batch_id, stream=stream_id(batch.sparkSession, checkpoint))
+        if log_path:
+            run_log(found, table.spec).write.mode("overwrite").parquet(f"{log_path}/batch={batch_id}")
+
+    writer = pages.writeStream.foreachBatch(ingest).option("checkpointLocation", checkpoint)
+    return writer.trigger(**(trigger or {"availableNow": True})).start()
+
+
 def run_log(ingested: Ingested, spec: TableSpec) -> DataFrame:
     """Pages per (table, season, phase, status), with the rows they contributed."""
     per_page = ingested.rows.groupBy("page_id").agg(F.count(F.lit(1)).alias("n_rows"))

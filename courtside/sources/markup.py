@@ -7,6 +7,7 @@ tooltips from it. All typing, cleaning and filtering happens later in Spark colu
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from html import unescape
 
 VOID = {
@@ -52,10 +53,11 @@ PLAYER_ATTRIBUTE = "data-append-csv"
 
 
 class Element:
-    __slots__ = ("tag", "source", "children", "parent", "_attrs")
+    __slots__ = ("tag", "source", "children", "parent", "depth", "_attrs")
 
     def __init__(self, tag: str, source: str, parent: Element | None):
         self.tag, self.source, self.parent, self.children = tag, source, parent, []
+        self.depth = 0 if parent is None else parent.depth + 1
         self._attrs = None
 
     @property
@@ -88,11 +90,23 @@ class Element:
             elif type(node) is Comment:
                 yield node
 
-    def inside(self, tag: str) -> bool:
-        node = self.parent
-        while node is not None and node.tag != tag:
-            node = node.parent
-        return node is not None
+    def below(self, marks, at_root: tuple = ()) -> list[tuple[Element, tuple]]:
+        """Descendants in document order, each with which of ``marks`` some element above it meets.
+
+        ``at_root`` says which hold for this element's own place; the tests are handed down, so no
+        element walks back up.
+        """
+        held = at_root or tuple(False for _ in marks)
+        held = tuple(h or mark(self) for h, mark in zip(held, marks))
+        found, pending = [], [(child, held) for child in self.children[::-1]]
+        while pending:
+            node, held = pending.pop()
+            if type(node) is Element:
+                found.append((node, held))
+                if node.children:
+                    inner = tuple(h or mark(node) for h, mark in zip(held, marks))
+                    pending += [(child, inner) for child in node.children[::-1]]
+        return found
 
     def text(self) -> str:
         if len(self.children) == 1 and type(self.children[0]) is str:
@@ -114,77 +128,129 @@ class Comment(str):
     """Comment text, kept apart from character data."""
 
 
-def _unwind(current: Element, closed: set, boundary: set) -> Element:
-    """Innermost element left open after ending ``closed`` ones above the boundary."""
-    node, result = current, current
-    while node.parent is not None and node.tag not in boundary:
-        if node.tag in closed:
-            result = node.parent
-        node = node.parent
-    return result
+class _Open:
+    """The open elements: the innermost one, and for each tag those that are open, outermost first.
+
+    Every element is opened and ended once, and what an end tag reaches is found by depth.
+    """
+
+    def __init__(self, root: Element):
+        self.current = root
+        self.by_tag: dict[str, list[Element]] = {}
+
+    def push(self, element: Element) -> None:
+        self.by_tag.setdefault(element.tag, []).append(element)
+        self.current = element
+
+    def end_through(self, depth: int) -> None:
+        """End all elements at ``depth`` and deeper."""
+        while self.current.depth >= depth:
+            self.by_tag[self.current.tag].pop()
+            self.current = self.current.parent
+
+    def deepest(self, tags) -> int:
+        return max((self.by_tag[tag][-1].depth for tag in tags if self.by_tag.get(tag)), default=0)
+
+    def unwind(self, closed: set, boundary: set) -> None:
+        """End the outermost of ``closed`` that is open below the boundary, with all inside it."""
+        floor, first = self.deepest(boundary), None
+        for tag in closed:
+            held = self.by_tag.get(tag)
+            if held:
+                at = bisect_right(held, floor, key=lambda element: element.depth)
+                if at < len(held) and (first is None or held[at].depth < first):
+                    first = held[at].depth
+        if first is not None:
+            self.end_through(first)
+
+    def close(self, tag: str) -> None:
+        """What an end tag closes; a stray one changes nothing.
+
+        Nothing reaches out of a table, and inside a cell only table parts can be closed from within.
+        """
+        held = self.by_tag.get(tag)
+        if not held:
+            return
+        depth = held[-1].depth
+        if depth < self.deepest(("table",)) or (tag not in TABLE_PARTS and depth < self.deepest(("td", "th"))):
+            return
+        self.end_through(depth)
 
 
 def parse(markup: str) -> Element:
-    root = current = Element("", "", None)
-    for text, bang, comment, raw, raw_attrs, body, close, tag, attrs, lone in TOKEN.findall(markup):
+    root = Element("", "", None)
+    open_ = _Open(root)
+    # Behind the last ">" no tag can end, so nothing there is searched for one.
+    last = markup.rfind(">") + 1
+    unended = None
+    for match in TOKEN.finditer(markup, 0, last):
+        if match.end() == match.start():
+            break
+        text, bang, comment, raw, raw_attrs, body, close, tag, attrs, lone = match.groups("")
+        unended = None
         if text or lone:
             text += lone
-            current.children.append(unescape(text) if "&" in text else text)
+            open_.current.children.append(unescape(text) if "&" in text else text)
         if tag:
             tag = tag.lower()
             if close:
-                current = _close(current, tag)
+                open_.close(tag)
                 continue
             if tag in CLOSED_BY or tag in CLOSES_P:
-                current = _prepare(current, tag)
-            element = Element(tag, attrs, current)
-            current.children.append(element)
+                _prepare(open_, tag)
+            element = Element(tag, attrs, open_.current)
+            open_.current.children.append(element)
             if tag not in VOID:
-                current = element
+                open_.push(element)
         elif bang:
-            current.children.append(Comment(comment))
+            open_.current.children.append(Comment(comment))
+            if comment and match.end(3) == last:
+                unended = "comment"
         elif raw:
             raw = raw.lower()
-            element = Element(raw, raw_attrs, current)
+            element = Element(raw, raw_attrs, open_.current)
             element.children.append(unescape(body) if raw in ("title", "textarea") else body)
-            current.children.append(element)
+            open_.current.children.append(element)
+            if match.end(6) == last:
+                unended = raw
+    _add_rest(open_.current, markup[last:], unended)
     return root
 
 
-def _prepare(current: Element, tag: str) -> Element:
-    """End what the new tag implicitly ends, and add the implied table parts."""
-    if tag in CLOSED_BY:
-        current = _unwind(current, *CLOSED_BY[tag])
+def _add_rest(current: Element, rest: str, unended: str | None) -> None:
+    """What follows the last ``>``: more of the comment or raw element left open there, else text."""
+    if not rest:
+        return
+    if unended == "comment":
+        current.children[-1] = Comment(current.children[-1] + rest)
+    elif unended:
+        current.children[-1].children[0] += unescape(rest) if unended in ("title", "textarea") else rest
     else:
-        current = _unwind(current, {"p"}, {"table", "td", "th"})
-    if tag == "tr" and current.tag == "table":
-        current = _open_implied(current, "tbody")
-    elif tag in ("td", "th") and current.tag in ("table", "tbody", "thead", "tfoot"):
-        if current.tag == "table":
-            current = _open_implied(current, "tbody")
-        current = _open_implied(current, "tr")
-    return current
-
+        text, mark, comment = rest.partition("<!--")
+        if text:
+            current.children.append(unescape(text))
+        if mark:
+            current.children.append(Comment(comment))
 
-def _open_implied(parent: Element, tag: str) -> Element:
-    element = Element(tag, "", parent)
-    parent.children.append(element)
-    return element
 
+def _prepare(open_: _Open, tag: str) -> None:
+    """End what the new tag implicitly ends, and add the implied table parts."""
+    if tag in CLOSED_BY:
+        open_.unwind(*CLOSED_BY[tag])
+    else:
+        open_.unwind({"p"}, {"table", "td", "th"})
+    if tag == "tr" and open_.current.tag == "table":
+        _open_implied(open_, "tbody")
+    elif tag in ("td", "th") and open_.current.tag in ("table", "tbody", "thead", "tfoot"):
+        if open_.current.tag == "table":
+            _open_implied(open_, "tbody")
+        _open_implied(open_, "tr")
 
-def _close(current: Element, tag: str) -> Element:
-    """Parent of the element an end tag closes; a stray end tag changes nothing.
 
-    Inside a cell only table parts can be closed from within.
-    """
-    node = current
-    while node.parent is not None:
-        if node.tag == tag:
-            return node.parent
-        if node.tag == "table" or (node.tag in ("td", "th") and tag not in TABLE_PARTS):
-            return current
-        node = node.parent
-    return current
+def _open_implied(open_: _Open, tag: str) -> None:
+    element = Element(tag, "", open_.current)
+    open_.current.children.append(element)
+    open_.push(element)
 
 
 def stat_table(markup: str, table_id: str, wrapper_id: str | None) -> dict:
@@ -202,26 +268,32 @@ def stat_table(markup: str, table_id: str, wrapper_id: str | None) -> dict:
             tables = _tables(parse(hidden[0]), table_id, None)
     if not tables:
         return {"status": "no_table", "headers": [], "rows": []}
-    inner = [element for table in tables for element in table.walk()]
-    headers = [
-        cell.attrs["data-stat"]
-        for cell in inner
-        if cell.tag == "th" and cell.inside("thead") and cell.inside("tr") and cell.attrs.get("data-stat")
-    ]
-    rows = [_row(tr) for tr in inner if tr.tag == "tr" and tr.inside("tbody")]
+    headers, rows = [], []
+    for table, place in tables:
+        for element, (in_head, in_row, in_body) in table.below(_PARTS, place):
+            if element.tag == "th" and in_head and in_row and element.attrs.get("data-stat"):
+                headers.append(element.attrs["data-stat"])
+            elif element.tag == "tr" and in_body:
+                rows.append(_row(element))
     return {"status": "ok", "headers": headers, "rows": rows}
 
 
-def _tables(root: Element, table_id: str, wrapper_id: str | None) -> list[Element]:
-    found = [e for e in root.walk() if e.tag == "table" and e.attrs.get("id") == table_id]
-    return [t for t in found if _below(t, wrapper_id)] if wrapper_id else found
+_PARTS = tuple((lambda element, tag=tag: element.tag == tag) for tag in ("thead", "tr", "tbody"))
 
 
-def _below(element: Element, wrapper_id: str) -> bool:
-    node = element.parent
-    while node is not None and node.attrs.get("id") != wrapper_id:
-        node = node.parent
-    return node is not None
+def _has_id(value: str):
+    return lambda element: element.attrs.get("id") == value
+
+
+def _tables(root: Element, table_id: str, wrapper_id: str | None) -> list[tuple[Element, tuple]]:
+    """Outermost tables of that id (inside the wrapper), with the table parts around each."""
+    wanted = lambda element: element.tag == "table" and element.attrs.get("id") == table_id
+    marks = (wanted, *_PARTS, _has_id(wrapper_id))
+    return [
+        (element, held[1:4])
+        for element, held in root.below(marks)
+        if wanted(element) and not held[0] and (held[4] or not wrapper_id)
+    ]
 
 
 def _row(tr: Element) -> dict:
@@ -242,8 +314,8 @@ def shot_tooltips(markup: str) -> dict:
     name = next(
         (
             e.text()
-            for e in root.walk()
-            if e.tag == "span" and e.attrs.get("itemprop") == "name" and _below(e, "meta")
+            for e, (in_meta,) in root.below((_has_id("meta"),))
+            if in_meta and e.tag == "span" and e.attrs.get("itemprop") == "name"
         ),
         "",
     )
@@ -251,11 +323,15 @@ def shot_tooltips(markup: str) -> dict:
     chart = next((c for c in root.comments() if 'id="div_shot-chart"' in c), None)
     if chart is None:
         return outcome
-    wrappers = [
-        e
-        for e in parse(chart).walk()
-        if e.tag == "div" and e.attrs.get("id") == "shot-wrapper" and _chart_above(e)
-    ]
+    is_chart = lambda e: e.tag == "div" and e.attrs.get("id") == "div_shot-chart"
+    is_wrapper = lambda e: e.tag == "div" and e.attrs.get("id") == "shot-wrapper"
+    # The outermost wrappers: what lies in a wrapper within a wrapper is below the outer one as well.
+    taken: set[int] = set()
+    wrappers = []
+    for e, (in_chart, in_taken) in parse(chart).below((is_chart, lambda e: id(e) in taken)):
+        if is_wrapper(e) and in_chart and not in_taken:
+            taken.add(id(e))
+            wrappers.append(e)
     if not wrappers:
         return outcome | {"status": "no_wrapper"}
     points = [e for w in wrappers for e in w.walk() if e.tag == "div" and _is_point(e)]
@@ -263,13 +339,6 @@ def shot_tooltips(markup: str) -> dict:
     return outcome | {"status": "ok", "tooltips": tooltips}
 
 
-def _chart_above(element: Element) -> bool:
-    node = element.parent
-    while node is not None and not (node.tag == "div" and node.attrs.get("id") == "div_shot-chart"):
-        node = node.parent
-    return node is not None
-
-
 def _is_point(element: Element) -> bool:
     names = element.classes()
     return "tooltip" in names and ("make" in names or "miss" in names)

@@ -1,3 +1,9 @@
+import time
+
+import pytest
+
+from courtside.operators.extract import extract_tables
+from courtside.schemas import TOTALS
 from courtside.sources.markup import parse, shot_tooltips, stat_table
 
 
@@ -78,3 +84,48 @@ def test_shot_tooltips():
 def test_shot_page_without_comment_or_wrapper():
     assert shot_tooltips(CHART)["status"] == "no_comment"
     assert shot_tooltips("<!-- " + CHART.replace("shot-wrapper", "other") + " -->")["status"] == "no_wrapper"
+
+
+def seconds(markup):
+    start = time.perf_counter()
+    parse(markup)
+    return time.perf_counter() - start
+
+
+@pytest.mark.parametrize(
+    "shape",
+    [
+        lambda n: "<b>" * n + "</i>" * n,
+        lambda n: "<div>" * n,
+        lambda n: "<p><b>" * n,
+        lambda n: '<b a="' * n,
+        lambda n: "<b a='" * n + ">",
+        lambda n: "<b a=\"x' " * n,
+        lambda n: "<td>" * n + "</b>" * n,
+        lambda n: "<tr><td>" * n,
+        lambda n: "<!-- " * n,
+        lambda n: "<title>" * n,
+    ],
+)
+def test_bad_markup_takes_linear_time(shape):
+    parse(shape(200))
+    small, large = (min(seconds(shape(n)) for _ in range(3)) for n in (4000, 32000))
+    assert large < 0.05 + 24 * small and large < 3
+
+
+def test_what_follows_the_last_tag_is_kept():
+    assert parse("<p>a<!-- x > y").children[0].children == ["a", " x > y"]
+    assert parse("<title>a > b").children[0].children == ["a > b"]
+    assert parse("<title>a</title></b>tail").text() == "atail"
+    assert parse("<p>a</p>tail <b").text() == "atail <b"
+    assert parse("no tags").text() == "no tags" and parse("").children == []
+
+
+def test_a_failing_page_gets_a_status_row(spark):
+    pages = spark.createDataFrame(
+        [(1, 1998, None, '<table id="totals_stats">'), (2, 1998, False, table("<tbody></tbody>"))],
+        "page_id bigint, season bigint, is_playoff boolean, html string",
+    )
+    found = {r.page_id: r for r in extract_tables(pages, TOTALS).collect()}
+    assert found[1].status == "error" and "KeyError" in found[1].message and found[1].rows == []
+    assert found[2].status == "ok" and found[2].message is None
