@@ -9,7 +9,8 @@ from pyspark.sql import functions as F, types as T
 from courtside.checks.registry import columns, customers, events, query, response_columns, table
 from courtside.checks import feeds
 from courtside.operators.paging import (
-    deep_slice,
+    JSON_OPTIONS,
+    credential_json,
     json_rows,
     page_after,
     page_envelope,
@@ -18,10 +19,12 @@ from courtside.operators.paging import (
     page_with_meta,
 )
 from courtside.operators.statquery import StatQuery, matching, response_rows
-from courtside.schemas import ADVANCED, SHOTS, TOTALS
+from courtside.schemas import ADVANCED, AUDIT_COLUMNS, SHOTS, TOTALS
 from courtside.sources.pagefeeds import ingest_tasks, season_range, shot_tasks
-from courtside.sources.requestlog import counter_samples, parse_request_lines
+from courtside.sources.requestlog import counter_samples, parse_request_lines, read_request_log
 from courtside.sources.tables import listed_credentials
+from courtside.streaming.live import append_into
+from courtside.workspace import scratch_path
 
 LIVE = "deleted_at IS NULL"
 
@@ -108,6 +111,26 @@ def request_log_lines(spark, d):
     return parse_request_lines(feeds.load_lines(events(spark, d)))
 
 
+def _log_folder(spark, d):
+    """The log as text files, as a load test leaves it."""
+    path = scratch_path(spark, "request-log")
+    feeds.load_lines(events(spark, d)).write.text(path)
+    return path
+
+
+@query("request_log_files", "SELECT request_id, status, duration_ns, error FROM lg_loadlog")
+def request_log_files(spark, d):
+    return read_request_log(spark, _log_folder(spark, d))
+
+
+@query("stream_request_log", "SELECT request_id, status, duration_ns, error FROM lg_loadlog")
+def stream_request_log(spark, d):
+    root = scratch_path(spark, "stream-log")
+    lines = spark.readStream.text(_log_folder(spark, d)).withColumnRenamed("value", "line")
+    append_into(parse_request_lines(lines), f"{root}/rows", f"{root}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{root}/rows")
+
+
 @query(
     "counter_samples_15s",
     """SELECT ts, job, instance, method, endpoint, status,
@@ -266,6 +289,25 @@ def page_totals_deep(spark, d):
     return page_rows(table(spark, d, TOTALS), TOTALS, DEEP, heap_rows=2000).select(*TOTALS.names)
 
 
+LARGE = StatQuery(page=2, page_size=9000)
+
+
+@query("page_totals_large", _page_sql(TOTALS, LARGE, "TRUE"))
+def page_totals_large(spark, d):
+    """A page larger than one heap: its rows are numbered stretch by stretch, in parallel."""
+    return page_rows(table(spark, d, TOTALS), TOTALS, LARGE, heap_rows=2000).select(*TOTALS.names)
+
+
+@query(
+    "page_with_total_past_end",
+    f"""SELECT {", ".join(f'NULL::{k} AS "{c}"' for c, k in (("player_id", "VARCHAR"), ("season", "BIGINT")))},
+               count(*) AS total, (count(*) + 19) // 20 AS pages FROM lg_totals WHERE {LIVE} AND team = '{TEAM}'""",
+)
+def page_with_total_past_end(spark, d):
+    q = StatQuery(team=TEAM, page=10**6)
+    return page_with_meta(table(spark, d, TOTALS), TOTALS, q).select("player_id", "season", "total", "pages")
+
+
 @query("page_totals_after_boundary", _page_sql(TOTALS, StatQuery(page=2), "TRUE"))
 def page_totals_after_boundary(spark, d):
     """Keyset paging: the second page, asked for by the last row of the first."""
@@ -304,27 +346,33 @@ def page_with_total(spark, d):
     return page_with_meta(table(spark, d, TOTALS), TOTALS, q).select(*TOTALS.names, "total", "pages")
 
 
-def _register_envelope(spec, short):
-    rank = spec.response_names[spec.default_sort]
+_AUDIT_SQL = ", ".join(f'{c} AS "{r}"' for c, r in AUDIT_COLUMNS)
+
+
+def _response_type(spec):
+    """Every field of a response row, as it is parsed back from JSON."""
+    fields_ = [T.StructField(spec.response_names[c], kind) for c, kind in spec.types.items()]
+    return T.StructType(fields_ + [T.StructField(r, T.TimestampNTZType()) for _, r in AUDIT_COLUMNS])
 
+
+def _register_envelope(spec, short):
     @query(
         f"envelope_{short}",
         f"""WITH hit AS (SELECT *, row_number() OVER (ORDER BY {_order_sql(spec, StatQuery())}) AS pos
                          FROM lg_{short} WHERE {LIVE} AND season = {SEASON})
-            SELECT CAST(pos AS INTEGER) AS pos, player_id AS "playerId", {spec.default_sort} AS "{rank}",
+            SELECT CAST(pos AS INTEGER) AS pos, {response_columns(spec)}, {_AUDIT_SQL},
                    (SELECT count(*) FROM hit) AS total, CAST(2 AS BIGINT) AS page, CAST(20 AS BIGINT) AS "pageSize",
                    (SELECT (count(*) + 19) // 20 FROM hit) AS pages
             FROM hit WHERE pos BETWEEN 21 AND 40""",
     )
     def envelope(spark, d):
-        """The JSON document, read back: row order, a row value and the paging numbers."""
+        """The JSON document, read back: row order, every field of a row and the paging numbers."""
         document = page_envelope(table(spark, d, spec), spec, StatQuery(season=SEASON, page=2))
-        row = T.StructType([
-            T.StructField("playerId", T.StringType()), T.StructField(rank, spec.types[spec.default_sort])
-        ])
         paging = T.StructType([T.StructField(n, T.LongType()) for n in ("total", "page", "pageSize", "pages")])
-        shape = T.StructType([T.StructField("data", T.ArrayType(row)), T.StructField("pagination", paging)])
-        parsed = document.select(F.from_json("envelope", shape).alias("e"))
+        shape = T.StructType(
+            [T.StructField("data", T.ArrayType(_response_type(spec))), T.StructField("pagination", paging)]
+        )
+        parsed = document.select(F.from_json("envelope", shape, JSON_OPTIONS).alias("e"))
         return parsed.select("e.pagination.*", F.posexplode("e.data").alias("pos", "row")).select(
             (F.col("pos") + 21).alias("pos"), "row.*", "total", "page", "pageSize", "pages"
         )
@@ -343,22 +391,19 @@ def envelope_empty_page(spark, d):
     )
 
 
-@query(
-    "json_rows_shots",
-    f"""SELECT player_id AS "playerId", "left", shot_type AS "shotType", result FROM lg_shots WHERE {LIVE}""",
-)
+@query("json_rows_shots", f"SELECT {response_columns(SHOTS)}, {_AUDIT_SQL} FROM lg_shots WHERE {LIVE}")
 def json_rows_shots(spark, d):
-    """Unpaged JSON rows, parsed again."""
-    shape = "playerId string, left bigint, shotType string, result boolean"
-    return json_rows(table(spark, d, SHOTS), SHOTS).select(F.from_json("json", shape).alias("r")).select("r.*")
+    """Unpaged JSON rows, every field parsed again."""
+    rows = json_rows(table(spark, d, SHOTS), SHOTS)
+    return rows.select(F.from_json("json", _response_type(SHOTS), JSON_OPTIONS).alias("r")).select("r.*")
 
 
 @query(
     "json_rows_credentials",
-    "SELECT id, base64(unhex(hash)) AS hash, label, revoked FROM lg_keys WHERE revoked_at IS NULL",
+    """SELECT id AS "ID", base64(unhex(hash)) AS "Hash", label AS "Label", revoked AS "Revoked",
+              created_at AS "CreatedAt", revoked_at AS "RevokedAt" FROM lg_keys WHERE revoked_at IS NULL""",
 )
 def json_rows_credentials(spark, d):
     keys = feeds.credentials(spark, d).withColumn("hash", F.unhex("hash"))
-    encoded = listed_credentials(keys).select(F.to_json(F.struct("*")).alias("json"))
-    shape = "id bigint, hash string, label string, revoked boolean"
-    return encoded.select(F.from_json("json", shape).alias("r")).select("r.*")
+    shape = "ID bigint, Hash string, Label string, Revoked boolean, CreatedAt timestamp_ntz, RevokedAt timestamp_ntz"
+    return credential_json(keys).select(F.from_json("json", shape, JSON_OPTIONS).alias("r")).select("r.*")

@@ -96,16 +96,15 @@ def _register_merges(short):
         store.upsert(batch, STAMP)
         return store.read().select(*spec.names)
 
-    if short == "shots":
-        return
+    _, base_where, delta_where, _ = _CASES[short]
 
     @query(
         f"db_operations_{short}",
-        f"""SELECT CASE WHEN b.player_id IS NULL THEN 'insert' ELSE 'update' END AS operation,
+        f"""SELECT CASE WHEN b.known IS NULL THEN 'insert' ELSE 'update' END AS operation,
                    '{spec.name}' AS entity, count(*) AS n
-            FROM (SELECT * FROM lg_{short} WHERE season >= 2000) n
-            LEFT JOIN (SELECT * FROM lg_{short} WHERE season < 2001) b USING (player_id, season, team, is_playoff)
-            GROUP BY 1, 2""",
+            FROM (SELECT * FROM lg_{short} WHERE {delta_where}) n
+            LEFT JOIN (SELECT {", ".join(f'"{k}"' for k in spec.keys)}, TRUE AS known FROM lg_{short} WHERE {base_where}) b
+            USING ({", ".join(f'"{k}"' for k in spec.keys)}) GROUP BY 1, 2""",
     )
     def operations(spark, d):
         _, base, batch = base_and_delta(spark, d, short)

@@ -7,12 +7,15 @@ from itertools import accumulate
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from courtside.operators.statquery import StatQuery, matching, order_columns, response_rows
-from courtside.schemas import TableSpec
+from courtside.schemas import AUDIT_COLUMNS, CREDENTIAL_RESPONSE, TableSpec
+from courtside.sources.tables import listed_credentials
 
-# Up to this many rows one bounded heap per task serves the page; beyond it the page
-# is located by narrowing the sort range first (same rows, no long prefix in one task).
+# A page that ends within this many rows is served by one bounded heap per task; one further
+# down, or a larger one, by counting rows per stretch of the order. Both give the same rows.
 HEAP_ROWS = 100_000
-PIVOTS = 16
+PIVOTS = 32
+# A stamp that is not set shows as null instead of being left out; stamps keep their microseconds.
+JSON_OPTIONS = {"ignoreNullFields": "false", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
 
 
 def page_rows(
@@ -21,7 +24,7 @@ def page_rows(
     """Rows of the requested page, in page order."""
     order = query.order(spec)
     found = matching(rows, query)
-    if query.offset <= heap_rows:
+    if query.offset + query.page_size <= heap_rows:
         return _slice(found, order, query.offset, query.page_size)
     return deep_slice(found, order, query.offset, query.page_size, heap_rows)
 
@@ -70,34 +73,37 @@ def page_after(rows: DataFrame, spec: TableSpec, query: StatQuery, boundary) ->
 def deep_slice(
     rows: DataFrame, order, offset: int, limit: int, heap_rows: int = HEAP_ROWS
 ) -> DataFrame:
-    """Exact ``orderBy.offset.limit`` for any offset.
+    """Exact ``orderBy.offset.limit`` for any offset and any limit, distributed.
 
-    Each round draws a few pivot rows, counts the rows between neighbouring pivots in one
-    parallel aggregate, and keeps only the stretch that holds the page. What returns to
-    the driver is the pivots and one count per stretch.
+    A few pivot rows are drawn once, and one parallel aggregate counts the rows between
+    neighbouring pivots. Only the stretches that hold the page are read then; rows are numbered
+    within each stretch, and a stretch's first number is known from the counts. What returns
+    to the driver is the pivots and one count per stretch. Equal rows share a stretch.
     """
     columns = [column for column, _ in order]
-    region, round_no = rows, 0
-    while offset > heap_rows:
-        draw = F.xxhash64(F.lit(round_no), *[F.col(c) for c in columns])
-        drawn = region.select(*columns).orderBy(draw, *columns).limit(PIVOTS)
-        pivots = [tuple(pivot) for pivot in drawn.orderBy(*order_columns(order)).collect()]
-        stretch = _pivots_passed(order, pivots, 0, len(pivots)).alias("stretch")
-        held = dict(region.groupBy(stretch).agg(F.count(F.lit(1))).collect())
-        if offset >= sum(held.values()):
-            return region.limit(0)
-        # Rows up to and including each pivot, in pivot order.
-        up_to = list(accumulate(held.get(i, 0) for i in range(len(pivots))))
-        below = [(n, p) for n, p in zip(up_to, pivots) if n <= offset]
-        above = [p for n, p in zip(up_to, pivots) if n >= offset + limit]
-        if below:
-            skipped, pivot = below[-1]
-            region = region.filter(_not_before(order, pivot) & after(order, pivot))
-            offset -= skipped
-        if above:
-            region = region.filter(~after(order, above[0]))
-        round_no += 1
-    return _slice(region, order, offset, limit)
+    draw = F.xxhash64(*[F.col(c) for c in columns])
+    drawn = rows.select(*columns).orderBy(draw, *columns).limit(PIVOTS).distinct()
+    pivots = [tuple(pivot) for pivot in drawn.orderBy(*order_columns(order)).collect()]
+    stretch = _pivots_passed(order, pivots, 0, len(pivots))
+    held = dict(rows.groupBy(stretch.alias("stretch")).agg(F.count(F.lit(1))).collect())
+    # Rows ahead of each stretch.
+    ahead = list(accumulate((held.get(i, 0) for i in range(len(pivots) + 1)), initial=0))
+    if offset >= ahead[-1]:
+        return rows.limit(0)
+    low = next(i for i in range(len(pivots) + 1) if ahead[i + 1] > offset)
+    high = next(i for i in range(len(pivots) + 1) if ahead[i + 1] >= min(offset + limit, ahead[-1]))
+    region = rows
+    if low > 0:
+        region = region.filter(_not_before(order, pivots[low - 1]) & after(order, pivots[low - 1]))
+    if high < len(pivots):
+        region = region.filter(~after(order, pivots[high]))
+    if offset - ahead[low] + limit <= heap_rows:
+        return _slice(region, order, offset - ahead[low], limit)
+    inside = Window.partitionBy("_stretch").orderBy(*order_columns(order))
+    first = F.element_at(F.array(*[F.lit(n).cast("bigint") for n in ahead]), F.col("_stretch") + 1)
+    numbered = region.withColumn("_stretch", stretch).withColumn("_number", first + F.row_number().over(inside))
+    page = numbered.filter((F.col("_number") > offset) & (F.col("_number") <= offset + limit))
+    return page.drop("_stretch", "_number").orderBy(*order_columns(order))
 
 
 def _pivots_passed(order, pivots, low: int, high: int) -> Column:
@@ -123,40 +129,50 @@ def page_meta(rows: DataFrame, query: StatQuery) -> DataFrame:
 
 
 def page_with_meta(rows: DataFrame, spec: TableSpec, query: StatQuery) -> DataFrame:
-    """Page rows, each carrying total and page count as scalar subqueries."""
-    meta = page_meta(rows, query)
-    return page_rows(rows, spec, query).select(
-        "*",
-        meta.select("total").scalar().alias("total"),
-        meta.select("pages").scalar().alias("pages"),
-    )
+    """Page rows, each carrying total and page count; an empty page gives one row of nulls with them."""
+    counted = page_meta(rows, query)
+    meta = counted.select(F.struct("total", "pages")).scalar()
+    page = page_rows(rows, spec, query)
+    filled = page.select("*", meta["total"].alias("total"), meta["pages"].alias("pages"))
+    shown = page.limit(1).agg(F.count(F.lit(1))).scalar()
+    nothing = [F.lit(None).cast(f.dataType).alias(f.name) for f in page.schema.fields]
+    return filled.unionByName(counted.where(shown == 0).select(*nothing, "total", "pages"))
 
 
 def page_envelope(rows: DataFrame, spec: TableSpec, query: StatQuery) -> DataFrame:
-    """One JSON document: the page's rows in order plus the paging numbers.
+    """One JSON document: the page's rows in order, audit stamps included, and the paging numbers.
 
-    Only one page is gathered into the document. Results without a page size belong in
-    :func:`write_json_rows`, which writes one object per row in parallel.
+    A page too large for one heap is not gathered into one value. It comes as one document per row,
+    in page order, and a last one with the paging numbers.
     """
-    if query.page_size > HEAP_ROWS:
-        raise ValueError("page too large for one document; write the rows as JSON lines")
+    names = {**spec.response_names, **dict(AUDIT_COLUMNS)}
     page = page_rows(rows, spec, query)
+    row = F.struct(*[F.col(c).alias(r) for c, r in names.items() if c in page.columns])
+    pagination = page_meta(rows, query).select(F.struct("*").alias("p"))
+    if query.page_size > HEAP_ROWS:
+        lines = page.select(F.to_json(F.struct(row.alias("row")), JSON_OPTIONS).alias("envelope"))
+        return lines.unionByName(pagination.select(F.to_json(F.struct(F.col("p").alias("pagination"))).alias("envelope")))
     # The window runs over at most one page.
     position = F.row_number().over(Window.orderBy(*order_columns(query.order(spec))))
-    row = F.struct(*[F.col(c).alias(r) for c, r in spec.response_names.items()])
     gathered = page.select(position.alias("i"), row.alias("row")).agg(
         F.transform(F.array_sort(F.collect_list(F.struct("i", "row"))), lambda x: x["row"]).alias("data")
     )
-    pagination = page_meta(rows, query).select(F.struct("*").alias("p")).scalar()
     return gathered.select(
-        F.to_json(F.struct("data", pagination.alias("pagination"))).alias("envelope")
+        F.to_json(F.struct("data", pagination.scalar().alias("pagination")), JSON_OPTIONS).alias("envelope")
     )
 
 
 def json_rows(rows: DataFrame, spec: TableSpec) -> DataFrame:
-    """One JSON object per row, unpaged."""
-    return response_rows(rows, spec).select(F.to_json(F.struct("*")).alias("json"))
+    """One JSON object per row, unpaged, audit stamps included."""
+    return response_rows(rows, spec, with_audit=True).select(F.to_json(F.struct("*"), JSON_OPTIONS).alias("json"))
+
+
+def credential_json(credentials: DataFrame) -> DataFrame:
+    """One JSON object per listed credential, its hash as base64 text."""
+    shown = listed_credentials(credentials)
+    row = F.struct(*[F.col(c).alias(r) for c, r in CREDENTIAL_RESPONSE.items()])
+    return shown.select(F.to_json(row, JSON_OPTIONS).alias("json"))
 
 
 def write_json_rows(rows: DataFrame, spec: TableSpec, path: str) -> None:
-    response_rows(rows, spec).write.mode("errorifexists").json(path)
+    response_rows(rows, spec, with_audit=True).write.mode("errorifexists").options(**JSON_OPTIONS).json(path)

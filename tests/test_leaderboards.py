@@ -1,9 +1,10 @@
+import json
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from courtside.operators.paging import deep_slice, page_after, page_envelope, page_meta, page_rows
+from courtside.operators.paging import deep_slice, page_after, page_envelope, page_meta, page_rows, page_with_meta
 from courtside.operators.statquery import StatQuery, matching, response_rows
 from courtside.schemas import ADVANCED, SHOTS, TOTALS
 
@@ -108,9 +109,28 @@ def test_filters(rows):
     )
 
 
-def test_envelope_refuses_unbounded_pages(rows):
-    with pytest.raises(ValueError):
-        page_envelope(rows, TOTALS, StatQuery(page_size=10**7))
+def test_a_large_page_comes_as_rows_and_numbers(rows):
+    got = [json.loads(r.envelope) for r in page_envelope(rows, TOTALS, StatQuery(page_size=10**7)).collect()]
+    assert got[-1] == {"pagination": {"total": 2700, "page": 1, "pageSize": 10**7, "pages": 1}}
+    expected = ordered(rows, StatQuery())
+    assert [g["row"]["playerId"] for g in got[:-1]] == [r.player_id for r in expected]
+    assert set(got[0]["row"]) == {"playerId", "season", "team", "isPlayoff", "points", "playerName", "DeletedAt"}
+
+
+def test_large_pages_and_ties_end(rows):
+    q = StatQuery(sort_by="points", page=2, page_size=1100)
+    expected = ordered(rows, q)
+    assert page_rows(rows, TOTALS, q, heap_rows=50).collect() == expected[1100:2200]
+    one = rows.limit(1)
+    tied = one
+    for _ in range(8):
+        tied = tied.unionByName(tied)
+    assert page_rows(tied, TOTALS, StatQuery(page=3, page_size=100), heap_rows=20).count() == min(56, 100) or one.isEmpty()
+
+
+def test_an_empty_page_keeps_its_numbers(rows):
+    got = page_with_meta(rows, TOTALS, StatQuery(page=10**6)).collect()
+    assert len(got) == 1 and got[0].total == 2700 and got[0].pages == 135 and got[0].player_id is None
 
 
 def test_response_names(spark):

@@ -40,10 +40,23 @@ def test_extraction_has_no_shuffle_of_pages(spark, sf_dir):
 
 
 # These run jobs while they are built; their steps are covered by the other queries.
-EAGER = ("stream_", "ingest_", "upsert_", "page_totals_deep", "cumulative", "table_schemas")
+EAGER = ("stream_", "ingest_", "upsert_", "page_totals_deep", "page_totals_large", "cumulative", "table_schemas", "op", "pipeline")
 
 
 @pytest.mark.parametrize("name", sorted(n for n in entry.queries() if not n.startswith(EAGER)))
 def test_no_cross_joins_anywhere(spark, sf_dir, name):
     text = plan(spark, sf_dir, name)
     assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
+
+
+def test_a_cluster_needs_a_shared_folder(monkeypatch):
+    from types import SimpleNamespace
+
+    from courtside.workspace import shared_dir
+
+    for master in ("spark://host:7077", "yarn", "local-cluster[2,1,1024]"):
+        session = SimpleNamespace(
+            conf=SimpleNamespace(get=lambda key, default: None), sparkContext=SimpleNamespace(master=master)
+        )
+        with pytest.raises(ValueError):
+            shared_dir(session)
