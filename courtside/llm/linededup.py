@@ -1,12 +1,13 @@
 """Line dedup: near-equal lines across all documents, one occurrence kept per connected group.
 
-A line is normalised to its lower-cased words, digits written as 0. Lines of one normalised
+A line is normalised to its lower-cased words, ASCII punctuation left out and digits written as 0. Lines of one normalised
 form are equal. Two forms are linked when their SimHash fingerprints differ in at most
 ``REACH`` bits and their edit similarity, 1 - distance / longer length, is ``SIMILARITY`` or
 more. Of each connected group the first line stays, by document id and then line number;
 the others are cut out of their documents.
 
-Fingerprints have 60 bits in four blocks of 15. Two that differ in at most three bits agree in
+Fingerprints are over words of four bytes or more (over all words of a line that has none), since the
+few short words of a language would make unrelated lines alike. They have 60 bits in four blocks of 15. Two that differ in at most three bits agree in
 a block, so rows sorted by (block number, block value, the other bits) bring every pair together.
 
 Defined cases: null text stays null, with no lines; lines without a word are never removed; a
@@ -18,93 +19,36 @@ through and ``n_chars``, where there is one, is counted anew.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from courtside.llm.linking import MATRIX, components, runs, sorted_groups, spanning_links
+from courtside.llm import linetext
+from courtside.llm.linking import MATRIX, components, runs, sorted_groups, spanning_links, spread_groups
 from courtside.llm.shared import chunks, shuffle_partitions, source
 from courtside.workspace import staged
 
 REACH = 3
 SIMILARITY = 0.8
 BLOCKS, BLOCK_BITS = 4, 15
-BITS = BLOCKS * BLOCK_BITS
+BITS = linetext.BITS
 # The filter that preselects lines to fetch: fixed at 2^25 bits (4 MB), whatever the input.
 FILTER_BITS = 25
 
-_WORD = re.compile(r"[^\W_]+")
-_DIGITS = str.maketrans("123456789", "000000000")
-# Word hashes kept per task, at most.
-_MEMORY = 200_000
-
-
-def line_words(line: str) -> list[str]:
-    return _WORD.findall(line.lower().translate(_DIGITS))
-
-
-def normal_form(line: str) -> str:
-    return " ".join(line_words(line))
-
-
-class _WordHash(dict):
-    def __missing__(self, word: str) -> int:
-        if len(self) >= _MEMORY:
-            self.clear()
-        code = self[word] = xxhash.xxh64_intdigest(word, 7)
-        return code
-
-
-def fingerprints(words_of_lines: list[list[str]], hashes: dict[str, int]) -> np.ndarray:
-    """60-bit SimHash over the words of each line; every line has a word at least."""
-    sizes = [len(words) for words in words_of_lines]
-    total = sum(sizes)
-    codes = np.fromiter((hashes[w] for words in words_of_lines for w in words), dtype=np.uint64, count=total)
-    bits = np.unpackbits(codes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")[:, :BITS]
-    starts = np.cumsum([0, *sizes[:-1]])
-    ones = np.add.reduceat(bits, starts, axis=0, dtype=np.int32)
-    set_bits = 2 * ones > np.array(sizes)[:, None]
-    packed = np.zeros((len(sizes), 64), dtype=np.uint8)
-    packed[:, :BITS] = set_bits
-    return np.packbits(packed, axis=1, bitorder="little").view(np.uint64).ravel()
-
-
-_LINES = pa.schema(
-    [("doc_id", pa.int64()), ("row_hash", pa.int64()), ("line_no", pa.int32()), ("form", pa.int64()), ("print", pa.int64())]
-)
-
-
-def _signed(value: int) -> int:
-    return value - (1 << 64) if value >> 63 else value
-
-
 def read_lines(docs: DataFrame) -> DataFrame:
     """(doc_id, row_hash, line_no, form, print) for every line with a word."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = _WordHash()
         for batch in batches:
             for part in chunks(batch, "text", 2 << 20):
-                words, forms, row_of, numbers = [], [], [], []
-                for row, text in enumerate(part.column("text").to_pylist()):
-                    for number, line in enumerate((text or "").split("\n")):
-                        found = line_words(line)
-                        if found:
-                            words.append(found)
-                            forms.append(_signed(xxhash.xxh64_intdigest(" ".join(found))))
-                            row_of.append(row)
-                            numbers.append(number)
-                if words:
-                    at = pa.array(row_of)
-                    prints = fingerprints(words, hashes).view(np.int64)
+                for lines in linetext.read_lines(part.column("text").to_pylist()):
+                    at = pa.array(lines.rows)
                     yield pa.RecordBatch.from_arrays(
-                        [part.column("doc_id").take(at), part.column("row_hash").take(at), pa.array(numbers, pa.int32()),
-                         pa.array(forms, pa.int64()), pa.array(prints)],
-                        schema=_LINES,
+                        [part.column("doc_id").take(at), part.column("row_hash").take(at), pa.array(lines.numbers, pa.int32()),
+                         pa.array(lines.forms.view(np.int64)), pa.array(lines.prints.view(np.int64))],
+                        names=["doc_id", "row_hash", "line_no", "form", "print"],
                     )
 
     rows = docs.select(F.col("doc_id").cast("bigint"), F.xxhash64("text").alias("row_hash"), "text")
@@ -121,7 +65,7 @@ def rotated(prints: np.ndarray, block: int) -> np.ndarray:
 
 
 def _spread_keys(forms: DataFrame) -> DataFrame:
-    """(bucket, key, form): one row per block, sorted within tasks by bucket and key."""
+    """(group, bucket, key, form): one row per block, sorted within tasks by group and key."""
 
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -133,28 +77,19 @@ def _spread_keys(forms: DataFrame) -> DataFrame:
     keyed = forms.select("form", "print").mapInArrow(expand, "key bigint, form bigint")
     keyed = keyed.withColumn("bucket", F.shiftright("key", BITS - BLOCK_BITS).cast("int"))
     tasks = shuffle_partitions(forms.sparkSession)
-    return keyed.repartition(tasks, "bucket").sortWithinPartitions("bucket", "key")
+    return spread_groups(keyed, "bucket", "form").repartition(tasks, "group").sortWithinPartitions("group", "key")
 
 
-def has_neighbour(keys: np.ndarray, depth: int = 0) -> np.ndarray:
+def has_neighbour(keys: np.ndarray) -> np.ndarray:
     """Which of the sorted fingerprints of one bucket have another within reach.
 
-    A large bucket is halved into narrower ones: the bits outside the shared block hold at most
-    three differences, so cut into four parts one part is equal, and only rows equal in it are compared.
+    A large bucket is cut into narrower ones: the bits outside the shared block hold at most
+    three differences, so of four parts of them one is equal, and only rows equal in it are compared.
     """
     n = len(keys)
+    if n <= MATRIX:
+        return (np.bitwise_count(keys[:, None] ^ keys[None, :]) <= REACH).sum(axis=1) > 1
     found = np.zeros(n, dtype=bool)
-    if n <= MATRIX or depth == 2:
-        for start in range(0, n, MATRIX):
-            block = keys[start : start + MATRIX]
-            for other in range(start, n, 1 << 13):
-                many = keys[other : other + (1 << 13)]
-                close = np.bitwise_count(block[:, None] ^ many[None, :]) <= REACH
-                rows = np.arange(start, start + len(block))[:, None]
-                close &= rows < np.arange(other, other + len(many))[None, :]
-                found[start : start + len(block)] |= close.any(axis=1)
-                found[other : other + len(many)] |= close.any(axis=0)
-        return found
     free = BITS - BLOCK_BITS
     for part in range(4):
         low, high = part * free // 4, (part + 1) * free // 4
@@ -163,14 +98,15 @@ def has_neighbour(keys: np.ndarray, depth: int = 0) -> np.ndarray:
         starts, sizes = runs(value[order])
         for start, size in zip(starts[sizes > 1].tolist(), sizes[sizes > 1].tolist()):
             group = order[start : start + size]
-            group = group[np.argsort(keys[group], kind="stable")]
             ranked = keys[group]
+            if size <= MATRIX:
+                close = np.bitwise_count(ranked[:, None] ^ ranked[None, :]) <= REACH
+                found[group[close.sum(axis=1) > 1]] = True
+                continue
             # Neighbours in sorted order settle most of a dense group; the rest is compared with all.
             near = np.bitwise_count(ranked[1:] ^ ranked[:-1]) <= REACH
-            hit = np.concatenate((near, [False])) | np.concatenate(([False], near))
-            found[group[hit]] = True
-            open_rows = group[~hit & ~found[group]]
-            for one in open_rows.tolist():
+            found[group[np.concatenate((near, [False])) | np.concatenate(([False], near))]] = True
+            for one in group[~found[group]].tolist():
                 close = np.bitwise_count(keys[one] ^ ranked) <= REACH
                 if close.sum() > 1:
                     found[group[close]] = True
@@ -182,11 +118,11 @@ def _candidates(forms: DataFrame) -> DataFrame:
     mask = np.uint64((1 << BITS) - 1)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in sorted_groups(batches, "bucket"):
+        for table in sorted_groups(batches, "group"):
             buckets = table["bucket"].to_numpy()
             keys = table["key"].to_numpy().view(np.uint64) & mask
             found = np.zeros(len(keys), dtype=bool)
-            starts, sizes = runs(buckets)
+            starts, sizes = runs(table["group"].to_numpy())
             for start, size in zip(starts[sizes > 1].tolist(), sizes[sizes > 1].tolist()):
                 found[start : start + size] = has_neighbour(keys[start : start + size])
             at = np.flatnonzero(found)
@@ -196,11 +132,34 @@ def _candidates(forms: DataFrame) -> DataFrame:
                 names=["bucket", "form", "turned"],
             )
 
-    return _spread_keys(forms).mapInArrow(search, "bucket int, form bigint, turned bigint")
+    # A row of a key that was cut into blocks may be found in several of its groups.
+    return _spread_keys(forms).mapInArrow(search, "bucket int, form bigint, turned bigint").distinct()
 
 
-def edit_distance(a: str, b: str) -> int:
-    """Levenshtein distance, one whole column of the table per step in the bits of one integer."""
+def _shared(a: str, b: str) -> int:
+    """Length of the common prefix, by halving."""
+    low, high = 0, min(len(a), len(b))
+    if a[:high] == b[:high]:
+        return high
+    while high - low > 1:
+        middle = (low + high) // 2
+        if a[low:middle] == b[low:middle]:
+            low = middle
+        else:
+            high = middle
+    return low
+
+
+def edit_distance(a: str, b: str, most: int | None = None) -> int:
+    """Levenshtein distance, one whole column of the table per step in the bits of one integer.
+
+    What both have in common at their ends is left out first. With ``most`` the work ends as soon
+    as the distance is known to be larger; some number above ``most`` is then given.
+    """
+    at = _shared(a, b)
+    a, b = a[at:], b[at:]
+    at = _shared(a[::-1], b[::-1])
+    a, b = a[: len(a) - at], b[: len(b) - at]
     if len(a) > len(b):
         a, b = b, a
     if not a:
@@ -210,7 +169,11 @@ def edit_distance(a: str, b: str) -> int:
         where[char] = where.get(char, 0) | (1 << i)
     full, top = (1 << len(a)) - 1, 1 << (len(a) - 1)
     rising, falling, distance = full, 0, len(a)
+    most, left = len(b) if most is None else most, len(b)
     for char in b:
+        if distance - left > most:
+            return distance - left
+        left -= 1
         same = where.get(char, 0)
         across = (((same & rising) + rising) ^ rising) | same | falling
         up = falling | (full & ~(across | rising))
@@ -226,11 +189,40 @@ def edit_distance(a: str, b: str) -> int:
     return distance
 
 
+def stepwise_edits(a: str, b: str, most: int) -> int:
+    """An upper bound of the edit distance: walk along what is equal, and at a difference go on where
+    the next eight characters of ``a`` stand in ``b`` not far ahead. Mostly enough to accept a pair."""
+    i = j = edits = 0
+    while i < len(a) and j < len(b) and edits <= most:
+        step = _shared(a[i:], b[j:])
+        i, j = i + step, j + step
+        for skip in range(0, 33, 4):
+            probe = a[i + skip : i + skip + 8]
+            at = b.find(probe, j, j + skip + 48) if len(probe) == 8 else -1
+            if at >= 0:
+                edits += max(skip, at - j)
+                i, j = i + skip, at
+                break
+        else:
+            break
+    return edits + max(len(a) - i, len(b) - j)
+
+
 def similar(a: str, b: str, least: float = SIMILARITY) -> bool:
     longer = max(len(a), len(b))
     if min(len(a), len(b)) < least * longer:
         return False
-    return edit_distance(a, b) <= (1 - least) * longer + 1e-9
+    most = int((1 - least) * longer + 1e-9)
+    return stepwise_edits(a, b, most) <= most or edit_distance(a, b, most) <= most
+
+
+def letter_counts(lines: list[str]) -> np.ndarray:
+    """How often each of 64 classes of characters stands in each line; one edit moves two counts at most."""
+    counts = np.zeros((len(lines), 64), dtype=np.int32)
+    for i, line in enumerate(lines):
+        codes = np.frombuffer(line.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        counts[i] = np.bincount(codes & 63, minlength=64)
+    return counts
 
 
 def _filter_of(wanted: DataFrame) -> np.ndarray:
@@ -255,14 +247,13 @@ def _texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
         for batch in batches:
             for part in chunks(batch, "text", 2 << 20):
                 found: dict[int, str] = {}
-                for text in part.column("text").to_pylist():
-                    for line in (text or "").split("\n"):
-                        form = normal_form(line)
-                        if form:
-                            code = xxhash.xxh64_intdigest(form)
-                            slot = code >> (64 - FILTER_BITS)
-                            if (int(bits[slot >> 6]) >> (slot & 63)) & 1:
-                                found[_signed(code)] = form
+                for lines in linetext.read_lines(part.column("text").to_pylist(), with_prints=False):
+                    slot = lines.forms >> np.uint64(64 - FILTER_BITS)
+                    wanted_ = (bits[slot >> np.uint64(6)] >> (slot & np.uint64(63))) & np.uint64(1)
+                    codes = lines.forms.view(np.int64)
+                    for i in np.flatnonzero(wanted_).tolist():
+                        if int(codes[i]) not in found:
+                            found[int(codes[i])] = lines.text(i)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.string())], names=["form", "text"]
                 )
@@ -271,31 +262,51 @@ def _texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return texts.join(wanted, "form", "left_semi").groupBy("form").agg(F.min("text").alias("text"))
 
 
+def _met_before(one: np.uint64, others: np.ndarray, block: int) -> np.ndarray:
+    """Whether a pair in the bucket of ``block`` agrees in an earlier block, whose bucket compares it too.
+
+    Fingerprints are turned so that ``block`` leads; the earlier ones follow from the end.
+    """
+    met = np.zeros(len(others), dtype=bool)
+    for back in range(1, block + 1):
+        mask = np.uint64(((1 << BLOCK_BITS) - 1) << ((back - 1) * BLOCK_BITS))
+        met |= ((one ^ others) & mask) == 0
+    return met
+
+
 def _links(candidates: DataFrame, texts: DataFrame) -> DataFrame:
     """(a, b): a spanning forest, per bucket, of the links that edit similarity confirms."""
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in sorted_groups(batches, "bucket"):
+        for table in sorted_groups(batches, "group"):
             forms = table["form"].to_numpy()
             prints = table["turned"].to_numpy().view(np.uint64)
             lines = table["text"]
             left, right = [], []
-            starts, sizes = runs(table["bucket"].to_numpy())
+            buckets = table["bucket"].to_numpy()
+            starts, sizes = runs(table["group"].to_numpy())
             for start, size in zip(starts.tolist(), sizes.tolist()):
                 held = lines.slice(start, size).to_pylist()
 
-                def verify(i: int, others: np.ndarray, held=held) -> np.ndarray:
-                    return np.array([similar(held[i], held[j]) for j in others.tolist()], dtype=bool)
+                keys, block = prints[start : start + size], int(buckets[start]) >> BLOCK_BITS
+                counts, sizes_ = letter_counts(held), np.array([len(line) for line in held])
+
+                def verify(i: int, others: np.ndarray, held=held, keys=keys, block=block, counts=counts, sizes_=sizes_) -> np.ndarray:
+                    # At least half of the counts that differ is edits, so many pairs are told apart by them.
+                    edits = np.abs(counts[i] - counts[others]).sum(axis=1) / 2
+                    fresh = edits <= (1 - SIMILARITY) * np.maximum(sizes_[i], sizes_[others]) + 1e-9
+                    fresh &= ~_met_before(keys[i], keys[others], block)
+                    return np.array([new and similar(held[i], held[j]) for new, j in zip(fresh.tolist(), others.tolist())], dtype=bool)
 
-                a, b = spanning_links(prints[start : start + size], REACH, verify)
+                a, b = spanning_links(keys, REACH, verify)
                 left += [start + i for i in a]
                 right += [start + i for i in b]
             yield pa.RecordBatch.from_arrays([pa.array(forms[left], pa.int64()), pa.array(forms[right], pa.int64())], names=["a", "b"])
 
-    joined = candidates.join(texts, "form")
     tasks = shuffle_partitions(candidates.sparkSession)
-    grouped = joined.repartition(tasks, "bucket").sortWithinPartitions("bucket", "turned")
-    return grouped.select("bucket", "turned", "form", "text").mapInArrow(search, "a bigint, b bigint").distinct()
+    grouped = spread_groups(candidates, "bucket", "form").join(texts, "form")
+    grouped = grouped.repartition(tasks, "group").sortWithinPartitions("group", "turned")
+    return grouped.select("group", "bucket", "turned", "form", "text").mapInArrow(search, "a bigint, b bigint").distinct()
 
 
 def removals(docs: DataFrame) -> DataFrame:

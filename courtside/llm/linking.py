@@ -16,6 +16,8 @@ from courtside.workspace import staged
 
 # Up to this size a group is compared as one matrix (at most 256 K cells).
 MATRIX = 512
+# Rows of one key that one task compares, unless its key is cut into blocks; and counters for finding such keys.
+GROUP_ROWS, SLOTS = 50_000, 1 << 16
 
 Verify = Callable[[int, np.ndarray], np.ndarray]
 
@@ -136,6 +138,32 @@ def sorted_groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Ta
         yield pa.Table.from_batches(held)
 
 
+def spread_groups(rows: DataFrame, key: str, by: str, limit: int = GROUP_ROWS) -> DataFrame:
+    """``rows`` with ``group``, a number that stands for ``key``, where every group fits a task.
+
+    Rows are counted by key, hashed into SLOTS counters, so counting combines before its shuffle and
+    the list of large slots is bounded. A key in a slot of more than ``limit`` rows (or four times the
+    mean) is cut into blocks by a hash of ``by``, and each pair of blocks becomes a group: every two rows
+    of the key still meet, in groups of about twice the limit, in as many tasks as there are pairs.
+    """
+    slot = F.pmod(F.xxhash64(key), F.lit(SLOTS)).cast("int")
+    counted = rows.groupBy(slot.alias("_slot")).agg(F.count(F.lit(1)).alias("n"))
+    slots = staged(counted, "group-sizes")
+    mean = slots.agg(F.avg("n")).first()[0] or 0
+    most = max(limit, int(4 * mean))
+    large = slots.where(F.col("n") > most).select("_slot", F.ceil(F.col("n") / F.lit(most)).cast("int").alias("_blocks"))
+    plain = F.col(key).cast("bigint")
+    if large.isEmpty():
+        return rows.withColumn("group", plain)
+    # At most SLOTS / 4 pairs of numbers, so the broadcast is bounded.
+    marked = rows.withColumn("_slot", slot).join(F.broadcast(large), "_slot", "left").fillna({"_blocks": 1})
+    block = F.pmod(F.xxhash64(by), F.col("_blocks")).cast("int")
+    met = marked.withColumn("_block", block).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+    pair = F.least("_block", "_other").cast("bigint") * F.col("_blocks") + F.greatest("_block", "_other")
+    group = plain + F.shiftleft(pair, 32)
+    return met.withColumn("group", group).drop("_slot", "_blocks", "_block", "_other")
+
+
 def group_links(keys: np.ndarray, prints: np.ndarray, reach: int, small: int = 8) -> tuple[np.ndarray, np.ndarray]:
     """Linked index pairs of many sorted groups; small groups all at once, larger ones one by one."""
     left, right = [np.empty(0, np.int64)], [np.empty(0, np.int64)]

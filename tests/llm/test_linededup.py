@@ -3,7 +3,7 @@ import random
 import numpy as np
 import pytest
 
-from courtside.llm import linededup as ld
+from courtside.llm import linededup as ld, linetext
 from llm.rows import AWKWARD, documents
 
 
@@ -21,7 +21,43 @@ def test_edit_distance():
     rng = random.Random(1)
     for _ in range(200):
         a, b = ("".join(rng.choice("abcd") for _ in range(rng.randrange(70))) for _ in range(2))
-        assert ld.edit_distance(a, b) == table_distance(a, b)
+        exact = table_distance(a, b)
+        assert ld.edit_distance(a, b) == exact <= ld.stepwise_edits(a, b, 99)
+        assert (ld.edit_distance(a, b, 9) <= 9) == (exact <= 9)
+
+
+def plain_mix(value):
+    value = (value ^ (value >> 32)) * 0xFF51AFD7ED558CCD % 2**64
+    value = (value ^ (value >> 29)) * 0xC4CEB9FE1A85EC53 % 2**64
+    return value ^ (value >> 32)
+
+
+def plain_print(form):
+    """Straight from the definition: a vote per bit and word."""
+    votes, words = [0] * 64, form.encode().split(b" ")
+    words = [w for w in words if len(w) >= 4] or words
+    for word in words:
+        code = plain_mix(sum(byte * pow(linetext._BYTE_FACTOR, i, 2**64) for i, byte in enumerate(word)) % 2**64)
+        for bit in range(linetext.BITS):
+            votes[bit] += code >> bit & 1
+    return sum(1 << bit for bit in range(linetext.BITS) if 2 * votes[bit] > len(words))
+
+
+def test_lines_of_a_chunk_follow_the_definition(monkeypatch):
+    texts = [t for t in AWKWARD if not t or len(t) < 9999] + ["A-b 12\n\n  x_y\n", " ".join(f"v{i}" for i in range(1000)), "last\nline"]
+    for stretch in (1 << 20, 10):
+        monkeypatch.setattr(linetext, "STRETCH", stretch)
+        found = {}
+        for lines in linetext.read_lines(texts):
+            for i in range(len(lines.rows)):
+                found[int(lines.rows[i]), int(lines.numbers[i])] = (lines.text(i), int(lines.prints[i]), int(lines.forms[i]))
+        expected_ = {}
+        for row, text in enumerate(texts):
+            for number, line in enumerate((text or "").split("\n")):
+                if linetext.normal_form(line):
+                    expected_[row, number] = (linetext.normal_form(line), plain_print(linetext.normal_form(line)))
+        assert {k: v[:2] for k, v in found.items()} == expected_
+        assert len({v[2] for v in found.values()}) == len({v[0] for v in found.values()})
 
 
 def expected(texts):
@@ -29,12 +65,11 @@ def expected(texts):
     places = {}
     for doc_id, text in enumerate(texts):
         for number, line in enumerate((text or "").split("\n")):
-            form = ld.normal_form(line)
+            form = linetext.normal_form(line)
             if form:
                 places.setdefault(form, []).append((doc_id, number))
     forms = sorted(places)
-    hashes = ld._WordHash()
-    prints = dict(zip(forms, ld.fingerprints([f.split(" ") for f in forms], hashes).tolist())) if forms else {}
+    prints = {form: plain_print(form) for form in forms}
     root = {f: f for f in forms}
 
     def find(f):
