@@ -24,7 +24,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from courtside.llm.linking import components, group_links, sorted_groups
+from courtside.llm.linking import components, group_links, sorted_groups, spread_groups
 from courtside.llm.shared import shuffle_partitions, source
 from courtside.workspace import staged
 
@@ -145,9 +145,9 @@ def fingerprint_links(prints: DataFrame, reach: int = REACH) -> DataFrame:
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: set[tuple[int, int]] = set()
-        for table in sorted_groups(batches, "key"):
+        for table in sorted_groups(batches, "group"):
             values = table["print"].to_numpy()
-            left, right = group_links(table["key"].to_numpy(), values.view(np.uint64), reach)
+            left, right = group_links(table["group"].to_numpy(), values.view(np.uint64), reach)
             found = set(zip(values[left].tolist(), values[right].tolist())) - known
             if len(known) > 500_000:  # links already given, remembered up to here
                 known.clear()
@@ -161,7 +161,8 @@ def fingerprint_links(prints: DataFrame, reach: int = REACH) -> DataFrame:
         raise ValueError(f"the keys hold for at most {REACH} differing bits")
     tasks = shuffle_partitions(prints.sparkSession)
     keyed = prints.select("print").mapInArrow(expand, "key int, print bigint")
-    met = keyed.repartition(tasks, "key").sortWithinPartitions("key", "print")
+    grouped = spread_groups(keyed, "key", "print").select("group", "print")
+    met = grouped.repartition(tasks, "group").sortWithinPartitions("group", "print")
     return met.mapInArrow(search, "a bigint, b bigint").distinct()
 
 

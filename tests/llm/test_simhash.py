@@ -131,3 +131,30 @@ def test_stage_keeps_one_of_each_group(spark, sf_dir):
     assert simhash.stage(spark, docs.limit(0), sf_dir).count() == 0
     no_ids = docs.selectExpr("cast(null as bigint) doc_id", *docs.columns[1:])
     assert simhash.stage(spark, no_ids, sf_dir).count() == 3
+
+
+def test_hot_keys_are_cut_into_pairs_of_blocks(spark):
+    from courtside.llm.linking import spread_groups
+
+    rows = spark.createDataFrame([(7, i) for i in range(40)] + [(i, 1) for i in range(100, 130)], "key int, print bigint")
+    found = spread_groups(rows, "key", "print", limit=10).collect()
+    groups = {}
+    for r in found:
+        groups.setdefault(r.group, set()).add((r.key, r.print))
+    assert max(len(g) for g in groups.values()) < 30 and all(len({k for k, _ in g}) == 1 for g in groups.values())
+    met = {frozenset((a, b)) for g in groups.values() for a in g for b in g if a != b}
+    assert len(met) == 40 * 39 // 2
+    assert {k for g in groups.values() for k in g} == {(r.key, r.print) for r in rows.collect()}
+
+
+def test_query_form_with_hot_keys_cut(spark, monkeypatch):
+    from courtside.llm import linking
+
+    monkeypatch.setattr(linking.spread_groups, "__defaults__", (3,))
+    monkeypatch.setattr(linking, "SLOTS", 1 << 20)
+    texts = [*near_copies(3, 300), *near_copies(4, 200)]
+    found = {r.doc_id: r.component_id for r in simhash.near_duplicates(documents(spark, texts)).collect()}
+    roots = plain_components({plain_fingerprint(t) for t in texts})
+    for doc_id, text in enumerate(texts):
+        root = roots[plain_fingerprint(text)]
+        assert found[doc_id] == min(d for d, t in enumerate(texts) if roots[plain_fingerprint(t)] == root)
