@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from courtside.llm.shared import chunks, source
+from courtside.workspace import staged
 
 # Winning paths kept per host.
 PATHS = 3
@@ -256,4 +257,5 @@ def extract(pages: DataFrame, paths: DataFrame) -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = source(spark, sf_dir, "pages")
-    return extract(pages, winning_paths(pages))
+    # Stored first, so that its size is known and Spark need not shuffle the pages where it is small.
+    return extract(pages, staged(winning_paths(pages), "host-paths"))
