@@ -16,6 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from courtside.llm.shared import source
+from courtside.workspace import staged
 
 KINDS = ("assign", "access", "hex")
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -101,7 +102,10 @@ def labelled_words(docs: DataFrame, most: int = SAMPLE_WORDS, most_docs: int = S
     )
     # Runs of digits alone are numbers as often as secrets.
     random = docs.select(F.explode(values).alias("word")).where(F.col("word").rlike("[A-Za-z]"))
-    some = docs.select("text").orderBy(F.xxhash64("doc_id", "text"), "text").limit(most_docs)
+    # Only hashes are ranked; at most most_docs of them are broadcast.
+    place = F.xxhash64("doc_id", "text")
+    picked = docs.select(place.alias("_picked")).distinct().orderBy("_picked").limit(most_docs)
+    some = docs.select("text", place.alias("_place")).join(F.broadcast(picked), F.col("_place") == F.col("_picked"), "left_semi")
     # Words with digits may be secrets that are not known yet.
     rest = text
     for pattern in (ASSIGN, ACCESS, HEX):
@@ -209,7 +213,7 @@ def written(spans: Column) -> Column:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = source(spark, sf_dir, "documents").select("doc_id", "text")
-    found = scan(docs, log_ratios(labelled_words(docs)))
+    found = scan(docs, log_ratios(staged(labelled_words(docs), "labelled-words")))
 
     def count(kind: int) -> Column:
         return F.size(F.filter("_base", lambda s: s["kind"] == kind)).cast("bigint")
