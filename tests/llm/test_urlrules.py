@@ -62,3 +62,9 @@ def test_empty_tables(spark):
 def test_no_python_in_the_plan(spark, sf_dir):
     text = ur.query(spark, sf_dir)._jdf.queryExecution().toString()
     assert "Python" not in text and "Arrow" not in text and "Cartesian" not in text
+
+
+def test_query_equals_its_sql(spark, sf_dir):
+    from compare import check, connect
+
+    assert check(spark, connect(sf_dir), "op6_url_filters", ur.query, ur.SQL, sf_dir) is None
