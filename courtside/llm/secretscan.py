@@ -3,10 +3,12 @@
 Two first-order Markov models over characters are trained from labelled samples: random strings
 (the values of the base patterns) and ordinary identifiers (words long enough to be one, of which no
 secret is known). A candidate is a run of token characters; it is reported when, per step, the
-random model explains it better than the ordinary one by a margin. All of it is built-in functions.
+random model explains it better than the ordinary one by a margin. Of a run that is not, such as a
+name or path joined to a secret, the stretches of whole parts between ``+ / _ = -`` that score best are
+reported if they are long enough and above the margin themselves. All of it is built-in functions.
 
 Defined cases: null text has no spans; without random or without ordinary samples no candidate is
-reported and the base spans stay; a candidate that overlaps a base span is not reported again;
+reported and the base spans stay; of a run that overlaps base spans what lies outside them is judged;
 repeated rows are judged alike and count as samples again; ties cannot occur, since spans of one kind
 never overlap; other columns are not read.
 """
@@ -23,7 +25,10 @@ ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?(
 LEAST_ASSIGN = 12
 ACCESS = r"AKIA[A-Z0-9]{14,}"
 HEX = r"[0-9a-f]{16,}"
+LEAST_CANDIDATE = 16
 CANDIDATE = r"[A-Za-z0-9+/_=-]{16,}"
+# What joins the parts of a run; stretches begin and end at parts.
+JOINS = r"[+/_=-]"
 # Ordinary identifiers: words without a known secret in them.
 ORDINARY = r"[A-Za-z0-9_-]{6,}"
 # Labelled words per class, and documents they come from, that the models are trained on, at most.
@@ -32,6 +37,8 @@ SAMPLE_DOCS = 4_000
 # Mean log-likelihood ratio a step, above which a candidate counts as random.
 MARGIN = 0.25
 BACKING = 5.0
+# A stretch ends where its score has fallen this far below its best, so that a later secret starts afresh.
+DROP = 4.0
 # Character codes the models tell apart; all others are one.
 CODES = 128
 
@@ -177,23 +184,104 @@ def randomness(word: Column, ratio: Column) -> Column:
     return F.when(F.size(chars) > 1, total / (F.size(chars) - 1)).otherwise(F.lit(0.0))
 
 
+def stretches(word: Column, ratio: Column, margin: float) -> Column:
+    """Spans of the best-scoring stretches of whole parts, each of LEAST_CANDIDATE characters or more.
+
+    A running maximum sum over what each step's ratio has above the margin: it starts anew at a part
+    where what came before adds nothing, or has fallen DROP below its best.
+    """
+    chars = F.slice(F.split(word, ""), 1, F.length(word))
+    # The characters and their number are worked out once a word, not once a step.
+    held = F.struct(chars.alias("chars"), F.length(word).alias("n"))
+
+    def steps_of(held: Column) -> Column:
+        chars, n = held["chars"], held["n"]
+
+        def step(i: Column) -> Column:
+            here = ~F.get(chars, i).rlike(JOINS)
+            score = F.when(i > 0, F.get(ratio, _code(F.get(chars, i - 1)) * CODES + _code(F.get(chars, i))) - margin)
+            opens = here & F.coalesce(F.get(chars, i - 1).rlike(JOINS), F.lit(True))
+            closes = here & F.coalesce(F.get(chars, i + 1).rlike(JOINS), F.lit(True))
+            return F.struct(
+                i.alias("at"), F.coalesce(score, F.lit(0.0)).alias("score"), opens.alias("opens"), closes.alias("closes")
+            )
+
+        return F.transform(F.sequence(F.lit(0), n - 1), step)
+
+    steps = F.flatten(F.transform(F.array(held), steps_of))
+
+    def emitted(state: Column) -> Column:
+        span = F.struct(state["begin"].alias("start"), state["end"].alias("end"))
+        return F.when(state["end"] > 0, F.concat(state["spans"], F.array(span))).otherwise(state["spans"])
+
+    def state_of(begin: Column, total: Column, end: Column, best: Column, spans: Column) -> Column:
+        return F.struct(
+            begin.alias("begin"), total.alias("total"), end.alias("end"), best.alias("best"), spans.alias("spans")
+        )
+
+    zero, nought = F.lit(0), F.lit(0.0)
+
+    def advance(state: Column, step: Column) -> Column:
+        total = state["total"] + step["score"]
+        anew = step["opens"] & ((total <= 0) | ((state["end"] > 0) & (state["best"] - total > DROP)))
+        better = step["closes"] & (step["at"] + 1 - state["begin"] >= LEAST_CANDIDATE) & (total > state["best"])
+        return (
+            F.when(anew, state_of(step["at"], nought, zero, nought, emitted(state)))
+            .when(better, state_of(state["begin"], total, step["at"] + 1, total, state["spans"]))
+            .otherwise(state_of(state["begin"], total, state["end"], state["best"], state["spans"]))
+        )
+
+    return F.aggregate(steps, state_of(zero, nought, zero, nought, F.expr(_NO_SPANS)), advance, emitted)
+
+
+def outside(run: Column, base: Column) -> Column:
+    """The pieces of a run that no base span covers, long enough to be candidates. ``base`` is sorted by start."""
+    met = F.filter(base, lambda b: (b["start"] < run["end"]) & (run["start"] < b["end"]))
+
+    def piece(start: Column, end: Column) -> Column:
+        span = F.struct(start.alias("start"), end.alias("end"))
+        return F.when(end - start >= LEAST_CANDIDATE, F.array(span)).otherwise(F.expr(_NO_SPANS))
+
+    def advance(state: Column, b: Column) -> Column:
+        return F.struct(
+            F.greatest(state["at"], b["end"]).alias("at"),
+            F.concat(state["spans"], piece(state["at"], b["start"])).alias("spans"),
+        )
+
+    start = F.struct(run["start"].alias("at"), F.expr(_NO_SPANS).alias("spans"))
+    return F.aggregate(met, start, advance, lambda state: F.concat(state["spans"], piece(state["at"], run["end"])))
+
+
+def random_spans(run: Column, word: Column, ratio: Column, margin: float) -> Column:
+    """The whole run, if it is random as a whole; else its random stretches."""
+    shifted = F.transform(
+        stretches(word, ratio, margin),
+        lambda s: F.struct((run["start"] + s["start"]).alias("start"), (run["start"] + s["end"]).alias("end")),
+    )
+    return (
+        F.when(ratio.isNull(), F.expr(_NO_SPANS))
+        .when(randomness(word, ratio) > margin, F.array(F.struct(run["start"].alias("start"), run["end"].alias("end"))))
+        .when(word.rlike(JOINS), shifted)
+        .otherwise(F.expr(_NO_SPANS))
+    )
+
+
 def scan(docs: DataFrame, ratios: DataFrame, margin: float = MARGIN) -> DataFrame:
     """``docs`` with ``_base`` and ``_found``: arrays of (start, kind, end); kind 3 is the models' own."""
     text = F.coalesce("text", F.lit(""))
     # The one row of at most 16,384 numbers is broadcast.
     sized = with_base_spans(docs).withColumn("_candidates", pattern_spans(text, CANDIDATE))
-    free = F.filter(
-        "_candidates",
-        lambda c: ~F.exists("_base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])),
-    )
+    free = F.flatten(F.transform("_candidates", lambda c: outside(c, F.col("_base"))))
     sized = sized.withColumn("_candidates", free)
     ratio = ratios.select("ratio").scalar()
     judged = sized.withColumn("_ratio", F.when(F.size("_candidates") > 0, ratio))
-    random = F.filter(
-        "_candidates",
-        lambda c: F.coalesce(
-            randomness(F.substring(F.col("text"), c["start"] + 1, c["end"] - c["start"]), F.col("_ratio")) > margin, F.lit(False)
-        ),
+    random = F.flatten(
+        F.transform(
+            "_candidates",
+            lambda c: random_spans(
+                c, F.substring(F.col("text"), c["start"] + 1, c["end"] - c["start"]), F.col("_ratio"), margin
+            ),
+        )
     )
     extra = F.transform(random, lambda c: F.struct(c["start"].alias("start"), F.lit(3).alias("kind"), c["end"].alias("end")))
     return judged.withColumn("_found", F.array_sort(F.concat("_base", extra))).drop("_ratio", "_candidates")
