@@ -1,7 +1,8 @@
 """Main text of web pages by consensus paths per host.
 
-Each page's containers are scored by the text they hold outside menus, adverts and the like.
-The best one votes, with its generalised tag-class path, for its host; Spark counts the votes. Every
+Each page's containers are scored by the text they hold outside menus, adverts and the like. The
+deepest one with most of the text is widened to the outermost article or, where there is none, to each
+container around it that adds text. It votes, with its generalised tag-class path, for its host; Spark counts the votes. Every
 page is then read again with its host's winning paths, and only where none of them
 holds text with the page's own best container.
 
@@ -13,6 +14,7 @@ columns are not read.
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import re
 from collections.abc import Iterator
@@ -28,6 +30,8 @@ PATHS = 3
 # A container must hold this share of the page's text; the deepest such one is the best.
 SHARE = 0.6
 ARTICLE_SHARE = 0.2
+# A path longer than this is kept as a hash of the whole of it.
+LONG_PATH = 400
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset(
@@ -68,7 +72,7 @@ class Page:
     """Elements with their parents, paths and drop marks, and the text pieces in page order."""
 
     def __init__(self, markup: str):
-        self.parent, self.tag, self.path, self.dropped = [-1], [""], [""], [False]
+        self.parent, self.tag, self.path, self.dropped, self.marked = [-1], [""], [""], [False], [False]
         self.depth = [0]
         self.pieces: list[tuple[int, str]] = []  # (element, text); a lone space is a block's edge
         stack, open_tags = [0], {}
@@ -128,7 +132,11 @@ class Page:
         self.tag.append(tag)
         step = ".".join([tag, *classes])
         above = self.path[parent]
-        self.path.append("" if tag in ("html", "body") else f"{above}>{step}"[-400:])
+        path = "" if tag in ("html", "body") else f"{above}>{step}"
+        if len(path) > LONG_PATH:
+            path = "#" + hashlib.blake2b(path.encode("utf-8", "surrogatepass"), digest_size=16).hexdigest()
+        self.path.append(path)
+        self.marked.append(marked)
         self.dropped.append(tag in DROPPED or (marked and tag not in ("html", "body", "article", "main")))
         self.depth.append(self.depth[parent] + 1)
 
@@ -143,13 +151,17 @@ class Page:
         """(path, characters) of the best container."""
         for drop in (True, False):  # a form around a whole page is no form of it
             hidden = self._hidden(drop)
-            held = [0] * len(hidden)
+            held, block = [0] * len(hidden), [0] * len(hidden)
+            loose = 0  # text that no container but the body holds
             linked = [False] * len(hidden)
             for i in range(1, len(hidden)):
                 linked[i] = linked[self.parent[i]] or self.tag[i] == "a"
+                block[i] = i if self.tag[i] in CONTAINERS and self.path[i] else block[self.parent[i]]
             for element, text in self.pieces:
                 if not hidden[element] and not linked[element]:
-                    held[element] += len(text.strip())
+                    size = len(text.strip())
+                    held[element] += size
+                    loose += 0 if block[element] else size
             for i in range(len(held) - 1, 0, -1):
                 held[self.parent[i]] += held[i]
             if held[0]:
@@ -166,8 +178,26 @@ class Page:
         if not found:
             return ("", held[0])
         best = max(found, key=lambda i: (self.tag[i] == "article", self.depth[i], held[i], -i))
+        best = self._widened(best, held, loose)
         return (self.path[best], held[best])
 
+    def _widened(self, best: int, held: list[int], loose: int) -> int:
+        """The outermost article or main element around ``best``; without one, the outermost element
+        that adds text. The page itself only if it has text that lies in no container."""
+        above = [best]
+        while self.parent[above[-1]] >= 0:
+            above.append(self.parent[above[-1]])
+        named = [i for i in above if self.tag[i] == "article" and not self.marked[i]]
+        named = named or [i for i in above if self.tag[i] in ("article", "main")]
+        if named:
+            return named[-1]
+        if loose:
+            return 0
+        for i in above:
+            if self.path[i] and held[i] > held[best]:
+                best = i
+        return best
+
     def text(self, path: str) -> str:
         """Text of the outermost elements with ``path``, without what is dropped inside."""
         inside, hidden = [path == ""] + [False] * (len(self.parent) - 1), [False] * len(self.parent)

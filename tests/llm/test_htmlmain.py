@@ -65,3 +65,29 @@ def test_whole_query_drops_what_is_around_the_article(spark, sf_dir):
         article = re.search(r"<article>(.*?)(?:</article>|<footer>|\Z)", sources[r.page_id], re.S)[1]
         plain = re.sub(r"<(b|/b|i|/i|a|/a)\b[^>]*>", "", article)
         assert r.text == " ".join(html.unescape(re.sub(r"<[^>]*>", " ", plain)).split())
+
+
+LEAD, BODY = "<p>" + "lead text " * 7 + "</p>", "<p>" + "body text " * 13 + "</p>"
+WHOLE = ("lead text " * 7 + "body text " * 13).strip()
+
+
+@pytest.mark.parametrize(
+    "body",
+    [
+        f"<div class='content'>{LEAD}<div class='body'>{BODY}</div></div><div class='ad'>buy</div>",
+        f"<div class='content'>{LEAD}<div class='wrap'><div class='body'>{BODY}</div></div></div>",
+        f"{LEAD}<div class='body'>{BODY}</div>",
+        f"<article>{LEAD}<article class='embed'>{BODY}</article></article>",
+        f"<article>{LEAD}<article class='comment'>{BODY}</article></article>",
+        f"<main>{LEAD}<div class='body'>{BODY}</div></main>",
+    ],
+)
+def test_text_around_the_deepest_container_stays(body):
+    assert hm.main_text(page(body), [])[0] == WHOLE
+
+
+def test_deep_containers_have_paths_of_their_own():
+    deep = "<div class='{}'>" + "<div class='level'>" * 60 + "<p>{}</p>" + "</div>" * 61
+    read = hm.Page(page(deep.format("one", "first") + deep.format("two", "second")))
+    paths = [read.path[element] for element, text in read.pieces if text in ("first", "second")]
+    assert len(set(paths)) == 2 and [read.text(p) for p in paths] == ["first", "second"]
