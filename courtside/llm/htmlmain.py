@@ -4,7 +4,7 @@ Each page's containers are scored by the text they hold outside menus, adverts a
 deepest one with most of the text is widened to the outermost article or, where there is none, to each
 container around it that adds text. It votes, with its generalised tag-class path, for its host; Spark counts the votes. Every
 page is then read again with its host's winning paths, and only where none of them
-holds text with the page's own best container.
+holds a fair share of the text with the page's own best container.
 
 Defined cases: null or empty html gives an empty text; a page without a url belongs to the empty
 host; markup that is cut off or badly nested is read as far as it goes; equal votes take the path
@@ -30,6 +30,9 @@ PATHS = 3
 # A container must hold this share of the page's text; the deepest such one is the best.
 SHARE = 0.6
 ARTICLE_SHARE = 0.2
+# A winning path counts on a page where it holds this share of the text of the page's own best container,
+# or of what it holds on the host's pages on average.
+FAIR = 0.5
 # A path longer than this is kept as a hash of the whole of it.
 LONG_PATH = 400
 
@@ -213,17 +216,22 @@ def best_container(markup: str | None) -> tuple[str, int] | None:
     return Page(markup).best() if markup else None
 
 
-def main_text(markup: str | None, paths: list[str]) -> tuple[str, str | None]:
-    """(text, the path it came from): the first of ``paths`` that holds text, else the page's own."""
+def main_text(markup: str | None, paths: list[str], sizes: list[int] | None = None) -> tuple[str, str | None]:
+    """(text, the path it came from): the first of ``paths`` that holds a fair share, else the page's own.
+
+    ``sizes``: how many characters each path holds on average. A path counts if it holds enough of that,
+    whatever else is on the page, or enough of what the page's own best container holds.
+    """
     if not markup:
         return "", None
     page = Page(markup)
-    for path in paths:
-        found = page.text(path)
-        if found:
-            return found, path
     own = page.best()
-    return (page.text(own[0]), own[0]) if own else ("", None)
+    own_text = page.text(own[0]) if own else ""
+    for path, size in zip(paths, sizes or [0] * len(paths)):
+        found = own_text if own and path == own[0] else page.text(path)
+        if found and (len(found) >= FAIR * len(own_text) or (size and len(found) >= FAIR * size)):
+            return found, path
+    return (own_text, own[0]) if own else ("", None)
 
 
 def host_of(url: Column) -> Column:
@@ -256,11 +264,13 @@ def container_votes(pages: DataFrame) -> DataFrame:
 
 
 def winning_paths(pages: DataFrame, most: int = PATHS) -> DataFrame:
-    """(host, paths): up to ``most`` paths per host, the one with most votes first."""
+    """(host, paths, sizes): up to ``most`` paths per host, the one with most votes first, and their mean characters."""
     ranked = Window.partitionBy("host").orderBy(F.desc("votes"), F.desc("chars"), "path")
     votes = container_votes(pages).withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= most)
+    size = F.floor(F.col("chars") / F.col("votes")).alias("size")
+    ordered = F.array_sort(F.collect_list(F.struct("rank", "path", size)))
     return votes.groupBy("host").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("rank", "path"))), lambda x: x["path"]).alias("paths")
+        F.transform(ordered, lambda x: x["path"]).alias("paths"), F.transform(ordered, lambda x: x["size"]).alias("sizes")
     )
 
 
@@ -271,8 +281,10 @@ def extract(pages: DataFrame, paths: DataFrame) -> DataFrame:
         for batch in batches:
             for part in chunks(batch, "html", 4 << 20):
                 found = [
-                    main_text(markup, ranked or [])
-                    for markup, ranked in zip(part.column("html").to_pylist(), part.column("paths").to_pylist())
+                    main_text(markup, ranked or [], sizes)
+                    for markup, ranked, sizes in zip(
+                        part.column("html").to_pylist(), part.column("paths").to_pylist(), part.column("sizes").to_pylist()
+                    )
                 ]
                 yield pa.RecordBatch.from_arrays(
                     [part.column("page_id"), part.column("url"), pa.array([f[0] for f in found], pa.string()),
@@ -281,7 +293,7 @@ def extract(pages: DataFrame, paths: DataFrame) -> DataFrame:
                 )
 
     hosted = pages.select(F.col("page_id").cast("bigint"), "url", "html", host_of(F.col("url")).alias("host"))
-    joined = hosted.join(paths, "host", "left").select("page_id", "url", "html", "paths")
+    joined = hosted.join(paths, "host", "left").select("page_id", "url", "html", "paths", "sizes")
     return joined.mapInArrow(read, "page_id bigint, url string, text string, n_chars bigint, path string")
 
 

@@ -91,3 +91,16 @@ def test_deep_containers_have_paths_of_their_own():
     read = hm.Page(page(deep.format("one", "first") + deep.format("two", "second")))
     paths = [read.path[element] for element, text in read.pieces if text in ("first", "second")]
     assert len(set(paths)) == 2 and [read.text(p) for p in paths] == ["first", "second"]
+
+
+def test_page_of_another_template_is_not_cut_to_a_teaser(spark):
+    usual = page(f"<article>{BODY * 3}</article>")
+    other = page(f"<div class='story'>{LEAD * 9}</div><div class='more'><article><p>Read this teaser</p></article></div>")
+    short = page("<article><p>A short piece.</p></article>")
+    rows = [(i, "http://a.example/x", usual) for i in range(8)] + [(8, "http://a.example/y", other), (9, "http://a.example/z", short)]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    paths = hm.winning_paths(pages)
+    assert paths.first().paths[0] == ">article"
+    found = {r.page_id: r.text for r in hm.extract(pages, paths).collect()}
+    assert found[8] == ("lead text " * 63).strip() and found[9] == "A short piece."
+    assert {found[i] for i in range(8)} == {("body text " * 39).strip()}
