@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from courtside.llm import (
+    alignment,
+    bytepairs,
     decontam,
     htmlmain,
     linededup,
@@ -12,6 +14,7 @@ from courtside.llm import (
     simhash,
     tokencounts,
     toxicity,
+    turnrepair,
     urlrules,
 )
 
@@ -26,5 +29,8 @@ QUERIES = {
     "op8_pieces": pieces.query,
     "op9_decontamination": decontam.query,
     "op10_quality_rules": quality.query,
+    "op11_turn_repair": turnrepair.query,
+    "op12_byte_pairs": bytepairs.query,
+    "op13_alignment": alignment.query,
 }
 SQL = {"op6_url_filters": urlrules.SQL}
