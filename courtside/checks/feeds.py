@@ -242,9 +242,14 @@ NO_TABLE, WRONG_PLACE, OVERLONG, EMPTY, OLD_KEYS, TERSE, SHORT, DOUBLED = 7, 8,
 NEW_NAMES = {"rk": "ranker", "player": "name_display", "team_id": "team_name_abbr", "g": "games", "gs": "games_started"}
 
 
+# A rendered page has some 3 kB and a megabyte of pages is about half a second of work.
+PAGES_PER_TASK = 1000
+
+
 def page_seeds(customers: DataFrame) -> DataFrame:
-    """Customer keys, in partitions that Spark sizes by the data: a page is much larger than its seed row."""
-    return customers.select("c_custkey").hint("rebalance")
+    """Customer keys, dealt out by the pages they become: a page is much larger than its seed row."""
+    tasks = -(-customers.count() // PAGES_PER_TASK)
+    return customers.select("c_custkey").repartition(max(tasks, 1), "c_custkey")
 
 
 def stat_page_keys(customers: DataFrame, spec: TableSpec) -> DataFrame:

@@ -6,6 +6,7 @@ from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from courtside.operators.rankindex import STRETCH_ROWS, rank_index
 from courtside.operators.statquery import StatQuery, matching, order_columns, response_rows
 from courtside.schemas import AUDIT_COLUMNS, CREDENTIAL_RESPONSE, TableSpec
 from courtside.sources.tables import listed_credentials
@@ -71,39 +72,41 @@ def page_after(rows: DataFrame, spec: TableSpec, query: StatQuery, boundary) ->
 
 
 def deep_slice(
-    rows: DataFrame, order, offset: int, limit: int, heap_rows: int = HEAP_ROWS
+    rows: DataFrame, order, offset: int, limit: int, heap_rows: int = HEAP_ROWS, stretch_rows: int = STRETCH_ROWS
 ) -> DataFrame:
     """Exact ``orderBy.offset.limit`` for any offset and any limit, distributed.
 
-    A few pivot rows are drawn once, and one parallel aggregate counts the rows between
-    neighbouring pivots. Only the stretches that hold the page are read then; rows are numbered
-    within each stretch, and a stretch's first number is known from the counts. What returns
-    to the driver is the pivots and one count per stretch. Equal rows share a stretch.
+    A few pivot rows are drawn, and one parallel aggregate counts the rows between neighbouring
+    pivots; only the stretches that hold the page are read on. That is repeated inside
+    them until few rows around the page are left. Then the page is a bounded heap, or, if it is large itself, its
+    rows are stored in sorted ranges of about ``stretch_rows`` and found by their place there. What returns to
+    the driver is pivots and counts. Equal rows share a stretch.
     """
     columns = [column for column, _ in order]
     draw = F.xxhash64(*[F.col(c) for c in columns])
-    drawn = rows.select(*columns).orderBy(draw, *columns).limit(PIVOTS).distinct()
-    pivots = [tuple(pivot) for pivot in drawn.orderBy(*order_columns(order)).collect()]
-    stretch = _pivots_passed(order, pivots, 0, len(pivots))
-    held = dict(rows.groupBy(stretch.alias("stretch")).agg(F.count(F.lit(1))).collect())
-    # Rows ahead of each stretch.
-    ahead = list(accumulate((held.get(i, 0) for i in range(len(pivots) + 1)), initial=0))
-    if offset >= ahead[-1]:
-        return rows.limit(0)
-    low = next(i for i in range(len(pivots) + 1) if ahead[i + 1] > offset)
-    high = next(i for i in range(len(pivots) + 1) if ahead[i + 1] >= min(offset + limit, ahead[-1]))
-    region = rows
-    if low > 0:
-        region = region.filter(_not_before(order, pivots[low - 1]) & after(order, pivots[low - 1]))
-    if high < len(pivots):
-        region = region.filter(~after(order, pivots[high]))
-    if offset - ahead[low] + limit <= heap_rows:
-        return _slice(region, order, offset - ahead[low], limit)
-    inside = Window.partitionBy("_stretch").orderBy(*order_columns(order))
-    first = F.element_at(F.array(*[F.lit(n).cast("bigint") for n in ahead]), F.col("_stretch") + 1)
-    numbered = region.withColumn("_stretch", stretch).withColumn("_number", first + F.row_number().over(inside))
-    page = numbered.filter((F.col("_number") > offset) & (F.col("_number") <= offset + limit))
-    return page.drop("_stretch", "_number").orderBy(*order_columns(order))
+    region, held_here = rows, None
+    while True:
+        drawn = region.select(*columns).orderBy(draw, *columns).limit(PIVOTS).distinct()
+        pivots = [tuple(pivot) for pivot in drawn.orderBy(*order_columns(order)).collect()]
+        stretch = _pivots_passed(order, pivots, 0, len(pivots))
+        held = dict(region.groupBy(stretch.alias("stretch")).agg(F.count(F.lit(1))).collect())
+        # Rows ahead of each stretch.
+        ahead = list(accumulate((held.get(i, 0) for i in range(len(pivots) + 1)), initial=0))
+        if offset >= ahead[-1]:
+            return rows.limit(0)
+        last = min(offset + limit, ahead[-1])
+        low = next(i for i in range(len(pivots) + 1) if ahead[i + 1] > offset)
+        high = next(i for i in range(len(pivots) + 1) if ahead[i + 1] >= last)
+        if low > 0:
+            region = region.filter(_not_before(order, pivots[low - 1]) & after(order, pivots[low - 1]))
+        if high < len(pivots):
+            region = region.filter(~after(order, pivots[high]))
+        offset, limit, before, held_here = offset - ahead[low], last - offset, held_here, ahead[high + 1] - ahead[low]
+        if offset + limit <= heap_rows:
+            return _slice(region, order, offset, limit)
+        # Few rows around the page, or nothing gained because equal rows fill a stretch.
+        if held_here - limit <= max(heap_rows, limit // 8) or held_here == before:
+            return rank_index(region, order, held_here, stretch_rows=stretch_rows).page(offset, limit)
 
 
 def _pivots_passed(order, pivots, low: int, high: int) -> Column:

@@ -7,10 +7,11 @@ import threading
 from collections import Counter
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from courtside.operators.keyedtable import KeyedTable
+from courtside.operators.ordered import running_sum
 from courtside.operators.telemetry import (
     BUCKET_BOUNDS,
     COUNTER_LABELS,
@@ -87,18 +88,35 @@ def live_windows(
 def trailing_counts(partial: DataFrame, width_s: int, slide_s: int) -> DataFrame:
     """Counts of trailing windows from counts of windows as wide as the slide.
 
-    A stream keeps one count per slide, whatever the width; each of them, not each request, belongs
-    to ``width / slide`` windows.
+    A stream keeps one count per slide, whatever the width. A trailing window is the difference of two prefix
+    sums: a partial count enters at the first window that holds it and leaves after the last one, which is
+    two rows for any width. Their running sum is the count from one such change to the next, and only the result
+    lists the windows between.
     """
     if width_s % slide_s:
         raise ValueError("the width must be a whole number of slides")
-    start = F.col("window_start")
-    starts = F.transform(
-        F.sequence(F.lit(0), F.lit(width_s // slide_s - 1)),
-        lambda k: start - F.make_dt_interval(secs=(k * slide_s).cast("decimal(18,6)")),
+
+    def shifted(start: Column, seconds: int) -> Column:
+        return start + F.make_dt_interval(secs=F.lit(seconds).cast("decimal(18,6)"))
+
+    start, at = F.col("window_start"), F.col("_at")
+    changes = partial.select(
+        *COUNTER_LABELS,
+        F.inline(
+            F.array(
+                F.struct(shifted(start, slide_s - width_s).alias("_at"), F.col("n").alias("_change")),
+                F.struct(shifted(start, slide_s).alias("_at"), (-F.col("n")).alias("_change")),
+            )
+        ),
     )
-    spread = partial.withColumn("window_start", F.explode(starts))
-    return spread.groupBy("window_start", *COUNTER_LABELS).agg(F.sum("n").alias("n"))
+    # One row for each series and slide mark at most, however many requests there were.
+    summed = changes.groupBy(*COUNTER_LABELS, "_at").agg(F.sum("_change").alias("_change"))
+    counted = running_sum(summed, COUNTER_LABELS, "_at", "_change", "n")
+    following = F.lead("_at").over(Window.partitionBy(*COUNTER_LABELS).orderBy("_at"))
+    pieces = counted.withColumn("_next", following).where("n > 0")
+    step = F.make_dt_interval(secs=F.lit(slide_s).cast("decimal(18,6)"))
+    starts = F.sequence(at, shifted(F.col("_next"), -slide_s), step)
+    return pieces.select(F.explode(starts).alias("window_start"), *COUNTER_LABELS, "n")
 
 
 def live_histogram(requests: DataFrame) -> DataFrame:
