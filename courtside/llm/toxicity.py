@@ -32,6 +32,8 @@ TOXIC_ROWS, CLEAN_ROWS = 4_000, 16_000
 CANDIDATES, ENTRIES = 20_000, 2_000
 LEAST_DOCS = 4
 LEAST_WEIGHT = 2.5
+# Of the training rows that hold an entry at least this share is toxic.
+LEAST_PRECISION = 0.97
 # Entries are added until each toxic row holds this many, as far as it can.
 COVER = 3
 PREFIXES = (4, 5, 6)
@@ -110,10 +112,18 @@ class Matcher:
                 free.append((start, end))
             elif weight > best.get(start, 0.0):
                 best[start] = weight
-        for low, high in free:
-            for start in [s for s in best if low <= s < high]:
-                del best[start]
-        return list(best.items())
+        if not free:
+            return list(best.items())
+        # Exceptions come by their ends; the furthest end of those that begin at or before a word decides.
+        free.sort()
+        out, at, reach = [], 0, -1
+        for start in sorted(best):
+            while at < len(free) and free[at][0] <= start:
+                reach = max(reach, free[at][1])
+                at += 1
+            if start >= reach:
+                out.append((start, best[start]))
+        return out
 
     def evidence(self, words: list[str]) -> tuple[float, float]:
         total = sum(weight for _, weight in self.hits(words))
@@ -141,7 +151,10 @@ def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     # At most TOXIC_ROWS + CLEAN_ROWS pairs of numbers, so the broadcast is bounded.
     chosen = drawn(1, TOXIC_ROWS).unionByName(drawn(0, CLEAN_ROWS))
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])
+    # Of rows of one id, or of two labels for it, the one of least hash and label is taken, whatever their order.
+    met = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    first = F.min(F.struct(F.xxhash64("text").alias("hash"), "toxic", "text")).alias("row")
+    return met.groupBy("doc_id").agg(first).select("doc_id", "row.text", "row.toxic")
 
 
 def _counts(rows: DataFrame, only: list[str] | None) -> DataFrame:
@@ -173,14 +186,27 @@ def _weights(train: DataFrame) -> dict[str, float]:
     in_clean = dict(map(tuple, _counts(clean, list(in_toxic)).collect()))
     found = {}
     for feature, n in in_toxic.items():
-        odds = math.log((n + 0.5) / (sizes[0] + 1)) - math.log((in_clean.get(feature, 0) + 0.5) / (sizes[1] + 1))
-        if odds >= LEAST_WEIGHT:
+        clean_rows = in_clean.get(feature, 0)
+        odds = math.log((n + 0.5) / (sizes[0] + 1)) - math.log((clean_rows + 0.5) / (sizes[1] + 1))
+        if odds >= LEAST_WEIGHT and n >= LEAST_PRECISION * (n + clean_rows):
             found[feature] = odds
     return found
 
 
 def _cover(holding: list[list[str]], weights: dict[str, float]) -> list[str]:
-    """Greedy choice of entries until every row holds COVER of them, heaviest gain first.
+    """Whole words first, then beginnings for the rows that no chosen word is in, longer ones first among equals.
+
+    A beginning also stands in words of no harm, so it has to earn its place by rows of its own.
+    """
+    whole = [[f for f in held if f.endswith(" ")] for held in holding]
+    chosen = _greedy(whole, weights, COVER, ENTRIES)
+    words = set(chosen)
+    rest = [[] if words.intersection(held) else [f for f in held if not f.endswith(" ")] for held in holding]
+    return chosen + _greedy(rest, weights, 1, ENTRIES - len(chosen))
+
+
+def _greedy(holding: list[list[str]], weights: dict[str, float], cover: int, most: int) -> list[str]:
+    """Greedy choice of entries until every row holds ``cover`` of them, heaviest gain first.
 
     Words that merely came along in copies of one toxic text add little once its own are chosen.
     """
@@ -188,10 +214,10 @@ def _cover(holding: list[list[str]], weights: dict[str, float]) -> list[str]:
     for row, held in enumerate(holding):
         for feature in held:
             rows_of.setdefault(feature, set()).add(row)
-    missing = [COVER] * len(holding)
+    missing = [cover] * len(holding)
     chosen: list[str] = []
-    while rows_of and len(chosen) < ENTRIES:
-        best = max(sorted(rows_of), key=lambda f: (len(rows_of[f]), weights[f]))
+    while rows_of and len(chosen) < most:
+        best = max(sorted(rows_of), key=lambda f: (len(rows_of[f]), len(f) if cover == 1 else 0, weights[f]))
         rows = rows_of.pop(best)
         if len(rows) < LEAST_DOCS:
             break

@@ -65,10 +65,39 @@ def test_awkward_rows_and_missing_labels(spark):
     assert all(0.0 <= s <= 1.0 for s in scores) and scores[3] > 0.5 > scores[0] == scores[1]
 
 
-def test_held_out_accuracy_on_the_given_tables(spark):
+def test_held_out_rates_on_the_given_tables(spark):
     folder = "/root/testdata/sf0.1"
     labels = spark.read.parquet(f"{folder}/labels.parquet").select("doc_id", "toxic")
     rows = tx.query(spark, folder).join(labels, "doc_id").where("held_out").collect()
-    right = sum(r.predicted == r.toxic for r in rows)
-    assert right / len(rows) > 0.97
-    assert not any(r.predicted for r in rows if r.toxic == 0)
+    toxic, clean = ([r.predicted for r in rows if r.toxic == label] for label in (1, 0))
+    assert len(toxic) > 50 and sum(toxic) / len(toxic) >= 0.88
+    assert len(clean) > 500 and sum(clean) / len(clean) <= 0.01
+
+
+def brute_hits(lexicon, words):
+    """Every entry tried at every place of the line of words."""
+    line = f" {' '.join(words)} "
+    free = [(i, i + len(p) + 1) for p in lexicon.exceptions for i in range(len(line)) if line.startswith(f" {p} ", i)]
+    found = {}
+    for i in range(len(line)):
+        weights = [w for entry, w in lexicon.entries.items() if line.startswith(entry, i) and w > 0]
+        if weights and not any(low <= i < high for low, high in free):
+            found[i] = max(weights)
+    return sorted(found.items())
+
+
+def test_hits_equal_a_plain_scan():
+    rng = random.Random(7)
+    lexicon = tx.Lexicon({" trash ": 3.0, " loser ": 2.0, " lose": 1.0, " can ": 1.5, " tra": 0.5}, ("trash can", "can loser", "loser"))
+    vocabulary = ["trash", "can", "loser", "losers", "losing", "tram", "x"]
+    for _ in range(400):
+        words = [rng.choice(vocabulary) for _ in range(rng.randrange(1, 14))]
+        assert sorted(tx.Matcher(lexicon).hits(words)) == brute_hits(lexicon, words)
+
+
+def test_lexicon_does_not_depend_on_the_order_or_on_repeated_ids(spark):
+    docs, labels, _ = labelled(spark, random.Random(6), 200)
+    more = docs.unionByName(docs.limit(40).withColumn("text", docs.text.substr(1, 30)))
+    both = labels.unionByName(labels.limit(20).selectExpr("doc_id", "1 - toxic as toxic", "text"))
+    turned = [rows.orderBy("doc_id", ascending=False).repartition(3) for rows in (more, both)]
+    assert tx.learn_lexicon(more, both) == tx.learn_lexicon(*turned)
