@@ -8,16 +8,17 @@ from pyspark.sql import functions as F
 
 from courtside.checks import feeds
 from courtside.checks.read_queries import LIVE, PLAYOFF, SEASON, TEAM, _page_sql
-from courtside.checks.registry import columns, customers, events, query, table
+from courtside.checks.registry import columns, events, query, table
 from courtside.operators import keyvalidity as kv
 from courtside.operators.countcube import CountCube, insert_deltas, signed, visibility_deltas
 from courtside.operators.merge import merge_rows
 from courtside.operators.nameindex import NameIndex
 from courtside.operators.rankindex import open_rank_index, rank_index
 from courtside.operators.statquery import StatQuery, matching
-from courtside.operators.telemetry import COUNTER_LABELS
+from courtside.operators.telemetry import COUNTER_LABELS, SERIES
 from courtside.schemas import TOTALS
 from courtside.sources.tables import visible
+from courtside.streaming.counters import append_increase
 from courtside.streaming.keychecks import append_judged
 from courtside.streaming.latecounts import LateCounts
 from courtside.streaming.live import parquet_stream
@@ -204,3 +205,26 @@ def stream_late_requests(spark, d):
 )
 def stream_counts_without_late(spark, d):
     return _late_counts(spark, d).counts()
+
+
+# --- counters on arriving samples ----------------------------------------------------
+
+_SERIES = ", ".join(SERIES)
+
+
+@query(
+    "stream_counter_increase",
+    f"""SELECT {_SERIES}, CAST(sum(CASE WHEN prev IS NULL THEN 0 WHEN value >= prev THEN value - prev ELSE value END) AS BIGINT)
+               AS increase
+        FROM (SELECT *, lag(value) OVER (PARTITION BY {_SERIES} ORDER BY ts) AS prev FROM lg_samples) GROUP BY ALL""",
+)
+def stream_counter_increase(spark, d):
+    """Samples arrive in three parts; the first edge falls on the counters' restart."""
+    root, samples = scratch_path(spark, "stream-increase"), feeds.samples(events(spark, d))
+    first, second = (F.lit(f"2024-01-{day} 00:00:00").cast("timestamp_ntz") for day in (15, 22))
+    ts = F.col("ts")
+    for part in (ts < first, (ts >= first) & (ts < second), ts >= second):
+        samples.where(part).write.mode("append").parquet(f"{root}/arriving")
+        stream = parquet_stream(spark, f"{root}/arriving", samples.schema)
+        append_increase(stream, f"{root}/steps", f"{root}/checkpoint", idle="60 days").awaitTermination()
+    return spark.read.parquet(f"{root}/steps").groupBy(*SERIES).agg(F.sum("increase").alias("increase"))

@@ -15,6 +15,8 @@ from courtside.sources.tables import listed_credentials
 # down, or a larger one, by counting rows per stretch of the order. Both give the same rows.
 HEAP_ROWS = 100_000
 PIVOTS = 32
+# Rows of a JSON document that are gathered into one value.
+PIECE_ROWS = 10_000
 # A stamp that is not set shows as null instead of being left out; stamps keep their microseconds.
 JSON_OPTIONS = {"ignoreNullFields": "false", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
 
@@ -30,6 +32,17 @@ def page_rows(
     return deep_slice(found, order, query.offset, query.page_size, heap_rows)
 
 
+def numbered_page(rows: DataFrame, spec: TableSpec, query: StatQuery, heap_rows: int = HEAP_ROWS) -> DataFrame:
+    """Rows of the requested page with ``_number``, from 0 on in page order."""
+    order = query.order(spec)
+    found = matching(rows, query)
+    if query.offset + query.page_size <= heap_rows:
+        page = _slice(found, order, query.offset, query.page_size)
+        # The window runs over at most heap_rows rows.
+        return page.withColumn("_number", F.row_number().over(Window.orderBy(*order_columns(order))) - 1)
+    return deep_slice(found, order, query.offset, query.page_size, heap_rows, numbered=True)
+
+
 def _slice(rows: DataFrame, order, offset: int, limit: int) -> DataFrame:
     ordered = rows.orderBy(*order_columns(order))
     return (ordered.offset(offset) if offset else ordered).limit(limit)
@@ -72,7 +85,13 @@ def page_after(rows: DataFrame, spec: TableSpec, query: StatQuery, boundary) ->
 
 
 def deep_slice(
-    rows: DataFrame, order, offset: int, limit: int, heap_rows: int = HEAP_ROWS, stretch_rows: int = STRETCH_ROWS
+    rows: DataFrame,
+    order,
+    offset: int,
+    limit: int,
+    heap_rows: int = HEAP_ROWS,
+    stretch_rows: int = STRETCH_ROWS,
+    numbered: bool = False,
 ) -> DataFrame:
     """Exact ``orderBy.offset.limit`` for any offset and any limit, distributed.
 
@@ -80,7 +99,7 @@ def deep_slice(
     pivots; only the stretches that hold the page are read on. That is repeated inside
     them until few rows around the page are left. Then the page is a bounded heap, or, if it is large itself, its
     rows are stored in sorted ranges of about ``stretch_rows`` and found by their place there. What returns to
-    the driver is pivots and counts. Equal rows share a stretch.
+    the driver is pivots and counts. Equal rows share a stretch. ``numbered`` adds ``_number``, from 0 on in the slice.
     """
     columns = [column for column, _ in order]
     draw = F.xxhash64(*[F.col(c) for c in columns])
@@ -93,7 +112,7 @@ def deep_slice(
         # Rows ahead of each stretch.
         ahead = list(accumulate((held.get(i, 0) for i in range(len(pivots) + 1)), initial=0))
         if offset >= ahead[-1]:
-            return rows.limit(0)
+            return rows.withColumn("_number", F.lit(0).cast("bigint")).limit(0) if numbered else rows.limit(0)
         last = min(offset + limit, ahead[-1])
         low = next(i for i in range(len(pivots) + 1) if ahead[i + 1] > offset)
         high = next(i for i in range(len(pivots) + 1) if ahead[i + 1] >= last)
@@ -103,10 +122,12 @@ def deep_slice(
             region = region.filter(~after(order, pivots[high]))
         offset, limit, before, held_here = offset - ahead[low], last - offset, held_here, ahead[high + 1] - ahead[low]
         if offset + limit <= heap_rows:
-            return _slice(region, order, offset, limit)
+            page = _slice(region, order, offset, limit)
+            number = F.row_number().over(Window.orderBy(*order_columns(order))) - 1
+            return page.withColumn("_number", number.cast("bigint")) if numbered else page
         # Few rows around the page, or nothing gained because equal rows fill a stretch.
         if held_here - limit <= max(heap_rows, limit // 8) or held_here == before:
-            return rank_index(region, order, held_here, stretch_rows=stretch_rows).page(offset, limit)
+            return rank_index(region, order, held_here, stretch_rows=stretch_rows).page(offset, limit, numbered)
 
 
 def _pivots_passed(order, pivots, low: int, high: int) -> Column:
@@ -142,27 +163,43 @@ def page_with_meta(rows: DataFrame, spec: TableSpec, query: StatQuery) -> DataFr
     return filled.unionByName(counted.where(shown == 0).select(*nothing, "total", "pages"))
 
 
-def page_envelope(rows: DataFrame, spec: TableSpec, query: StatQuery) -> DataFrame:
-    """One JSON document: the page's rows in order, audit stamps included, and the paging numbers.
+def page_pieces(rows: DataFrame, spec: TableSpec, query: StatQuery, piece_rows: int = PIECE_ROWS) -> DataFrame:
+    """(piece, envelope): one JSON document of the page's rows in order, audit stamps included, and the paging numbers,
+    cut behind every ``piece_rows`` rows.
 
-    A page too large for one heap is not gathered into one value. It comes as one document per row,
-    in page order, and a last one with the paging numbers.
+    The pieces one after the other are the document, whatever its size; a page of up to ``piece_rows`` rows, or of
+    none, is one piece. No group holds more rows than a piece.
     """
     names = {**spec.response_names, **dict(AUDIT_COLUMNS)}
-    page = page_rows(rows, spec, query)
-    row = F.struct(*[F.col(c).alias(r) for c, r in names.items() if c in page.columns])
-    pagination = page_meta(rows, query).select(F.struct("*").alias("p"))
-    if query.page_size > HEAP_ROWS:
-        lines = page.select(F.to_json(F.struct(row.alias("row")), JSON_OPTIONS).alias("envelope"))
-        return lines.unionByName(pagination.select(F.to_json(F.struct(F.col("p").alias("pagination"))).alias("envelope")))
-    # The window runs over at most one page.
-    position = F.row_number().over(Window.orderBy(*order_columns(query.order(spec))))
-    gathered = page.select(position.alias("i"), row.alias("row")).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("i", "row"))), lambda x: x["row"]).alias("data")
-    )
-    return gathered.select(
-        F.to_json(F.struct("data", pagination.scalar().alias("pagination")), JSON_OPTIONS).alias("envelope")
+    page = numbered_page(rows, spec, query)
+    row = F.to_json(F.struct(*[F.col(c).alias(r) for c, r in names.items() if c in page.columns]), JSON_OPTIONS)
+    cut = page.select(F.expr(f"_number div {piece_rows}").alias("piece"), F.struct("_number", row.alias("json")).alias("row"))
+    held = cut.groupBy("piece").agg(F.array_sort(F.collect_list("row")).alias("rows"))
+    shown = F.least(F.lit(query.page_size), F.greatest(F.col("total") - query.offset, F.lit(0)))
+    meta = page_meta(rows, query).select(F.to_json(F.struct("*")).alias("numbers"), F.floor((shown - 1) / piece_rows).alias("last"))
+    pieces = meta.select("numbers", "last", F.explode(F.sequence(F.lit(0).cast("bigint"), F.greatest("last", F.lit(0)))).alias("piece"))
+    text = F.array_join(F.transform("rows", lambda r: r["json"]), ",")
+    first, final = F.col("piece") == 0, F.col("piece") >= F.col("last")
+    document = F.concat(
+        F.when(first, '{"data":[').otherwise(","),
+        F.coalesce(text, F.lit("")),
+        F.when(final, F.concat(F.lit('],"pagination":'), F.col("numbers"), F.lit("}"))).otherwise(""),
     )
+    return pieces.join(held, "piece", "left").select("piece", document.alias("envelope")).orderBy("piece")
+
+
+def page_envelope(rows: DataFrame, spec: TableSpec, query: StatQuery) -> DataFrame:
+    """The page's JSON document, in pieces if it is large; see ``page_pieces``."""
+    return page_pieces(rows, spec, query).select("envelope")
+
+
+def write_page(rows: DataFrame, spec: TableSpec, query: StatQuery, path: str, files: int = 8) -> None:
+    """The document as text files whose contents, in the order of their names, are the document.
+
+    Spark's own committer publishes the files together, so a lost task or a failed job leaves none behind.
+    """
+    pieces = page_pieces(rows, spec, query)
+    pieces.repartitionByRange(files, "piece").sortWithinPartitions("piece").select("envelope").write.mode("errorifexists").text(path)
 
 
 def json_rows(rows: DataFrame, spec: TableSpec) -> DataFrame:

@@ -34,11 +34,15 @@ class RankIndex:
     def total(self) -> int:
         return self.ahead[-1]
 
-    def page(self, offset: int, limit: int) -> DataFrame:
-        """Rows ``offset + 1 .. offset + limit`` in order; reads the ranges that hold them and sorts nothing else."""
+    def page(self, offset: int, limit: int, numbered: bool = False) -> DataFrame:
+        """Rows ``offset + 1 .. offset + limit`` in order; reads the ranges that hold them and sorts nothing else.
+
+        ``numbered`` adds ``_number``, from 0 on in the page.
+        """
         last = min(offset + limit, self.total)
         if offset >= last:
-            return self.rows.drop("_place").limit(0)
+            none = self.rows.withColumn("_number", F.lit(0).cast("bigint")) if numbered else self.rows
+            return none.drop("_place").limit(0)
         ranges = range(len(self.ahead) - 1)
         low = next(i for i in ranges if self.ahead[i + 1] > offset)
         high = next(i for i in ranges if self.ahead[i + 1] >= last)
@@ -46,7 +50,12 @@ class RankIndex:
         first_place = (low << _BITS) + offset - self.ahead[low]
         end_place = (high << _BITS) + last - self.ahead[high]
         found = self.rows.where((F.col("_place") >= first_place) & (F.col("_place") < end_place))
-        return found.orderBy("_place").drop("_place")
+        found = found.orderBy("_place")
+        if numbered:
+            before = F.array(*[F.lit(self.ahead[i] - offset).cast("bigint") for i in range(low, high + 1)])
+            range_ = F.shiftright("_place", _BITS).cast("int")
+            found = found.withColumn("_number", F.get(before, range_ - low) + F.col("_place").bitwiseAND((1 << _BITS) - 1))
+        return found.drop("_place")
 
 
 def rank_index(

@@ -1,10 +1,21 @@
 import json
+import os
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from courtside.operators.paging import deep_slice, page_after, page_envelope, page_meta, page_rows, page_with_meta
+from courtside.operators.paging import (
+    deep_slice,
+    numbered_page,
+    page_after,
+    page_envelope,
+    page_meta,
+    page_pieces,
+    page_rows,
+    page_with_meta,
+    write_page,
+)
 from courtside.operators.statquery import StatQuery, matching, response_rows
 from courtside.schemas import ADVANCED, SHOTS, TOTALS
 
@@ -109,12 +120,34 @@ def test_filters(rows):
     )
 
 
-def test_a_large_page_comes_as_rows_and_numbers(rows):
-    got = [json.loads(r.envelope) for r in page_envelope(rows, TOTALS, StatQuery(page_size=10**7)).collect()]
-    assert got[-1] == {"pagination": {"total": 2700, "page": 1, "pageSize": 10**7, "pages": 1}}
-    expected = ordered(rows, StatQuery())
-    assert [g["row"]["playerId"] for g in got[:-1]] == [r.player_id for r in expected]
-    assert set(got[0]["row"]) == {"playerId", "season", "team", "isPlayoff", "points", "playerName", "DeletedAt"}
+@pytest.mark.parametrize("page, size", [(1, 20), (1, 10**7), (2, 1000), (3, 1250), (28, 100), (10**6, 20)])
+def test_one_document_whatever_its_pieces(rows, page, size):
+    q = StatQuery(page=page, page_size=size)
+    whole = page_envelope(rows, TOTALS, q).collect()
+    assert len(whole) == 1
+    document = json.loads(whole[0].envelope)
+    assert document["pagination"] == {"total": 2700, "page": page, "pageSize": size, "pages": -(-2700 // size)}
+    expected = ordered(rows, q)[q.offset : q.offset + size]
+    assert [row["playerId"] for row in document["data"]] == [row.player_id for row in expected]
+    if expected:
+        assert set(document["data"][0]) == {"playerId", "season", "team", "isPlayoff", "points", "playerName", "DeletedAt"}
+    pieces = page_pieces(rows, TOTALS, q, piece_rows=100).collect()
+    assert [row.piece for row in pieces] == list(range(max(1, -(-len(expected) // 100))))
+    assert "".join(row.envelope for row in pieces) == whole[0].envelope
+
+
+def test_numbered_pages_of_any_depth(rows):
+    for q in (StatQuery(page=2, page_size=900), StatQuery(page=40, page_size=60), StatQuery(page=10**6)):
+        page = numbered_page(rows, TOTALS, q, heap_rows=50).collect()
+        assert [row._number for row in page] == list(range(len(page)))
+        assert [row[: len(rows.columns)] for row in page] == [tuple(row) for row in ordered(rows, q)[q.offset : q.offset + q.page_size]]
+
+
+def test_a_page_written_in_parts_is_one_document(rows, tmp_path):
+    write_page(rows, TOTALS, StatQuery(page_size=2000), f"{tmp_path}/page")
+    parts = sorted(name for name in os.listdir(f"{tmp_path}/page") if name.startswith("part-"))
+    document = json.loads("".join(open(f"{tmp_path}/page/{name}", encoding="utf-8").read() for name in parts))
+    assert [row["playerId"] for row in document["data"]] == [row.player_id for row in ordered(rows, StatQuery())[:2000]]
 
 
 def test_large_pages_and_ties_end(rows):
