@@ -24,7 +24,9 @@ from __future__ import annotations
 import base64
 import functools
 import hashlib
+import itertools
 import json
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -40,11 +42,11 @@ BYTE_MODEL = public_tokenizers.path("byte_bpe_50k.json")
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
 MARK = "▁"
 # Bytes of text encoded and aligned together.
-TOGETHER = 2 << 20
+TOGETHER = 1 << 19
 # At most so many pairs of ids are broadcast.
 HOT_PAIRS = 1 << 19
 # Ends that start their search from one leader's place.
-FOLLOWERS = 64
+FOLLOWERS = 16
 
 ALIGNED = (
     "doc_id bigint, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, groups_sha256 string, "
@@ -100,32 +102,75 @@ class ByteVocabulary:
         return [np.array(self._encode(text), np.int64) for text in texts]
 
 
-@dataclass
+class _Numbers(dict):
+    """Words by the order in which they were first asked for."""
+
+    def __missing__(self, word: str) -> int:
+        number = self[word] = len(self)
+        return number
+
+
 class PieceVocabulary:
-    """A SentencePiece vocabulary; marks are spaces, byte pieces their byte."""
+    """A SentencePiece vocabulary; marks are spaces, byte pieces their byte.
 
-    texts: list[bytes]
+    Where no piece has a mark behind another character, merges stay inside marked words, and each distinct word
+    is encoded once and remembered; other vocabularies and texts with marks of their own are encoded whole.
+    """
 
-    def __post_init__(self) -> None:
+    REMEMBERED = 200_000
+    _WORD = re.compile(r" *[^ ]+| +")
+
+    def __init__(self, model):
+        pieces = [model.id_to_piece(i) for i in range(model.get_piece_size())]
+        self.texts = [
+            bytes([int(piece[3:5], 16)]) if model.is_byte(i) else piece.replace(MARK, " ").encode()
+            for i, piece in enumerate(pieces)
+        ]
         self.sizes = np.array([len(text) for text in self.texts], np.int64)
+        self._model = model
+        self._by_word = MARK in pieces and all(MARK not in piece.lstrip(MARK) for piece in pieces)
+        self._mark = model.piece_to_id(MARK)
+        self._forget()
 
     @classmethod
     def load(cls, path: str) -> PieceVocabulary:
         import sentencepiece
 
-        model = sentencepiece.SentencePieceProcessor(model_file=path)
-        pieces = [model.id_to_piece(i) for i in range(model.get_piece_size())]
-        found = cls(
-            [
-                bytes([int(piece[3:5], 16)]) if model.is_byte(i) else piece.replace(MARK, " ").encode()
-                for i, piece in enumerate(pieces)
-            ]
-        )
-        found._model = model
-        return found
+        return cls(sentencepiece.SentencePieceProcessor(model_file=path))
+
+    def _forget(self) -> None:
+        self._number = _Numbers()
+        self._ids = np.zeros(0, np.int32)
+        self._begin, self._size = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(ids, np.int64) for ids in self._model.encode(texts, num_threads=1)]
+        if len(self._number) > self.REMEMBERED:
+            self._forget()
+        known = self._number.__getitem__
+        held = []
+        for text in texts:
+            whole = not self._by_word or MARK in text
+            words = [] if whole else self._WORD.findall(f" {text}")
+            held.append(text if whole else np.fromiter(map(known, words), np.int64, len(words)))
+        self._learn(list(itertools.islice(self._number, len(self._size), None)))
+        return [self._joined(words) if isinstance(words, np.ndarray) else self._whole(words) for words in held]
+
+    def _whole(self, text: str) -> np.ndarray:
+        return np.array(self._model.encode(text, num_threads=1), np.int64)
+
+    def _learn(self, words: list[str]) -> None:
+        # The library adds the first mark itself, but not to an empty text.
+        found = self._model.encode([word[1:] for word in words], num_threads=1) if words else []
+        found = [[self._mark] if word == " " else ids for word, ids in zip(words, found)]
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        self._begin = np.concatenate([self._begin, len(self._ids) + np.cumsum(sizes) - sizes])
+        self._size = np.concatenate([self._size, sizes])
+        more = np.fromiter(itertools.chain.from_iterable(found), np.int32, int(sizes.sum()))
+        self._ids = np.concatenate([self._ids, more])
+
+    def _joined(self, words: np.ndarray) -> np.ndarray:
+        sizes = self._size[words]
+        return self._ids[np.repeat(self._begin[words], sizes) + _runs(sizes)].astype(np.int64)
 
 
 @functools.cache
@@ -245,16 +290,16 @@ class Aligner:
         a_first, b_first = [], []
         for i, a, b in zip(held, ids_a, ids_b):
             whole = given[i].encode()
-            if self._bytes(self.a, a) == whole and self._bytes(self.b, b) == whole:
+            # The first encoding only joins bytes of the text, so its size tells whether it is all of them.
+            if int(self.a.sizes[a].sum()) == len(whole) and self._bytes(b) == whole:
                 (a_first if len(a) <= len(b) else b_first).append((out[i], a, b))
         for rows, drives in ((a_first, True), (b_first, False)):
             if rows:
                 self._fill(rows, drives)
         return out
 
-    @staticmethod
-    def _bytes(vocabulary: ByteVocabulary | PieceVocabulary, ids: np.ndarray) -> bytes:
-        return b"".join(map(vocabulary.texts.__getitem__, ids.tolist()))
+    def _bytes(self, ids: np.ndarray) -> bytes:
+        return b"".join(map(self.b.texts.__getitem__, ids.tolist()))
 
     def _fill(self, rows: list[tuple[Aligned, np.ndarray, np.ndarray]], a_drives: bool) -> None:
         ids = [[a for _, a, _ in rows], [b for _, _, b in rows]]
@@ -270,16 +315,15 @@ class Aligner:
         self._spell(rows, flat_a, flat_b, *((found.group, found.other_group) if a_drives else (found.other_group, found.group)))
         links = np.bincount(document, minlength=len(rows))
         # The pairs of each document in order, each once with its number of links.
-        order = np.lexsort((pairs, document)) if len(rows) > 1 else np.argsort(pairs, kind="stable")
-        pairs, document = pairs[order], document[order]
-        new = np.ones(len(pairs), bool)
-        new[1:] = (pairs[1:] != pairs[:-1]) | (document[1:] != document[:-1])
-        at = np.flatnonzero(new)
-        times = np.diff(np.append(at, len(pairs)))
-        cuts = np.searchsorted(document[at], np.arange(len(rows) + 1))
+        span = len(self.a.texts) * self.width
+        placed = np.sort(document * span + pairs)
+        at = np.flatnonzero(np.concatenate([[True], placed[1:] != placed[:-1]]))
+        times = np.diff(np.append(at, len(placed)))
+        document, pairs = np.divmod(placed[at], span)
+        cuts = np.searchsorted(document, np.arange(len(rows) + 1))
         for k, (row, a, b) in enumerate(rows):
             row.n_a, row.n_b, row.n_groups, row.n_links = len(a), len(b), int(found.groups[k]), int(links[k])
-            row.pairs, row.times = pairs[at[cuts[k] : cuts[k + 1]]], times[cuts[k] : cuts[k + 1]]
+            row.pairs, row.times = pairs[cuts[k] : cuts[k + 1]], times[cuts[k] : cuts[k + 1]]
 
     def _spell(self, rows, flat_a, flat_b, group_a, group_b) -> None:
         """The groups of each document as text: ids of a by commas, |, ids of b, and ; between groups."""
