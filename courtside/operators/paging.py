@@ -15,6 +15,8 @@ from courtside.sources.tables import listed_credentials
 # down, or a larger one, by counting rows per stretch of the order. Both give the same rows.
 HEAP_ROWS = 100_000
 PIVOTS = 32
+# Stretches that may lie around a page before the pivots between them are drawn anew.
+REFINED_STRETCHES = 8
 # Rows of a JSON document that are gathered into one value.
 PIECE_ROWS = 10_000
 # A stamp that is not set shows as null instead of being left out; stamps keep their microseconds.
@@ -125,8 +127,9 @@ def deep_slice(
             page = _slice(region, order, offset, limit)
             number = F.row_number().over(Window.orderBy(*order_columns(order))) - 1
             return page.withColumn("_number", number.cast("bigint")) if numbered else page
-        # Few rows around the page, or nothing gained because equal rows fill a stretch.
-        if held_here - limit <= max(heap_rows, limit // 8) or held_here == before:
+        # So few rows around the page that sorting them costs less than another count, or nothing was
+        # gained because equal rows fill a stretch.
+        if held_here - limit <= REFINED_STRETCHES * stretch_rows or held_here == before:
             return rank_index(region, order, held_here, stretch_rows=stretch_rows).page(offset, limit, numbered)
 
 

@@ -14,12 +14,15 @@ from courtside.streaming.live import append_into, event_time
 _POLICY = "spark.sql.streaming.multipleWatermarkPolicy"
 
 
-def judged_stream(requests: DataFrame, changes: DataFrame, delay: str = "10 minutes") -> DataFrame:
+def judged_stream(
+    requests: DataFrame, changes: DataFrame, delay: str = "10 minutes", request_id: str = "request_id"
+) -> DataFrame:
     """The requests of a stream with ``verdict`` and ``api_key_id``, by a stream of key changes.
 
     Two interval joins: a request waits until the watermark has passed its time, so that every mint and
     every revocation up to then, arriving within ``delay``, is known; then it leaves the state. Of the changes the
     state keeps one row a mint and one a revocation, which is the key table itself. A hash is minted under one id.
+    A change that is logged again meets a request again, with the same verdict; ``request_id`` tells such rows apart.
     """
     asked = event_time(requests, delay)
     minted = _changes(changes, MINT, delay).select(F.col("id").alias("_key_id"), F.col("hash").alias("_key_hash"), F.col("at").alias("_minted_at"))
@@ -31,7 +34,7 @@ def judged_stream(requests: DataFrame, changes: DataFrame, delay: str = "10 minu
     valid = F.col("_key_id").isNotNull() & F.col("_ended_id").isNull()
     return met.withColumns(
         {"verdict": verdict(F.col("_key_id").isNotNull(), valid), "api_key_id": F.when(valid, F.col("_key_id"))}
-    ).drop("_key_id", "_ended_id", "_ended_at")
+    ).drop("_key_id", "_ended_id", "_ended_at").dropDuplicatesWithinWatermark([request_id])
 
 
 def _changes(changes: DataFrame, kind: str, delay: str) -> DataFrame:

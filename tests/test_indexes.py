@@ -49,9 +49,10 @@ def test_ranges_stay_near_their_bound(spark, tmp_path):
 
 
 @pytest.mark.parametrize("offset, limit", [(0, 5), (333, 40), (650, 100), (0, 700), (5, 690), (700, 3)])
-def test_deep_slices_without_a_window(spark, offset, limit):
+@pytest.mark.parametrize("stretch_rows", [3, 50])
+def test_deep_slices_without_a_window(spark, offset, limit, stretch_rows):
     rows = numbers(spark, 700)
-    page = deep_slice(rows, ORDER, offset, limit, heap_rows=30, stretch_rows=50)
+    page = deep_slice(rows, ORDER, offset, limit, heap_rows=30, stretch_rows=stretch_rows)
     assert [tuple(row) for row in page.select("k", "v", "name").collect()] == ordered(rows)[offset : offset + limit]
     assert "Window" not in page._jdf.queryExecution().executedPlan().toString()
 

@@ -50,8 +50,8 @@ def test_a_key_revoked_between_two_batches_rejects_later_requests_only(spark, tm
     parts = [
         ([(1, at(1), "a"), (2, at(2), "b")], [(1, "a", "mint", at(0)), (2, "b", "mint", at(1.5))]),
         # The revocation of the second batch is of a time between requests of that batch.
-        ([(3, at(3), "a"), (4, at(5), "a"), (5, at(5), "b"), (6, at(4), "a")], [(1, None, "revoke", at(4))]),
-        ([(7, at(7), "a"), (8, at(7), "b"), (9, at(7), None)], []),
+        ([(3, at(3), "a"), (4, at(5), "a"), (5, at(5), "b"), (6, at(4), "a")], [(1, None, "revoke", at(4)), (1, None, "revoke", at(4.5)), (2, "b", "mint", at(3))]),
+        ([(7, at(7), "a"), (8, at(7), "b"), (9, at(7), None)], [(1, None, "revoke", at(6))]),
         ([(10, at(99), "b")], []),
     ]
     folder = f"{tmp_path}"
@@ -62,7 +62,9 @@ def test_a_key_revoked_between_two_batches_rejects_later_requests_only(spark, tm
         append_judged(*streams, ["request_id", "verdict", "api_key_id"], f"{folder}/judged", f"{folder}/checkpoint", "1 hour").awaitTermination()
     assert spark.conf.get(setting, None) == policy
     spark.conf.unset(setting)
-    found = {r.request_id: (r.verdict, r.api_key_id) for r in spark.read.parquet(f"{folder}/judged").collect()}
+    rows = spark.read.parquet(f"{folder}/judged").collect()
+    found = {r.request_id: (r.verdict, r.api_key_id) for r in rows}
+    assert len(found) == len(rows)
     want = brute([r for p in parts[:3] for r in p[0]], [c for p in parts for c in p[1]])
     found.pop(10, None)
     assert found == want
