@@ -15,6 +15,8 @@ never overlap; other columns are not read.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from courtside.llm.shared import source
@@ -27,6 +29,9 @@ ACCESS = r"AKIA[A-Z0-9]{14,}"
 HEX = r"[0-9a-f]{16,}"
 LEAST_CANDIDATE = 16
 CANDIDATE = r"[A-Za-z0-9+/_=-]{16,}"
+LETTER = r"[A-Za-z]"
+# Signs of a candidate that stand in no ordinary word.
+CUTTING = "+/="
 # What joins the parts of a run; stretches begin and end at parts.
 JOINS = r"[+/_=-]"
 # Ordinary identifiers: words without a known secret in them.
@@ -44,21 +49,57 @@ CODES = 128
 
 
 _NO_SPANS = "cast(array() as array<struct<start:int,end:int>>)"
+_NO_PIECES = "cast(array() as array<struct<start:int,end:int,word:string>>)"
+# Items that are gathered before their results are laid aside, so that no array grows item by item.
+BLOCK = 512
+
+
+def _held(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is worked out once, however often ``use`` names it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _scanned(
+    items: Column, carry: Column, nothing: Column, advance: Callable[[Column, Column], tuple[Column, Column]]
+) -> Column:
+    """(carry, out): walks an array from left to right, and gathers the arrays that ``advance(carry, item)`` gives beside
+    the next carry. Takes time in proportion to the array."""
+
+    def step(state: Column, item: Column) -> Column:
+        after, given = advance(state["carry"], item)
+        return F.struct(after.alias("carry"), F.concat(state["out"], given).alias("out"))
+
+    def walk(held: Column) -> Column:
+        blocks = F.transform(
+            F.sequence(F.lit(0), F.floor((F.greatest(F.size(held), F.lit(1)) - 1) / BLOCK).cast("int")),
+            lambda i: F.slice(held, i * BLOCK + 1, F.lit(BLOCK)),
+        )
+
+        def block(state: Column, part: Column) -> Column:
+            inside = F.aggregate(part, F.struct(state["carry"].alias("carry"), nothing.alias("out")), step)
+            return _held(
+                inside, lambda x: F.struct(x["carry"].alias("carry"), F.concat(state["outs"], F.array(x["out"])).alias("outs"))
+            )
+
+        start = F.struct(carry.alias("carry"), F.array(nothing).alias("outs"))
+        return F.aggregate(
+            blocks, start, block, lambda s: F.struct(s["carry"].alias("carry"), F.flatten(s["outs"]).alias("out"))
+        )
+
+    return _held(items, walk)
 
 
 def _ends(text: Column, pattern: str, found: Column) -> Column:
     """(start, end) of each match, from the lengths of the matches and of what lies between them."""
     gaps = F.slice(F.split(text, pattern, -1), 1, F.size(found))
     steps = F.zip_with(gaps, found, lambda gap, match: F.struct(F.length(gap).alias("gap"), F.length(match).alias("size")))
-    start = F.struct(F.lit(0).alias("at"), F.expr(_NO_SPANS).alias("spans"))
 
-    def advance(state: Column, step: Column) -> Column:
-        begin = state["at"] + step["gap"]
+    def advance(at: Column, step: Column) -> tuple[Column, Column]:
+        begin = at + step["gap"]
         end = begin + step["size"]
-        span = F.struct(begin.alias("start"), end.alias("end"))
-        return F.struct(end.alias("at"), F.concat(state["spans"], F.array(span)).alias("spans"))
+        return end, F.array(F.struct(begin.alias("start"), end.alias("end")))
 
-    return F.aggregate(steps, start, advance, lambda state: state["spans"])
+    return _scanned(steps, F.lit(0), F.expr(_NO_SPANS), advance)["out"]
 
 
 def matches_of(text: Column, pattern: str) -> Column:
@@ -108,7 +149,7 @@ def labelled_words(docs: DataFrame, most: int = SAMPLE_WORDS, most_docs: int = S
         matches_of(text, HEX),
     )
     # Runs of digits alone are numbers as often as secrets.
-    random = docs.select(F.explode(values).alias("word")).where(F.col("word").rlike("[A-Za-z]"))
+    random = docs.select(F.explode(values).alias("word")).where(F.col("word").rlike(LETTER))
     # Only hashes are ranked; at most most_docs of them are broadcast.
     place = F.xxhash64("doc_id", "text")
     picked = docs.select(place.alias("_picked")).distinct().orderBy("_picked").limit(most_docs)
@@ -160,7 +201,10 @@ def log_ratios(words: DataFrame) -> DataFrame:
         share = (F.col(f"col_{kind}") + 0.5) / (F.coalesce(both[kind], F.lit(0)) + 0.5 * CODES / 2)
         return F.log((F.col(kind) + BACKING * share) / (F.col(f"row_{kind}") + BACKING))
 
-    cells = cells.withColumn("ratio", log_p("r") - log_p("o"))
+    # Signs that ordinary words are cut at are no evidence either way.
+    cutting = [ord(sign) for sign in CUTTING]
+    silent = F.col("a").isin(cutting) | F.col("b").isin(cutting)
+    cells = cells.withColumn("ratio", F.when(silent, F.lit(0.0)).otherwise(log_p("r") - log_p("o")))
     # A model without samples says nothing.
     trained = counts.agg((F.sum("r") > 0).alias("has_r"), (F.sum("o") > 0).alias("has_o"))
     table = cells.groupBy().agg(
@@ -174,14 +218,16 @@ def log_ratios(words: DataFrame) -> DataFrame:
 
 def randomness(word: Column, ratio: Column) -> Column:
     """Mean log-likelihood ratio over the steps of a word."""
-    chars = F.slice(F.split(word, ""), 1, F.length(word))
-    steps = F.sequence(F.lit(1), F.size(chars) - 1)
-    total = F.aggregate(
-        steps,
-        F.lit(0.0),
-        lambda sum_, i: sum_ + F.get(ratio, _code(F.get(chars, i - 1)) * CODES + _code(F.get(chars, i))),
-    )
-    return F.when(F.size(chars) > 1, total / (F.size(chars) - 1)).otherwise(F.lit(0.0))
+
+    def mean(chars: Column) -> Column:
+        total = F.aggregate(
+            F.sequence(F.lit(1), F.size(chars) - 1),
+            F.lit(0.0),
+            lambda sum_, i: sum_ + F.get(ratio, _code(F.get(chars, i - 1)) * CODES + _code(F.get(chars, i))),
+        )
+        return F.when(F.size(chars) > 1, total / (F.size(chars) - 1)).otherwise(F.lit(0.0))
+
+    return _held(F.slice(F.split(word, ""), 1, F.length(word)), mean)
 
 
 def stretches(word: Column, ratio: Column, margin: float) -> Column:
@@ -212,54 +258,84 @@ def stretches(word: Column, ratio: Column, margin: float) -> Column:
 
     def emitted(state: Column) -> Column:
         span = F.struct(state["begin"].alias("start"), state["end"].alias("end"))
-        return F.when(state["end"] > 0, F.concat(state["spans"], F.array(span))).otherwise(state["spans"])
+        return F.when(state["end"] > 0, F.array(span)).otherwise(F.expr(_NO_SPANS))
 
-    def state_of(begin: Column, total: Column, end: Column, best: Column, spans: Column) -> Column:
-        return F.struct(
-            begin.alias("begin"), total.alias("total"), end.alias("end"), best.alias("best"), spans.alias("spans")
-        )
+    def state_of(begin: Column, total: Column, end: Column, best: Column) -> Column:
+        return F.struct(begin.alias("begin"), total.alias("total"), end.alias("end"), best.alias("best"))
 
     zero, nought = F.lit(0), F.lit(0.0)
 
-    def advance(state: Column, step: Column) -> Column:
+    def advance(state: Column, step: Column) -> tuple[Column, Column]:
         total = state["total"] + step["score"]
         anew = step["opens"] & ((total <= 0) | ((state["end"] > 0) & (state["best"] - total > DROP)))
         better = step["closes"] & (step["at"] + 1 - state["begin"] >= LEAST_CANDIDATE) & (total > state["best"])
-        return (
-            F.when(anew, state_of(step["at"], nought, zero, nought, emitted(state)))
-            .when(better, state_of(state["begin"], total, step["at"] + 1, total, state["spans"]))
-            .otherwise(state_of(state["begin"], total, state["end"], state["best"], state["spans"]))
+        after = (
+            F.when(anew, state_of(step["at"], nought, zero, nought))
+            .when(better, state_of(state["begin"], total, step["at"] + 1, total))
+            .otherwise(state_of(state["begin"], total, state["end"], state["best"]))
         )
+        return after, F.when(anew, emitted(state)).otherwise(F.expr(_NO_SPANS))
+
+    walked = _scanned(steps, state_of(zero, nought, zero, nought), F.expr(_NO_SPANS), advance)
+    return _held(walked, lambda w: F.concat(w["out"], emitted(w["carry"])))
+
 
-    return F.aggregate(steps, state_of(zero, nought, zero, nought, F.expr(_NO_SPANS)), advance, emitted)
+def outside(runs: Column, words: Column, base: Column) -> Column:
+    """(start, end, word): the pieces of runs that no base span covers, long enough to be candidates.
 
+    Runs and base spans are merged by their starts and walked once. ``words`` are the runs' texts.
+    """
+    kinds = "array<struct<start:int,kind:int,end:int,word:string>>"
+    far = F.lit(2**31 - 1)
+
+    def event(start: Column, kind: int, end: Column, word: Column) -> Column:
+        return F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end"), word.alias("word"))
+
+    events = F.array_sort(
+        F.concat(
+            F.transform(base, lambda b: event(b["start"], 0, b["end"], F.lit(None).cast("string"))).cast(kinds),
+            F.zip_with(runs, words, lambda r, w: event(r["start"], 1, r["end"], w)).cast(kinds),
+            F.array(event(far, 1, far, F.lit(""))).cast(kinds),
+        )
+    )
 
-def outside(run: Column, base: Column) -> Column:
-    """The pieces of a run that no base span covers, long enough to be candidates. ``base`` is sorted by start."""
-    met = F.filter(base, lambda b: (b["start"] < run["end"]) & (run["start"] < b["end"]))
+    def state_of(at: Column, cover: Column, until: Column, begin: Column, word: Column) -> Column:
+        return F.struct(at.alias("at"), cover.alias("cover"), until.alias("until"), begin.alias("begin"), word.alias("word"))
 
-    def piece(start: Column, end: Column) -> Column:
-        span = F.struct(start.alias("start"), end.alias("end"))
-        return F.when(end - start >= LEAST_CANDIDATE, F.array(span)).otherwise(F.expr(_NO_SPANS))
+    def piece(state: Column, end: Column) -> Column:
+        size = end - state["at"]
+        word = F.substring(state["word"], state["at"] - state["begin"] + 1, size)
+        found = F.struct(state["at"].alias("start"), end.alias("end"), word.alias("word"))
+        return F.when(size >= LEAST_CANDIDATE, F.array(found)).otherwise(F.expr(_NO_PIECES))
 
-    def advance(state: Column, b: Column) -> Column:
-        return F.struct(
-            F.greatest(state["at"], b["end"]).alias("at"),
-            F.concat(state["spans"], piece(state["at"], b["start"])).alias("spans"),
+    def advance(state: Column, e: Column) -> tuple[Column, Column]:
+        begins = e["kind"] == 1
+        after = F.when(begins, state_of(F.greatest(e["start"], state["cover"]), state["cover"], e["end"], e["start"], e["word"])).otherwise(
+            state_of(
+                F.greatest(state["at"], e["end"]), F.greatest(state["cover"], e["end"]), state["until"], state["begin"], state["word"]
+            )
         )
+        # A run ends at its own end, or a part of it where a base span begins.
+        return after, piece(state, F.when(begins, state["until"]).otherwise(F.least(state["until"], e["start"])))
 
-    start = F.struct(run["start"].alias("at"), F.expr(_NO_SPANS).alias("spans"))
-    return F.aggregate(met, start, advance, lambda state: F.concat(state["spans"], piece(state["at"], run["end"])))
+    zero = F.lit(0)
+    return _scanned(events, state_of(zero, zero, zero, zero, F.lit("")), F.expr(_NO_PIECES), advance)["out"]
 
 
 def random_spans(run: Column, word: Column, ratio: Column, margin: float) -> Column:
-    """The whole run, if it is random as a whole; else its random stretches."""
+    """The whole run, if it is random as a whole; else its random stretches.
+
+    What has no letter is a number, a date or a divider as often as a secret, and is not reported.
+    """
+    lettered = F.filter(
+        stretches(word, ratio, margin), lambda s: F.substring(word, s["start"] + 1, s["end"] - s["start"]).rlike(LETTER)
+    )
     shifted = F.transform(
-        stretches(word, ratio, margin),
+        lettered,
         lambda s: F.struct((run["start"] + s["start"]).alias("start"), (run["start"] + s["end"]).alias("end")),
     )
     return (
-        F.when(ratio.isNull(), F.expr(_NO_SPANS))
+        F.when(ratio.isNull() | ~word.rlike(LETTER), F.expr(_NO_SPANS))
         .when(randomness(word, ratio) > margin, F.array(F.struct(run["start"].alias("start"), run["end"].alias("end"))))
         .when(word.rlike(JOINS), shifted)
         .otherwise(F.expr(_NO_SPANS))
@@ -270,21 +346,14 @@ def scan(docs: DataFrame, ratios: DataFrame, margin: float = MARGIN) -> DataFram
     """``docs`` with ``_base`` and ``_found``: arrays of (start, kind, end); kind 3 is the models' own."""
     text = F.coalesce("text", F.lit(""))
     # The one row of at most 16,384 numbers is broadcast.
-    sized = with_base_spans(docs).withColumn("_candidates", pattern_spans(text, CANDIDATE))
-    free = F.flatten(F.transform("_candidates", lambda c: outside(c, F.col("_base"))))
-    sized = sized.withColumn("_candidates", free)
+    sized = with_base_spans(docs).withColumn("_runs", matches_of(text, CANDIDATE))
+    pieces = outside(_ends(text, CANDIDATE, F.col("_runs")), F.col("_runs"), F.col("_base"))
+    sized = sized.withColumn("_candidates", F.when(F.size("_runs") > 0, pieces).otherwise(F.expr(_NO_PIECES)))
     ratio = ratios.select("ratio").scalar()
     judged = sized.withColumn("_ratio", F.when(F.size("_candidates") > 0, ratio))
-    random = F.flatten(
-        F.transform(
-            "_candidates",
-            lambda c: random_spans(
-                c, F.substring(F.col("text"), c["start"] + 1, c["end"] - c["start"]), F.col("_ratio"), margin
-            ),
-        )
-    )
+    random = F.flatten(F.transform("_candidates", lambda c: random_spans(c, c["word"], F.col("_ratio"), margin)))
     extra = F.transform(random, lambda c: F.struct(c["start"].alias("start"), F.lit(3).alias("kind"), c["end"].alias("end")))
-    return judged.withColumn("_found", F.array_sort(F.concat("_base", extra))).drop("_ratio", "_candidates")
+    return judged.withColumn("_found", F.array_sort(F.concat("_base", extra))).drop("_ratio", "_candidates", "_runs")
 
 
 def written(spans: Column) -> Column:
