@@ -1,24 +1,28 @@
 """Token counts as a rollup that signed deltas maintain.
 
 A ledger keeps one signed row per count: +1 when a document's count comes in, -1 when it is taken
-back. A batch of changes is settled against the ledger: an insert adds a row, a delete takes the
-current one back, a revision does both. Every commit stores its signed rows, and next to them their sums by
-source, language and tokenizer version; the totals are the sum over the commits, so they never
+back, and 0 for a deletion, which is remembered. A batch of changes is settled against the ledger: an insert
+adds a row, a delete takes the current one back, a revision does both. Every commit stores its signed rows, and next to
+them their sums by source, language and tokenizer version; the totals are the sum over the commits, so they never
 need a second look at the documents. A batch has a name: committing it again changes nothing.
 
-Folders under the table's root: ``ledger/<commit>``, ``sums/<commit>`` and ``commits/<batch>``, a small
-file created last that names the commit. Rows without that file are not part of the table.
+Folders under the table's root: ``ledger/<name>``, ``sums/<name>`` and ``commits/<number>``, a small
+file that only one writer can create and that names batch and folders. A writer that finds its number taken settles
+its batch again, against what the other has committed. Rows without that file are not part of the table. ``compact``
+publishes the state as one commit, from which reading then begins.
 
-Defined cases: a null text counts 0 tokens; a null source, language or id is a value of its own;
-several changes of one document in a batch: the last by ``seq`` holds, ties by the largest count; a delete of an
-unknown document changes nothing; an insert of a known one is a revision; repeated rows of
+Defined cases: a null text counts 0 tokens; a null source or language is a value of its own; documents without an id are
+told apart by source, language and text (``key``), equal ones being one document;
+several changes of one document in a batch: the last by ``seq`` holds, ties by the largest count; a change whose
+``seq`` is below that of the last one committed for its document is ignored, an equal one counts as later; a delete of an
+unknown document changes no total; an insert of a known one is a revision; repeated rows of
 one id in a batch are one document; an empty batch commits nothing but its name; other columns are not read.
 """
 
 from __future__ import annotations
 
 import base64
-import hashlib
+import json
 import uuid
 from collections.abc import Iterator
 
@@ -26,12 +30,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from courtside.llm.shared import source
-from courtside.workspace import scratch_path, staged
+from courtside.workspace import create_once, names_in, read_small, scratch_path, staged
 
 TOKENIZERS = "/opt/tokenizers"
 VERSION = "byte_bpe_50k"
 KEYS = ("source", "lang", "tokenizer")
-_LEDGER = "doc_id bigint, source string, lang string, tokenizer string, docs bigint, tokens bigint"
+_LEDGER = (
+    "doc_id bigint, key bigint, source string, lang string, tokenizer string, docs bigint, tokens bigint, seq bigint, number bigint"
+)
 _SUMS = "source string, lang string, tokenizer string, docs bigint, tokens bigint"
 
 
@@ -79,94 +85,116 @@ def token_count(text: Column | str, version: str = VERSION, folder: str = TOKENI
 class TokenRollup:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
-        self._hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
-        self._files = self._hadoop.Path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
-    def _path(self, *parts: str):
-        return self._hadoop.Path("/".join([self.root, *parts]))
-
-    def _marker(self, batch: str):
-        return self._path("commits", hashlib.sha256(batch.encode()).hexdigest())
-
-    def commits(self) -> list[str]:
-        """Commits that are part of the table: one name per batch."""
-        if not self._files.exists(self._path("commits")):
-            return []
-        found = []
-        for status in self._files.listStatus(self._path("commits")):
-            stream = self._files.open(status.getPath())
-            found.append(bytes(stream.readAllBytes()).decode())
-            stream.close()
-        return sorted(name for name in found if name)
-
-    def _read(self, kind: str, schema: str) -> DataFrame:
-        paths = [f"{self.root}/{kind}/{name}" for name in self.commits()]
+
+    def commits(self) -> list[dict]:
+        """The published commits in their order: batch, name of the folders, and whether it holds the whole state."""
+        numbers = sorted(names_in(self.spark, f"{self.root}/commits"))
+        return [json.loads(read_small(self.spark, f"{self.root}/commits/{number}")) for number in numbers]
+
+    def _read(self, kind: str, schema: str, commits: list[dict]) -> DataFrame:
+        whole = [i for i, commit in enumerate(commits) if commit["whole"]]
+        paths = [f"{self.root}/{kind}/{commit['name']}" for commit in commits[whole[-1] if whole else 0 :]]
         if not paths:
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).parquet(*paths)
 
+    def _state(self, commits: list[dict]) -> DataFrame:
+        """The last change of every document: its count, or docs 0 for one that was deleted."""
+        put = self._read("ledger", _LEDGER, commits).where("docs >= 0")
+        last = F.max_by(F.struct("source", "lang", "docs", "tokens", "seq"), F.struct("seq", "number")).alias("last")
+        return put.groupBy("doc_id", "key", "tokenizer").agg(last).select("doc_id", "key", "tokenizer", "last.*")
+
     def ledger(self) -> DataFrame:
-        """The current count of every document: what the signed rows leave."""
-        signed = self._read("ledger", _LEDGER).groupBy("doc_id", *KEYS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens"))
-        return signed.where("docs <> 0")
+        """The current count of every document."""
+        return self._state(self.commits()).where("docs > 0").select("doc_id", "key", *KEYS, "docs", "tokens")
 
     def totals(self) -> DataFrame:
         """(source, lang, tokenizer, docs, tokens), added up over the commits' sums."""
-        added = self._read("sums", _SUMS).groupBy(*KEYS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens"))
+        return self._totals(self.commits())
+
+    def _totals(self, commits: list[dict]) -> DataFrame:
+        sums = self._read("sums", _SUMS, commits)
+        added = sums.groupBy(*KEYS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens"))
         return added.where("docs <> 0")
 
     def commit(self, batch: str, changes: DataFrame) -> bool:
-        """Settle ``changes`` (doc_id, source, lang, tokenizer, tokens, deleted, seq); False if the batch is known."""
-        if self._files.exists(self._marker(batch)):
-            return False
-        latest = Window.partitionBy("doc_id", "tokenizer").orderBy(F.desc("seq"), F.desc("tokens"), "deleted", "source", "lang")
+        """Settle ``changes`` (doc_id, source, lang, tokenizer, tokens, deleted, seq, and key if there is one); False if
+        the batch is known."""
+        if "key" not in changes.columns:
+            changes = changes.withColumn("key", F.lit(None).cast("bigint"))
+        latest = Window.partitionBy("doc_id", "key", "tokenizer").orderBy(
+            F.desc("seq"), F.desc("tokens"), "deleted", "source", "lang"
+        )
         news = changes.withColumn("_n", F.row_number().over(latest)).where("_n = 1")
         news = news.select(
-            F.col("doc_id").cast("bigint").alias("n_id"), F.col("source").alias("n_source"), F.col("lang").alias("n_lang"),
-            F.col("tokenizer").alias("n_tokenizer"), F.col("tokens").alias("n_tokens"), F.col("deleted").alias("n_deleted"),
+            F.col("doc_id").cast("bigint").alias("n_id"), F.col("key").alias("n_key"), F.col("source").alias("n_source"),
+            F.col("lang").alias("n_lang"), F.col("tokenizer").alias("n_tokenizer"), F.col("tokens").alias("n_tokens"),
+            F.col("deleted").alias("n_deleted"), F.col("seq").cast("bigint").alias("n_seq"),
         )
-        same = F.col("doc_id").eqNullSafe(F.col("n_id")) & F.col("tokenizer").eqNullSafe(F.col("n_tokenizer"))
-        joined = news.join(self.ledger(), same, "left")
+        while True:
+            commits = self.commits()
+            if any(commit["batch"] == batch for commit in commits):
+                return False
+            name, number = uuid.uuid4().hex, len(commits)
+            signed = self._settled(news, commits).withColumn("number", F.lit(number).cast("bigint"))
+            signed.write.parquet(f"{self.root}/ledger/{name}")
+            written = self.spark.read.schema(_LEDGER).parquet(f"{self.root}/ledger/{name}")
+            sums = written.groupBy(*KEYS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens"))
+            sums.write.parquet(f"{self.root}/sums/{name}")
+            if self._publish(number, batch, name, False):
+                return True
+
+    def _settled(self, news: DataFrame, commits: list[dict]) -> DataFrame:
+        """The signed rows by which a batch changes the state."""
+        same = F.lit(True)
+        for ours, theirs in (("n_id", "doc_id"), ("n_key", "key"), ("n_tokenizer", "tokenizer")):
+            same = same & F.col(ours).eqNullSafe(F.col(theirs))
+        joined = news.join(self._state(commits), same, "left").where(F.col("seq").isNull() | (F.col("n_seq") >= F.col("seq")))
         back = F.when(
-            F.col("docs").isNotNull(),
-            F.struct("doc_id", *KEYS, (-F.col("docs")).alias("docs"), (-F.col("tokens")).alias("tokens")),
+            F.col("docs") > 0,
+            F.struct("doc_id", "key", *KEYS, (-F.col("docs")).alias("docs"), (-F.col("tokens")).alias("tokens"), "seq"),
         )
-        put = F.when(
-            ~F.col("n_deleted"),
-            F.struct(
-                F.col("n_id").alias("doc_id"), F.col("n_source").alias("source"), F.col("n_lang").alias("lang"),
-                F.col("n_tokenizer").alias("tokenizer"), F.lit(1).cast("bigint").alias("docs"), F.col("n_tokens").alias("tokens"),
-            ),
+        gone = F.col("n_deleted")
+        put = F.struct(
+            F.col("n_id").alias("doc_id"), F.col("n_key").alias("key"), F.col("n_source").alias("source"),
+            F.col("n_lang").alias("lang"), F.col("n_tokenizer").alias("tokenizer"),
+            F.when(gone, 0).otherwise(1).cast("bigint").alias("docs"), F.when(gone, 0).otherwise(F.col("n_tokens")).alias("tokens"),
+            F.col("n_seq").alias("seq"),
         )
-        signed = joined.select(F.explode(F.array_compact(F.array(back, put))).alias("r")).select("r.*")
-        name = f"{uuid.uuid4().hex}"
-        signed.write.parquet(f"{self.root}/ledger/{name}")
-        written = self.spark.read.schema(_LEDGER).parquet(f"{self.root}/ledger/{name}")
-        sums = written.groupBy(*KEYS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens"))
-        sums.write.parquet(f"{self.root}/sums/{name}")
-        return self._publish(batch, name)
-
-    def _publish(self, batch: str, name: str) -> bool:
-        """Create the batch's marker, if no other writer has."""
-        pending = self._path("pending", name)
-        stream = self._files.create(pending, False)
-        stream.write(bytearray(name.encode()))
-        stream.close()
-        self._files.mkdirs(self._path("commits"))
-        if self._files.exists(self._marker(batch)):
-            return False
-        return bool(self._files.rename(pending, self._marker(batch)))
+        return joined.select(F.explode(F.array_compact(F.array(back, put))).alias("r")).select("r.*")
+
+    def compact(self) -> None:
+        """Publish the state as one commit; earlier ones are no longer read, but their batches stay known."""
+        while True:
+            commits = self.commits()
+            name, number = uuid.uuid4().hex, len(commits)
+            state = self._state(commits).withColumn("number", F.lit(number).cast("bigint"))
+            state.select(*[field.split()[0] for field in _LEDGER.split(", ")]).write.parquet(f"{self.root}/ledger/{name}")
+            self._totals(commits).write.parquet(f"{self.root}/sums/{name}")
+            if self._publish(number, None, name, True):
+                return
+
+    def _publish(self, number: int, batch: str | None, name: str, whole: bool) -> bool:
+        """Create the commit's file; False if another writer has taken its number."""
+        commit = json.dumps({"batch": batch, "name": name, "whole": whole})
+        return create_once(self.spark, f"{self.root}/commits/{number:09d}", commit)
 
 
 def changes_of(docs: DataFrame, deleted: bool = False, seq: int = 0, version: str = VERSION) -> DataFrame:
-    """Change rows for ``docs``: their counts, or their deletion."""
+    """Change rows for ``docs``: their counts, or their deletion. ``key``, if it is a column, names documents without an id."""
     tokens = F.lit(0).cast("bigint") if deleted else token_count("text", version)
+    key = F.col("key") if "key" in docs.columns else own_key()
     return docs.select(
-        F.col("doc_id").cast("bigint"), "source", "lang", F.lit(version).alias("tokenizer"), tokens.alias("tokens"),
-        F.lit(deleted).alias("deleted"), F.lit(seq).alias("seq"),
+        F.col("doc_id").cast("bigint").alias("doc_id"), key.alias("key"), "source", "lang", F.lit(version).alias("tokenizer"),
+        tokens.alias("tokens"), F.lit(deleted).alias("deleted"), F.lit(seq).alias("seq"),
     )
 
 
+def own_key() -> Column:
+    """What tells documents without an id apart; null for those with one."""
+    return F.when(F.col("doc_id").isNull(), F.xxhash64("source", "lang", "text"))
+
+
 def trimmed_lines(text: Column) -> Column:
     """The text without lines that repeat an earlier line of it."""
     return F.array_join(F.array_distinct(F.split(text, "\n", -1)), "\n")
@@ -176,17 +204,17 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three commits over all documents, the second one sent twice: every document comes in; those
     that repeat a line of their own are revised without it; of documents with one and the same text
     all but the first are deleted. The result is the table of totals."""
-    docs = source(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
+    docs = source(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang").withColumn("key", own_key())
     table = TokenRollup(spark, scratch_path(spark, "token-rollup"))
     table.commit("arrival", changes_of(docs))
-    revised = docs.withColumn("text", trimmed_lines(F.col("text"))).join(
-        docs.select(F.col("doc_id").alias("_id"), F.octet_length("text").alias("_size")), F.col("doc_id") == F.col("_id")
-    )
-    revised = staged(changes_of(revised.where(F.octet_length("text") < F.col("_size")).select(*docs.columns), seq=1), "revised")
+    shorter = docs.withColumn("size", F.octet_length("text")).withColumn("text", trimmed_lines(F.col("text")))
+    revised = staged(changes_of(shorter.where(F.octet_length("text") < F.col("size")), seq=1), "revised")
     for _ in range(2):
         table.commit("repeated lines", revised)
-    texts = docs.select("doc_id", "source", "lang", F.xxhash64("text").alias("h"), F.octet_length("text").alias("size"))
-    first = texts.groupBy("h", "size").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    copies = texts.join(first, ["h", "size"]).where("doc_id > first")
+    # Documents of one text are told by two hashes of it and its size.
+    text_is = [F.xxhash64("text").alias("h"), F.crc32("text").alias("c"), F.octet_length("text").alias("size")]
+    texts = docs.select("doc_id", "source", "lang", "key", *text_is)
+    first = texts.groupBy("h", "c", "size").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    copies = texts.join(first, ["h", "c", "size"]).where("doc_id > first")
     table.commit("copies", changes_of(copies, deleted=True, seq=2))
     return table.totals()

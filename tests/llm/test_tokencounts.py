@@ -36,6 +36,53 @@ def test_inserts_revisions_and_deletes(spark, rollup):
     assert rollup.ledger().agg(F.sum("tokens")).first()[0] == 21
 
 
+def test_older_changes_that_come_later_are_ignored(spark, rollup):
+    rollup.commit("new", changes(spark, (1, "a", 50, False, 5), (2, "a", 0, True, 5), (3, "a", 4, False, 5)))
+    rollup.commit("old", changes(spark, (1, "a", 10, False, 1), (2, "a", 9, False, 4), (3, "a", 0, True, 4)))
+    assert totals(rollup) == {("a", "en", "v1"): (2, 54)}
+    rollup.commit("same", changes(spark, (1, "b", 7, False, 5), (2, "b", 1, False, 6)))
+    assert totals(rollup) == {("a", "en", "v1"): (1, 4), ("b", "en", "v1"): (2, 8)}
+
+
+def test_an_interleaved_writer_gives_the_totals_of_turns(spark, tmp_path):
+    batches = {"x": [(1, "a", 20, False, 0), (2, "a", 1, False, 0)], "y": [(1, "b", 30, False, 1), (3, "b", 2, False, 0)]}
+    found = []
+    for order in ("xy", "yx", "both"):
+        rollup = tc.TokenRollup(spark, f"file://{tmp_path}/{order}")
+        if order == "both":
+            # The other writer commits between this one's settling and its publishing.
+            other, publish = tc.TokenRollup(spark, rollup.root), rollup._publish
+
+            def interrupted(number, batch, name, whole):
+                rollup._publish = publish
+                assert other.commit("y", changes(spark, *batches["y"]))
+                return publish(number, batch, name, whole)
+
+            rollup._publish = interrupted
+            assert rollup.commit("x", changes(spark, *batches["x"]))
+        else:
+            assert all(rollup.commit(name, changes(spark, *batches[name])) for name in order)
+        found.append(totals(rollup))
+    assert found[0] == found[1] == found[2] == {("a", "en", "v1"): (1, 1), ("b", "en", "v1"): (2, 32)}
+
+
+def test_compaction_keeps_totals_batches_and_order(spark, rollup):
+    rollup.commit("one", changes(spark, (1, "a", 10, False, 3), (2, "a", 5, False, 3), (4, "c", 1, False, 0)))
+    rollup.commit("two", changes(spark, (2, "a", 0, True, 4)))
+    before = totals(rollup)
+    rollup.compact()
+    assert totals(rollup) == before and len(rollup.commits()) == 3
+    assert not rollup.commit("one", changes(spark, (1, "a", 99, False, 9)))
+    rollup.commit("three", changes(spark, (2, "a", 8, False, 2), (1, "a", 11, False, 3)))
+    assert totals(rollup) == {("a", "en", "v1"): (1, 11), ("c", "en", "v1"): (1, 1)}
+
+
+def test_documents_without_an_id_count_by_their_text(spark, rollup):
+    docs = documents(spark, ["one two", "one two", "three", None]).withColumn("doc_id", F.lit(None).cast("bigint"))
+    rollup.commit("arrival", tc.changes_of(docs))
+    assert sum(row.docs for row in rollup.totals().collect()) == 3
+
+
 def test_unpublished_rows_do_not_count(spark, rollup):
     rollup.commit("one", changes(spark, (1, "a", 10, False, 0)))
     changes(spark).select("doc_id", "source", "lang", "tokenizer", F.lit(1).cast("bigint").alias("docs"), "tokens").write.parquet(
