@@ -30,16 +30,20 @@ PATHS = 3
 # A container must hold this share of the page's text; the deepest such one is the best.
 SHARE = 0.6
 ARTICLE_SHARE = 0.2
-# A winning path counts on a page where it holds this share of the text of the page's own best container,
-# or of what it holds on the host's pages on average.
+# A winning path counts on a page where it holds this share of the text of the page's own best container.
+NEARLY = 0.99
+# Where the page has more text elsewhere, a path still counts if it holds this share of what it holds on the host's
+# pages on average and the element around it adds nothing.
 FAIR = 0.5
+# Text in no container makes the whole page the container from this share of the page's text on.
+LOOSE_SHARE = 0.05
 # A path longer than this is kept as a hash of the whole of it.
 LONG_PATH = 400
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset(
-    "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span "
-    "strike strong sub sup time tt u var wbr".split()
+    "a abbr acronym audio b bdi bdo big canvas cite code data del dfn em font i img ins kbd label mark picture q rp rt ruby s "
+    "samp small source span strike strong sub sup time tt u var wbr".split()
 )
 DROPPED = frozenset("head nav header footer aside form button select option menu dialog".split())
 CONTAINERS = frozenset("article main section div td body center".split())
@@ -51,17 +55,28 @@ CLOSES_P = frozenset(
 SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"},
             "th": {"td", "th"}, "option": {"option"}}
 LISTS = frozenset("ul ol dl table tbody thead tfoot select body article section div".split())
-# Words of class, id or role names that mark what is not the article.
+# Words of class, id or role names that mark what is not the article: the first ones wherever they stand in a name, the
+# others only as a whole name or its last word, since they are topics of articles as well.
 MARKS = frozenset(
-    "ad ads adbox adslot advert adverts advertisement advertising banner sponsor sponsored promo promotion cookie cookies "
-    "consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription paywall menu nav navbar "
-    "navigation breadcrumb breadcrumbs sidebar aside widget widgets footer header masthead comment comments discussion "
-    "disqus replies respond share sharing social related recommended recommendations pagination pager toolbar search login "
-    "signup complementary contentinfo".split()
+    "ad ads adbox adslot advert adverts advertisement advertising sponsor sponsored promo cookie cookies "
+    "consent gdpr popup modal overlay newsletter paywall nav navbar "
+    "navigation breadcrumb breadcrumbs sidebar widget widgets footer masthead comment comments "
+    "disqus replies pagination pager toolbar complementary contentinfo".split()
+)
+TOPICS = frozenset(
+    "banner promotion notice notices alert subscribe subscription menu aside header discussion respond share sharing social "
+    "related recommended recommendations search login signup".split()
+)
+# Words after which a topic's name is still that of a box: share-box, search-form, menu-list.
+BOXES = frozenset("box bar form list area block links buttons wrapper container inner outer top bottom left right".split())
+# Elements that a mark can take out of the article; headings, paragraphs, preformatted text and what stands in a line are text.
+MARKABLE = frozenset(
+    "div section ul ol dl li table tbody tr td th center details fieldset figure iframe article main blockquote p".split()
 )
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
+    r"|<(?:svg|math|object|iframe)\b(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+(?<=/)>"
     r"|<(?P<raw>script|style|noscript|template|svg|iframe|textarea|object|math|title)\b.*?(?:</(?P=raw)\s*>|\Z)"
     r"|<[!?][^>]*(?:>|\Z)"
     r"|<(?P<end>/?)(?P<tag>[a-z][^\s/>]*)(?P<rest>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>",
@@ -71,6 +86,19 @@ _NAMED = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'
 _PART = re.compile(r"[a-z]+")
 
 
+def _marks(name: str, tag: str) -> bool:
+    """Whether a class, id or role name marks what is not the article."""
+    parts = _PART.findall(name)
+    if not parts:
+        return False
+    if tag == "p":  # a paragraph is text unless its whole name says otherwise
+        return len(parts) == 1 and parts[0] in MARKS
+    if not MARKS.isdisjoint(parts):
+        return True
+    last = parts[-2] if len(parts) > 1 and parts[-1] in BOXES else parts[-1]
+    return last in TOPICS
+
+
 class Page:
     """Elements with their parents, paths and drop marks, and the text pieces in page order."""
 
@@ -78,6 +106,7 @@ class Page:
         self.parent, self.tag, self.path, self.dropped, self.marked = [-1], [""], [""], [False], [False]
         self.depth = [0]
         self.pieces: list[tuple[int, str]] = []  # (element, text); a lone space is a block's edge
+        # For each tag, where its open elements lie in the stack.
         stack, open_tags = [0], {}
         at = 0
         for match in _TOKEN.finditer(markup):
@@ -102,24 +131,21 @@ class Page:
                 continue
             self._open(stack[-1], tag, match["rest"])
             if not match["rest"].endswith("/") or tag not in INLINE:
+                open_tags.setdefault(tag, []).append(len(stack))
                 stack.append(len(self.parent) - 1)
-                open_tags[tag] = open_tags.get(tag, 0) + 1
         if at < len(markup):
             rest = markup[at:]
             cut = re.search(r"<[a-z/!?][^>]*\Z", rest, re.I)  # a tag that the end of the page cuts off
             self.pieces.append((stack[-1], entities.unescape(rest[: cut.start()] if cut else rest)))
 
-    def _close(self, stack: list[int], open_tags: dict[str, int], tags: set[str], walls: frozenset = frozenset()) -> None:
+    def _close(self, stack: list[int], open_tags: dict[str, list[int]], tags: set[str], walls: frozenset = frozenset()) -> None:
         """Pop to the nearest open element of ``tags``, unless an element of ``walls`` is in between."""
-        for k in range(len(stack) - 1, 0, -1):
-            tag = self.tag[stack[k]]
-            if tag in tags:
-                for element in stack[k:]:
-                    open_tags[self.tag[element]] -= 1
-                del stack[k:]
-                return
-            if tag in walls:
-                return
+        nearest = max((open_tags[tag][-1] for tag in tags if open_tags.get(tag)), default=0)
+        wall = max((open_tags[tag][-1] for tag in walls - tags if open_tags.get(tag)), default=0)
+        if nearest and nearest > wall:
+            for element in stack[nearest:]:
+                open_tags[self.tag[element]].pop()
+            del stack[nearest:]
 
     def _open(self, parent: int, tag: str, rest: str) -> None:
         classes: list[str] = []
@@ -127,8 +153,7 @@ class Page:
         if rest:
             for name, a, b, c in _NAMED.findall(rest):
                 value = (a or b or c).lower()
-                parts = set(_PART.findall(value))
-                marked |= not MARKS.isdisjoint(parts)
+                marked |= tag in MARKABLE and any(_marks(token, tag) for token in value.split())
                 if name.lower() == "class":
                     classes = sorted({re.sub(r"\d+", "0", token) for token in value.split()})
         self.parent.append(parent)
@@ -194,7 +219,7 @@ class Page:
         named = named or [i for i in above if self.tag[i] in ("article", "main")]
         if named:
             return named[-1]
-        if loose:
+        if loose >= LOOSE_SHARE * held[0] and loose:
             return 0
         for i in above:
             if self.path[i] and held[i] > held[best]:
@@ -219,8 +244,9 @@ def best_container(markup: str | None) -> tuple[str, int] | None:
 def main_text(markup: str | None, paths: list[str], sizes: list[int] | None = None) -> tuple[str, str | None]:
     """(text, the path it came from): the first of ``paths`` that holds a fair share, else the page's own.
 
-    ``sizes``: how many characters each path holds on average. A path counts if it holds enough of that,
-    whatever else is on the page, or enough of what the page's own best container holds.
+    ``sizes``: how many characters each path holds on average. A path counts if it holds nearly all of what the page's
+    own best container holds. It also counts beside other boxes of the page, if it holds enough of that average and no
+    text stands next to it in the element around it: such text is a part of the article that the template does not know.
     """
     if not markup:
         return "", None
@@ -229,7 +255,13 @@ def main_text(markup: str | None, paths: list[str], sizes: list[int] | None = No
     own_text = page.text(own[0]) if own else ""
     for path, size in zip(paths, sizes or [0] * len(paths)):
         found = own_text if own and path == own[0] else page.text(path)
-        if found and (len(found) >= FAIR * len(own_text) or (size and len(found) >= FAIR * size)):
+        if not found:
+            continue
+        if len(found) >= NEARLY * len(own_text):
+            return found, path
+        around = path.rpartition(">")[0]
+        alone = len(page.text(around)) <= len(found) if around else own[0] != ""
+        if size and len(found) >= FAIR * size and alone:
             return found, path
     return (own_text, own[0]) if own else ("", None)
 

@@ -104,3 +104,46 @@ def test_page_of_another_template_is_not_cut_to_a_teaser(spark):
     found = {r.page_id: r.text for r in hm.extract(pages, paths).collect()}
     assert found[8] == ("lead text " * 63).strip() and found[9] == "A short piece."
     assert {found[i] for i in range(8)} == {("body text " * 39).strip()}
+
+
+@pytest.mark.parametrize("self_closed", ["<svg class=i />", "<svg/>", "<math />", "<object data='x'/>", "<iframe src=\"a>b\" />"])
+def test_self_closed_foreign_elements_swallow_nothing(self_closed):
+    assert hm.main_text(page(f"<article>{self_closed}{ARTICLE}</article>"), [])[0] == EXPECTED
+
+
+@pytest.mark.parametrize(
+    "body, text",
+    [
+        ('<article><h2 id="share-price">Share price</h2><p>rose today</p></article>', "Share price rose today"),
+        ('<article><p class="search-engine-history">Engines</p><p>grew</p></article>', "Engines grew"),
+        ('<article><pre>x = 1 <span class="token comment"># one</span></pre></article>', "x = 1 # one"),
+        ('<article><p>foo<img src="a.png">bar</p></article>', "foobar"),
+        ('<article><div class="search-engines"><p>Engines</p></div></article>', "Engines"),
+        ('<article><p>text</p><div class="share-box">share</div><div class="search">find</div><p class="ad">buy</p></article>', "text"),
+    ],
+)
+def test_marks_take_out_boxes_and_leave_text(body, text):
+    assert hm.main_text(page(body), [])[0] == text
+
+
+def test_a_loose_character_does_not_make_the_page_the_container():
+    boxes = f"<div class='story'>{BODY * 4}</div><div class='extra'><p>other box</p></div>"
+    assert hm.main_text(page(f"| {boxes}"), [])[0] == hm.main_text(page(boxes), [])[0] == ("body text " * 52).strip()
+
+
+def test_text_beside_the_winning_path_stays(spark):
+    usual = page(f"<div class='content'><div class='body'>{BODY * 5}</div></div>")
+    lead = page(f"<div class='content'>{LEAD * 5}<div class='body'>{BODY * 5}</div></div>")
+    rows = [(i, "http://a.example/x", usual) for i in range(8)] + [(8, "http://a.example/y", lead)]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    found = {r.page_id: r.text for r in hm.extract(pages, hm.winning_paths(pages)).collect()}
+    assert found[8] == ("lead text " * 35 + "body text " * 65).strip() and found[0] == ("body text " * 65).strip()
+
+
+def test_nested_blocks_in_open_paragraphs_take_linear_time():
+    import time
+
+    started = time.perf_counter()
+    hm.main_text("<p><td>" + "<blockquote>" * 60_000 + "x", [])
+    hm.main_text("<div>" * 50_000 + "<li>a" * 50_000, [])
+    assert time.perf_counter() - started < 10
