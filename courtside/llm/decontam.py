@@ -26,7 +26,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from courtside.llm.shared import chunks, source
+from courtside.llm.shared import chunks, fresh, source
 from courtside.workspace import scratch_path
 
 WINDOW = 13
@@ -311,6 +311,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are not contaminated, told apart by their id and their text's hash."""
     bad = decontamination(docs, source(spark, sf_dir, "benchmark")).where("contaminated")
-    bad = bad.select(F.col("doc_id").alias("_bad_id"), F.col("row_hash").alias("_bad_hash")).distinct()
-    same = F.col("doc_id").cast("bigint").eqNullSafe(F.col("_bad_id")) & (F.xxhash64("text") == F.col("_bad_hash"))
+    bad_id, bad_hash = fresh(docs, "_bad_id", "_bad_hash")
+    bad = bad.select(F.col("doc_id").alias(bad_id), F.col("row_hash").alias(bad_hash)).distinct()
+    same = F.col("doc_id").cast("bigint").eqNullSafe(F.col(bad_id)) & (F.xxhash64("text") == F.col(bad_hash))
     return docs.join(bad, same, "left_anti")

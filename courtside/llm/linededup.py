@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from courtside.llm import linetext
 from courtside.llm.linking import MATRIX, components, runs, sorted_groups, spanning_links, spread_groups
-from courtside.llm.shared import chunks, shuffle_partitions, source
+from courtside.llm.shared import chunks, fresh, shuffle_partitions, source
 from courtside.workspace import staged
 
 REACH = 3
@@ -36,6 +36,8 @@ BLOCKS, BLOCK_BITS = 4, 15
 BITS = linetext.BITS
 # The filter that preselects lines to fetch: fixed at 2^25 bits (4 MB), whatever the input.
 FILTER_BITS = 25
+# Groups of this many forms are large, or of more where that would make more than MOST_LARGE of them.
+LARGE_GROUP, MOST_LARGE = 100, 10_000
 
 def read_lines(docs: DataFrame) -> DataFrame:
     """(doc_id, row_hash, line_no, form, print) for every line with a word."""
@@ -322,25 +324,31 @@ def removals(docs: DataFrame) -> DataFrame:
     root = F.coalesce("root", "form")
     # Forms that occur once and are linked with none need no second look.
     grouped = grouped.where("n > 1 or root is not null").select("form", root.alias("root"), "first")
-    kept = grouped.groupBy("root").agg(F.min("first").alias("kept"))
-    decided = grouped.join(kept, "root").select("form", "kept")
+    grouped = staged(grouped, "line-groups")
+    kept = grouped.groupBy("root").agg(F.min("first").alias("kept"), F.count(F.lit(1)).alias("forms"))
+    # Groups of so many forms are at most MOST_LARGE, whatever the input; they are broadcast, so no task gets one whole.
+    least = max(LARGE_GROUP, -(-grouped.count() // MOST_LARGE))
+    large = F.broadcast(kept.where(F.col("forms") >= least).select("root", "kept"))
+    small = grouped.join(large.select("root"), "root", "left_anti").join(kept.where(F.col("forms") < least), "root")
+    decided = grouped.join(large, "root").select("form", "kept").unionByName(small.select("form", "kept"))
     return lines.join(decided, "form").where(~place.eqNullSafe(F.col("kept"))).select("doc_id", "row_hash", "line_no")
 
 
-def drop_lines(docs: DataFrame) -> DataFrame:
-    """``docs`` without the repeated lines, and ``_lines_removed``."""
-    gone = removals(docs).groupBy("doc_id", "row_hash").agg(F.array_sort(F.collect_set("line_no")).alias("_gone"))
-    marked = docs.withColumn("_row_hash", F.xxhash64("text"))
+def drop_lines(docs: DataFrame, removed: str = "_lines_removed") -> DataFrame:
+    """``docs`` without the repeated lines, and how many were removed."""
+    lines, gone_id, gone_hash, row_hash = fresh(docs, "_gone", "_gone_id", "_gone_hash", "_row_hash")
+    gone = removals(docs).groupBy("doc_id", "row_hash").agg(F.array_sort(F.collect_set("line_no")).alias(lines))
+    marked = docs.withColumn(row_hash, F.xxhash64("text"))
     joined = marked.join(
-        gone.select(F.col("doc_id").alias("_gone_id"), F.col("row_hash").alias("_gone_hash"), "_gone"),
-        F.col("doc_id").cast("bigint").eqNullSafe(F.col("_gone_id")) & (F.col("_row_hash") == F.col("_gone_hash")),
+        gone.select(F.col("doc_id").alias(gone_id), F.col("row_hash").alias(gone_hash), lines),
+        F.col("doc_id").cast("bigint").eqNullSafe(F.col(gone_id)) & (F.col(row_hash) == F.col(gone_hash)),
         "left",
     )
-    cut = joined.withColumn("text", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(_without(F.col("text"), F.col("_gone"))))
+    cut = joined.withColumn("text", F.when(F.col(lines).isNull(), F.col("text")).otherwise(_without(F.col("text"), F.col(lines))))
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
-        cut = cut.withColumn("n_chars", F.when(F.col("_gone").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(kind)))
-    return cut.select(*[F.col(f"`{c}`") for c in docs.columns], F.coalesce(F.size("_gone"), F.lit(0)).alias("_lines_removed"))
+        cut = cut.withColumn("n_chars", F.when(F.col(lines).isNull(), F.col("n_chars")).otherwise(F.length("text").cast(kind)))
+    return cut.select(*[F.col(f"`{c}`") for c in docs.columns], F.coalesce(F.size(lines), F.lit(0)).alias(removed))
 
 
 def _without(text: Column, gone: Column) -> Column:
@@ -356,4 +364,5 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return drop_lines(docs).drop("_lines_removed")
+    (removed,) = fresh(docs, "_lines_removed")
+    return drop_lines(docs, removed).drop(removed)

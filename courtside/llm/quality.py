@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from courtside.llm.shared import SPACED_WORD, source
+from courtside.llm.shared import fresh, source, SPACED_WORD
 
 # Labelled rows the list is learned from, at most; they come to the driver as numbers only.
 SAMPLE_ROWS = 20_000
@@ -278,4 +278,5 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass; the rules are learned on this stage's own input."""
     rules = learn_rules(docs, source(spark, sf_dir, "labels"))
-    return judge(docs, rules).where("_judged.kept").drop("_judged")
+    (into,) = fresh(docs, "_judged")
+    return judge(docs, rules, into).where(F.col(f"{into}.kept")).drop(into)

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from courtside.llm.linking import components, group_links, sorted_groups, spread_groups
-from courtside.llm.shared import shuffle_partitions, source
+from courtside.llm.shared import fresh, shuffle_partitions, source
 from courtside.workspace import staged
 
 SHINGLE = 4
@@ -192,12 +192,13 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = staged(near_duplicates(docs), "near-duplicates")
     place = F.struct(F.col("doc_id").isNull(), "doc_id", "row_hash")
     kept = found.groupBy("root").agg(F.min(place).alias("kept")).select("kept.doc_id", "kept.row_hash").distinct()
-    kept = kept.select(F.col("doc_id").alias("_kept_id"), F.col("row_hash").alias("_kept_hash"))
-    marked = docs.withColumn("_row_hash", F.xxhash64("text"))
-    same = F.col("doc_id").cast("bigint").eqNullSafe(F.col("_kept_id")) & (F.col("_row_hash") == F.col("_kept_hash"))
+    kept_id, kept_hash, row_hash = fresh(docs, "_kept_id", "_kept_hash", "_row_hash")
+    kept = kept.select(F.col("doc_id").alias(kept_id), F.col("row_hash").alias(kept_hash))
+    marked = docs.withColumn(row_hash, F.xxhash64("text"))
+    same = F.col("doc_id").cast("bigint").eqNullSafe(F.col(kept_id)) & (F.col(row_hash) == F.col(kept_hash))
     chosen = marked.join(kept, same, "left_semi")
     # Rows that agree in id and text cannot be told apart by the join.
     repeated = found.groupBy("doc_id", "row_hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     if not repeated.isEmpty():
-        chosen = chosen.dropDuplicates(["doc_id", "_row_hash"])
-    return chosen.drop("_row_hash")
+        chosen = chosen.dropDuplicates(["doc_id", row_hash])
+    return chosen.drop(row_hash)

@@ -14,7 +14,7 @@ def test_registered():
     import __spark_entry__ as entry
 
     assert {*QUERIES, "pipeline"} <= set(entry.queries()) and set(SQL) <= set(QUERIES)
-    assert sorted(int(name[2:].split("_")[0]) for name in QUERIES) == list(range(1, 11))
+    assert sorted(int(name[2:].split("_")[0]) for name in QUERIES) == list(range(1, 14))
 
 
 def test_stages_equal_brute_force(spark, sf_dir):
@@ -46,3 +46,13 @@ def test_awkward_rows_pass_every_stage(spark, sf_dir):
             assert stage(spark, rows, sf_dir).columns == docs.columns, name
             stage(spark, rows, sf_dir).collect()
         corpus_pipeline.STAGES[-1][1](spark, rows, sf_dir).collect()
+
+
+def test_extra_columns_that_bear_inner_names_pass_every_stage(spark, sf_dir):
+    names = ["_kept_id", "_kept_hash", "_row_hash", "_gone", "_gone_id", "_gone_hash", "_lines_removed", "_bad_id", "_bad_hash", "_judged"]
+    texts = [*AWKWARD, "one line\nanother line here\none line", "another line here"]
+    docs = documents(spark, texts).selectExpr("*", *[f"concat('{name}', doc_id) AS {name}" for name in names])
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        found = stage(spark, docs, sf_dir)
+        assert found.columns == docs.columns, name
+        assert all(row[column] == f"{column}{row.doc_id}" for row in found.collect() for column in names), name
