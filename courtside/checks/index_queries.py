@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 from courtside.checks import feeds
 from courtside.checks.read_queries import LIVE, PLAYOFF, SEASON, TEAM, _page_sql
 from courtside.checks.registry import columns, events, query, table
+from courtside.checks.write_queries import _CASES, STAMP, _merge_sql, base_and_delta
 from courtside.operators import keyvalidity as kv
+from courtside.operators.buckettable import BucketTable
 from courtside.operators.countcube import CountCube, insert_deltas, signed, visibility_deltas
 from courtside.operators.merge import merge_rows
 from courtside.operators.nameindex import NameIndex
@@ -172,6 +174,27 @@ def meta_count_cube(spark, d):
     return found
 
 
+# --- merges into bucketed tables -----------------------------------------------------
+
+
+def _register_bucketed(short):
+    spec = _CASES[short][0]
+
+    @query(f"upsert_{short}_bucketed", _merge_sql(short, columns(spec), "deleted_at IS NULL"))
+    def upsert(spark, d):
+        """Two merges into a bucketed table: the first fills it, the second meets its buckets."""
+        _, base, batch = base_and_delta(spark, d, short)
+        path = scratch_path(spark, f"bucketed-{short}")
+        store = BucketTable(spark, f"bucketed_{path.rsplit('-', 1)[-1]}", path, spec)
+        store.create()
+        store.upsert(visible(base), STAMP)
+        store.upsert(batch, STAMP)
+        return store.read().select(*spec.names)
+
+
+for _short in _CASES:
+    _register_bucketed(_short)
+
 # --- late requests -------------------------------------------------------------------
 
 _CUTS = ("2024-01-11 00:00:00", "2024-01-21 00:00:00")
