@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame, DataFrameWriter, SparkSession, functions as F, types as T
 
 from courtside.schemas import AUDIT_COLUMNS, CREDENTIALS, TableSpec
 
@@ -17,19 +19,33 @@ def read_parquet(spark: SparkSession, path: str, spec: TableSpec) -> DataFrame:
     return visible(rows.select(*spec.schema.names))
 
 
-def write_parquet(rows: DataFrame, spec: TableSpec, path: str) -> None:
+def with_blooms(writer: DataFrameWriter, columns: Sequence[str], distinct: int = 1 << 20) -> DataFrameWriter:
+    """Bloom filters on text columns that are looked up by equality, sized for so many values in a row group at most.
+
+    A scan for a value no row group holds then reads the filters and no rows, also where ranges overlap.
+    """
+    for column in columns:
+        writer = writer.option(f"parquet.bloom.filter.enabled#{column}", "true")
+        writer = writer.option(f"parquet.bloom.filter.expected.ndv#{column}", str(distinct))
+    return writer.option("parquet.bloom.filter.adaptive.enabled", "true")
+
+
+def write_parquet(rows: DataFrame, spec: TableSpec, path: str, lookups: Sequence[str] = ()) -> None:
     """Store a table partitioned by its prune columns, sorted by key inside each file.
 
+    ``lookups``: columns that get a bloom filter.
+
+
     The sort gives narrow min/max ranges per row group, so a player filter skips most of
     a file. Rebalancing lets Spark split an oversized partition over several writers.
     """
-    (
+    writer = (
         rows.select(*spec.schema.names)
         .hint("rebalance", *[F.col(c) for c in spec.partition_by])
         .sortWithinPartitions(*spec.partition_by, *[k for k in spec.keys if k not in spec.partition_by])
         .write.partitionBy(*spec.partition_by)
-        .parquet(path)
     )
+    (with_blooms(writer, lookups) if lookups else writer).parquet(path)
 
 
 def read_jdbc(spark: SparkSession, url: str, spec: TableSpec, seasons: list[int], **options) -> DataFrame:
