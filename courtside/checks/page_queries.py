@@ -222,12 +222,12 @@ def stream_ingest_totals(spark, d):
     """Pages that keep arriving: extraction and merge in every micro-batch."""
     root = scratch_path(spark, "stream-ingest")
     pages = feeds.stat_pages(customers(spark, d), TOTALS)
-    # Two files, each a micro-batch; between pages with a key in common the later one wins.
-    for part in (pages.filter("page_id < 60"), pages.filter("page_id >= 60")):
-        part.coalesce(1).write.mode("append").parquet(f"{root}/pages")
-    stream = parquet_stream(spark, f"{root}/pages", pages.schema, maxFilesPerTrigger="1")
     store = KeyedTable(spark, f"{root}/table", TOTALS)
-    ingest_pages_into(stream, ingest_tasks(spark), store, STAMP, f"{root}/checkpoint").awaitTermination()
+    # Two arrivals, each a micro-batch of all its files; between pages with a key in common the later one wins.
+    for part in (pages.filter("page_id < 60"), pages.filter("page_id >= 60")):
+        part.write.mode("append").parquet(f"{root}/pages")
+        stream = parquet_stream(spark, f"{root}/pages", pages.schema)
+        ingest_pages_into(stream, ingest_tasks(spark), store, STAMP, f"{root}/checkpoint").awaitTermination()
     return store.read().select(*TOTALS.names)
 
 
