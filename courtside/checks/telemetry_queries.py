@@ -14,7 +14,7 @@ from courtside.operators.keyedtable import KeyedTable
 from courtside.schemas import SHOTS
 from courtside.sources.requestlog import parse_request_lines
 from courtside.streaming import live
-from courtside.workspace import scratch_path
+from courtside.workspace import scratch_path, session_setting, staged
 
 STAMP = datetime(2024, 6, 1)
 ENDPOINT = "/api/playeradvancedstats/"
@@ -307,11 +307,11 @@ def stream_upsert_shots(spark, d):
     store = KeyedTable(spark, f"{root}/table", SHOTS)
     store.upsert(earlier.where(half), STAMP)
     store.upsert(earlier.where(~half & ~even), STAMP)
-    shots.where(even & half).coalesce(1).write.mode("append").parquet(f"{root}/arriving")
-    stream = live.parquet_stream(spark, f"{root}/arriving", shots.schema, maxFilesPerTrigger="1")
+    shots.where(even & half).write.mode("append").parquet(f"{root}/arriving")
+    stream = live.parquet_stream(spark, f"{root}/arriving", shots.schema)
     live.merge_into(stream, store, STAMP, f"{root}/checkpoint", mode="append").awaitTermination()
     store.upsert(earlier.where(~even & half), STAMP)
-    shots.where(even & ~half).coalesce(1).write.mode("append").parquet(f"{root}/arriving")
+    shots.where(even & ~half).write.mode("append").parquet(f"{root}/arriving")
     live.merge_into(stream, store, STAMP, f"{root}/checkpoint", mode="append").awaitTermination()
     return store.read().select(*SHOTS.names)
 
@@ -341,25 +341,28 @@ def stream_late_rows(spark, d):
     """The last third of the requests arrives first, then the middle one, then the first, which is late by then.
 
     Rows count as late against the watermark that the batch before had.
-    Late rows are counted where they are dropped, which is after each task has counted by window and labels.
+    Late rows are counted where they are dropped, which is after the counts by window and labels have met.
     """
     root = scratch_path(spark, "stream-late")
     requests = feeds.requests(events(spark, d))
-    ranked = tm.cumulative_requests(requests.select("request_id", "ts", *[F.lit("x").alias(c) for c in tm.COUNTER_LABELS]), ["ts", "request_id"])
+    labelled = requests.select("request_id", "ts", *[F.lit("x").alias(c) for c in tm.COUNTER_LABELS])
+    ranked = staged(tm.cumulative_requests(labelled, ["ts", "request_id"]).select("request_id", "counter"), "late-ranks")
     third = requests.agg(F.count(F.lit(1))).scalar()
     early = ranked.where(F.col("counter") * 3 > third).select("request_id")
     newest = ranked.where(F.col("counter") * 3 > third * 2).select("request_id")
-    for part in (
-        requests.join(newest, "request_id", "left_semi"),
-        requests.join(early, "request_id", "left_semi").join(newest, "request_id", "left_anti"),
-        requests.join(early, "request_id", "left_anti"),
-    ):
-        part.coalesce(1).write.mode("append").parquet(f"{root}/arriving")
-    store = KeyedTable(spark, f"{root}/table", live.WINDOWED_COUNTS)
-    stream = live.parquet_stream(spark, f"{root}/arriving", requests.schema, maxFilesPerTrigger="1")
-    run = live.merge_into(live.live_windows(stream, "1 hour", delay="10 minutes"), store, STAMP, f"{root}/checkpoint")
-    run.awaitTermination()
-    dropped = live.rows_dropped_as_late(run, spark)
+    store, dropped = KeyedTable(spark, f"{root}/table", live.WINDOWED_COUNTS), 0
+    # Each part is one micro-batch of all its files; batches without data would move the watermark between them.
+    with session_setting(spark, "spark.sql.streaming.noDataMicroBatches.enabled", "false"):
+        for part in (
+            requests.join(newest, "request_id", "left_semi"),
+            requests.join(early, "request_id", "left_semi").join(newest, "request_id", "left_anti"),
+            requests.join(early, "request_id", "left_anti"),
+        ):
+            part.write.mode("append").parquet(f"{root}/arriving")
+            stream = live.parquet_stream(spark, f"{root}/arriving", requests.schema)
+            run = live.merge_into(live.live_windows(stream, "1 hour", delay="10 minutes"), store, STAMP, f"{root}/checkpoint")
+            run.awaitTermination()
+            dropped += live.rows_dropped_as_late(run, spark)
     return store.read().agg(F.sum("n").alias("counted")).select(
         F.lit(dropped).cast("bigint").alias("dropped"), "counted"
     )
