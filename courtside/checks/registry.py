@@ -42,7 +42,8 @@ def stored_path(spark: SparkSession, sf_dir: str, spec: TableSpec) -> str:
     key = (spark.sparkContext.applicationId, sf_dir, spec.name)
     if key not in _stored:
         path = scratch_path(spark, spec.name)
-        write_parquet(_derive(spark, sf_dir, spec), spec, path)
+        # The season tables come in ranges of season, phase and player.
+        write_parquet(_derive(spark, sf_dir, spec), spec, path, dealt=spec is not SHOTS)
         _stored[key] = path
     return _stored[key]
 

@@ -30,19 +30,20 @@ def with_blooms(writer: DataFrameWriter, columns: Sequence[str], distinct: int =
     return writer.option("parquet.bloom.filter.adaptive.enabled", "true")
 
 
-def write_parquet(rows: DataFrame, spec: TableSpec, path: str, lookups: Sequence[str] = ()) -> None:
+def write_parquet(rows: DataFrame, spec: TableSpec, path: str, lookups: Sequence[str] = (), dealt: bool = False) -> None:
     """Store a table partitioned by its prune columns, sorted by key inside each file.
 
-    ``lookups``: columns that get a bloom filter.
-
+    ``lookups``: columns that get a bloom filter. ``dealt``: the rows already lie in ranges of the prune columns and
+    the key, so they are written where they are.
 
     The sort gives narrow min/max ranges per row group, so a player filter skips most of
     a file. Rebalancing lets Spark split an oversized partition over several writers.
     """
+    rows = rows.select(*spec.schema.names)
+    if not dealt:
+        rows = rows.hint("rebalance", *[F.col(c) for c in spec.partition_by])
     writer = (
-        rows.select(*spec.schema.names)
-        .hint("rebalance", *[F.col(c) for c in spec.partition_by])
-        .sortWithinPartitions(*spec.partition_by, *[k for k in spec.keys if k not in spec.partition_by])
+        rows.sortWithinPartitions(*spec.partition_by, *[k for k in spec.keys if k not in spec.partition_by])
         .write.partitionBy(*spec.partition_by)
     )
     (with_blooms(writer, lookups) if lookups else writer).parquet(path)

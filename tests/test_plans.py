@@ -3,6 +3,7 @@
 import pytest
 
 import __spark_entry__ as entry
+from courtside.checks import feeds
 
 
 def plan(spark, sf_dir, name):
@@ -39,6 +40,11 @@ def test_extraction_has_no_shuffle_of_pages(spark, sf_dir):
     assert "Exchange" not in after_read and "SortMergeJoin" not in text
 
 
+def test_season_tables_are_dealt_out_once(spark, sf_dir):
+    text = feeds.totals(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert text.count("Exchange") == 1 and "rangepartitioning(season" in text
+
+
 # These run jobs while they are built; their steps are covered by the other queries.
 EAGER = ("stream_", "ingest_", "upsert_", "page_totals_deep", "page_totals_large", "cumulative", "table_schemas", "op", "pipeline")
 
