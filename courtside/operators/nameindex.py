@@ -15,10 +15,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from courtside.operators.statquery import name_contains
 from courtside.sources.tables import visible
-from courtside.workspace import create_once, names_in
+from courtside.workspace import create_once, names_in, staged
 
 # Trigrams of a pattern that are intersected before names are verified.
 INTERSECTED = 3
+# Up to so many found names go to every task, whatever size Spark expects; more meet the rows by a shuffle of both.
+BROADCAST_NAMES = 2_000_000
 
 
 def trigrams(name: Column) -> Column:
@@ -90,5 +92,9 @@ class NameIndex:
         return names.where(name_contains(pattern))
 
     def matching(self, rows: DataFrame, pattern: str) -> DataFrame:
-        """Visible rows whose name contains ``pattern``. Names meet rows by equality; Spark broadcasts them if few."""
-        return visible(rows).join(self.containing(pattern), "player_name", "left_semi")
+        """Visible rows whose name contains ``pattern``. Names meet rows by equality; they are found first, since no
+        estimate tells how few they are, and a broadcast keeps the rows where they lie."""
+        found = staged(self.containing(pattern), "names-found")
+        if found.count() <= BROADCAST_NAMES:
+            found = F.broadcast(found)
+        return visible(rows).join(found, "player_name", "left_semi")

@@ -18,6 +18,8 @@ from courtside.operators.statquery import order_columns
 from courtside.workspace import create_once, read_small, scratch_path
 
 STRETCH_ROWS = 500_000
+# Each range is a task and a file, so smaller ranges than STRETCH_ROWS are made up to this number only.
+SMALL_RANGES = 512
 # A place is the range's number and, in the lower bits, the row's position there.
 _BITS = 33
 
@@ -58,13 +60,25 @@ class RankIndex:
         return found.drop("_place")
 
 
+def range_count(total: int, stretch_rows: int) -> int:
+    """Ranges of ``stretch_rows``; beyond SMALL_RANGES of them larger ones, of up to STRETCH_ROWS.
+
+    So the number of tasks, files and counts does not grow with the table while its ranges still fit a task.
+    """
+    asked = -(-total // stretch_rows)
+    return max(1, min(asked, max(SMALL_RANGES, -(-total // max(stretch_rows, STRETCH_ROWS)))))
+
+
 def rank_index(
     rows: DataFrame, order: list[tuple[str, bool]], total: int, path: str | None = None, stretch_rows: int = STRETCH_ROWS
 ) -> RankIndex:
-    """Stores ``rows`` (about ``total`` of them) in ``order``, which has to be total up to equal rows."""
+    """Stores ``rows`` (about ``total`` of them) in ``order``, which has to be total up to equal rows.
+
+    ``stretch_rows`` is the aim for a range; see ``range_count`` for large tables.
+    """
     spark = rows.sparkSession
     path = path or scratch_path(spark, "ranked")
-    ranges = max(1, -(-total // stretch_rows))
+    ranges = range_count(total, stretch_rows)
     columns = order_columns(order)
     placed = rows.repartitionByRange(ranges, *columns).sortWithinPartitions(*columns)
     placed = placed.withColumn("_place", F.monotonically_increasing_id())

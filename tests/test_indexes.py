@@ -8,9 +8,10 @@ from courtside.checks.registry import table
 from courtside.operators.countcube import CountCube, insert_deltas, signed, visibility_deltas
 from courtside.operators.nameindex import NameIndex
 from courtside.operators.paging import deep_slice, page_meta, page_rows
-from courtside.operators.rankindex import open_rank_index, rank_index
+from courtside.operators.rankindex import SMALL_RANGES, STRETCH_ROWS, open_rank_index, range_count, rank_index
 from courtside.operators.statquery import StatQuery, matching, order_columns
 from courtside.sources.tables import visible
+from courtside.workspace import session_setting
 
 ORDER = [("v", True), ("k", False)]
 
@@ -63,6 +64,18 @@ def test_deep_slices_of_equal_rows_end(spark):
     assert deep_slice(rows.limit(0), ORDER, 0, 5).count() == 0
 
 
+def test_small_ranges_do_not_multiply_with_the_table(spark, tmp_path, monkeypatch):
+    assert range_count(3_300, 1000) == 4 and range_count(0, 1000) == 1
+    assert range_count(33_000_000, 1000) == SMALL_RANGES and range_count(10**9, 1000) == 2000
+    assert range_count(10**9, STRETCH_ROWS) == 2000 and range_count(10**9, 10**7) == 100
+    monkeypatch.setattr("courtside.operators.rankindex.SMALL_RANGES", 5)
+    rows = numbers(spark, 700)
+    index = rank_index(rows, ORDER, 700, f"{tmp_path}/few", 10)
+    assert len(index.ahead) <= 6 and index.total == rows.count()
+    expected = rows.orderBy(*order_columns(ORDER)).offset(320).limit(25).collect()
+    assert index.page(320, 25).collect() == expected
+
+
 def test_empty_order(spark, tmp_path):
     index = rank_index(numbers(spark, 5).limit(0), ORDER, 0, f"{tmp_path}/none")
     assert index.total == 0 and index.page(0, 5).count() == 0
@@ -89,6 +102,14 @@ def test_name_index_equals_a_scan(spark, tmp_path, named, pattern):
     assert index.names().count() == len({name for name in NAMES if name is not None})
 
 
+def test_rows_stay_where_they_are_for_few_names(spark, tmp_path, named):
+    index = NameIndex(spark, f"{tmp_path}/few")
+    index.refresh(named)
+    with session_setting(spark, "spark.sql.autoBroadcastJoinThreshold", "-1"):
+        text = index.matching(named, "a")._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in text and "SortMergeJoin" not in text
+
+
 def test_name_index_without_names(spark, tmp_path, named):
     index = NameIndex(spark, f"{tmp_path}/none")
     assert index.matching(named, "ann").count() == 0
