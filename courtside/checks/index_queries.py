@@ -11,7 +11,7 @@ from courtside.checks.read_queries import LIVE, PLAYOFF, SEASON, TEAM, _page_sql
 from courtside.checks.registry import columns, events, query, table
 from courtside.checks.write_queries import _CASES, STAMP, _merge_sql, base_and_delta
 from courtside.operators import keyvalidity as kv
-from courtside.operators.buckettable import BucketTable
+from courtside.operators.buckettable import BucketTable, buckets_for
 from courtside.operators.countcube import CountCube, insert_deltas, signed, visibility_deltas
 from courtside.operators.merge import merge_rows
 from courtside.operators.nameindex import NameIndex
@@ -185,7 +185,8 @@ def _register_bucketed(short):
         """Two merges into a bucketed table: the first fills it, the second meets its buckets."""
         _, base, batch = base_and_delta(spark, d, short)
         path = scratch_path(spark, f"bucketed-{short}")
-        store = BucketTable(spark, f"bucketed_{path.rsplit('-', 1)[-1]}", path, spec)
+        buckets = buckets_for(base.count() + batch.count())
+        store = BucketTable(spark, f"bucketed_{path.rsplit('-', 1)[-1]}", path, spec, buckets)
         store.create()
         store.upsert(visible(base), STAMP)
         store.upsert(batch, STAMP)

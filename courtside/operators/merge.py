@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from datetime import datetime
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -10,6 +12,10 @@ from courtside.operators.ordered import last_per_key
 from courtside.schemas import TableSpec
 
 
+# Prune values of a batch that are named one by one to the target; with more of them the whole target is joined.
+NAMED_VALUES = 1000
+
+
 class DuplicateKeyError(ValueError):
     """One batch holds the same key more than once."""
 
@@ -69,13 +75,17 @@ def merge_rows(
     Keys and audit columns of an existing row stay as they are, also on soft-deleted rows.
     The default form shuffles both sides once (full outer join on the key).
     ``small_batch`` says the batch is small next to the target: then the target is
-    streamed past the batch twice and Spark broadcasts the batch if its size allows.
+    streamed past the batch twice and Spark broadcasts the batch if its size allows, and the rows of partitions
+    that the batch does not reach pass by unjoined.
     Both forms give the same rows.
     """
     columns = target.columns
     keys, updates = list(spec.keys), set(spec.updates)
     if small_batch:
-        return _merge_streaming(target, batch, keys, updates, columns)
+        reached = _reached(batch, spec)
+        if reached is None:
+            return _merge_streaming(target, batch, keys, updates, columns)
+        return _merge_streaming(target.where(reached), batch, keys, updates, columns).unionByName(target.where(~reached))
     fresh = batch.select(
         *[F.col(k) for k in keys],
         *[F.col(c).alias(f"_new_{c}") for c in columns if c not in keys],
@@ -95,6 +105,21 @@ def _merged(column: str, keys: list[str], updates: set[str], is_new: Column) ->
     return F.when(is_new, incoming).otherwise(current).alias(column)
 
 
+def _reached(batch: DataFrame, spec: TableSpec) -> Column | None:
+    """Rows whose prune columns have values that the batch holds; None where that says nothing.
+
+    A key with a null meets no other key, so such rows are not reached.
+    """
+    kept = [column for column in spec.partition_by if column in spec.keys]
+    found = batch.select(*kept).distinct().limit(NAMED_VALUES + 1).collect() if kept else []
+    if not kept or len(found) > NAMED_VALUES:
+        return None
+    reached = F.lit(False)
+    for values in found:
+        reached = reached | reduce(and_, [F.col(c) == F.lit(v) for c, v in zip(kept, values)])
+    return F.coalesce(reached, F.lit(False))
+
+
 def _merge_streaming(target, batch, keys, updates, columns) -> DataFrame:
     fresh = batch.select(
         *[F.col(k) for k in keys],

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from courtside.checks.write_queries import base_and_delta
-from courtside.operators.buckettable import BucketTable
+from courtside.operators.buckettable import BucketTable, buckets_for
 from courtside.operators.merge import DuplicateKeyError, merge_rows, with_audit
 from courtside.schemas import TOTALS
 from courtside.sources.tables import visible
@@ -55,3 +55,15 @@ def test_a_stored_table_is_found_again_and_refuses_repeated_keys(spark, filled):
     store.upsert(batch.withColumn("points", F.lit(1).cast("bigint")).unionByName(batch), SECOND, "last", ["points"])
     store.upsert(batch.limit(0), SECOND)
     assert store.read().count() == base.select(*TOTALS.keys).unionByName(batch.select(*TOTALS.keys)).distinct().count()
+
+
+def test_merged_rows_keep_one_file_a_bucket_and_leave_no_table(spark, filled):
+    store, _, batch = filled
+    store.upsert(batch, SECOND)
+    files = spark.table(store.name).select("part_season", "part_is_playoff", F.input_file_name().alias("file")).distinct()
+    assert files.groupBy("part_season", "part_is_playoff").count().where(f"count > {store.buckets}").count() == 0
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("merged_")]
+
+
+def test_buckets_grow_with_the_table():
+    assert buckets_for(0) == buckets_for(2_000_000) == 8 and buckets_for(200_000_000) == 800

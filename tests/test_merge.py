@@ -50,6 +50,14 @@ def test_merge_laws(spark, small):
     assert hidden.team_score == 5 and hidden.deleted_at is not None
 
 
+def test_partitions_beyond_a_small_batch_are_not_joined(spark):
+    base = with_audit(shots(spark, range(30)).withColumn("season", F.when(F.col("top") != 4, F.col("season"))), STAMP)
+    delta = with_audit(shots(spark, range(25, 40), score=7, season=2021), LATER)
+    merged = merge_rows(base, delta, SHOTS, small_batch=True)
+    assert "NOT coalesce" in merged._jdf.queryExecution().analyzed().toString()
+    assert sorted(map(str, merged.collect())) == sorted(map(str, merge_rows(base, delta, SHOTS).collect()))
+
+
 def test_stored_table_commits(spark, store):
     assert store.version() == 0 and store.read().count() == 0
     assert store.upsert(shots(spark, range(30)), STAMP) == 1
