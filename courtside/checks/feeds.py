@@ -14,6 +14,8 @@ from courtside.schemas import ADVANCED, SHOTS, TOTALS, TableSpec
 # Fixed values used by the derivations.
 POSITIONS = ["PG", "SG", "SF", "PF", "C"]
 JOB = "stats-api"
+# Lines that a task counts, sorts and stores as wide rows.
+LINES_PER_TASK = 250_000
 
 
 def source(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,7 +49,8 @@ def totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     # Nearly every line is a row of its own, so counting ahead of the shuffle would only fill memory. The narrow lines
     # are dealt out once, in the ranges the table is stored in; neither the counts nor the table need another shuffle.
-    dealt = line.repartitionByRange("season", "is_playoff", "k")
+    # By number, since Spark would join such small ranges to tasks that are large once the rows are wide.
+    dealt = line.repartitionByRange(max(1, -(-line.count() // LINES_PER_TASK)), "season", "is_playoff", "k")
     base = dealt.groupBy("k", "season", "team", "is_playoff").agg(
         F.count(F.lit(1)).alias("g"),
         F.sum("q").alias("q"),
