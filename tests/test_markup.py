@@ -4,7 +4,7 @@ import pytest
 
 from courtside.operators.extract import extract_tables
 from courtside.schemas import TOTALS
-from courtside.sources.markup import parse, shot_tooltips, stat_table
+from courtside.sources.markup import Element, parse, shot_tooltips, stat_table
 
 
 def table(inner: str, table_id: str = "totals_stats") -> str:
@@ -129,3 +129,13 @@ def test_a_failing_page_gets_a_status_row(spark):
     found = {r.page_id: r for r in extract_tables(pages, TOTALS).collect()}
     assert found[1].status == "error" and "KeyError" in found[1].message and found[1].rows == []
     assert found[2].status == "ok" and found[2].message is None
+
+
+def test_an_id_is_found_escaped_and_attributes_of_others_stay_unread(monkeypatch):
+    page = '<div id="a&#108;l_x"><table id="t"><tr class="r"><td title="none">1<td>2</table></div>'
+    assert [row["cells"] for row in stat_table(page, "t", "all_x")["rows"]] == [["1", "2"]]
+    read = []
+    attrs = Element.attrs.fget
+    monkeypatch.setattr(Element, "attrs", property(lambda element: read.append(element.tag) or attrs(element)))
+    stat_table('<p title="z"></p><div id="all_x"><table id="t"><tr><td title="none">1</table></div>', "t", "all_x")
+    assert "p" not in read and "td" not in read
