@@ -40,7 +40,8 @@ def test_extraction_has_no_shuffle_of_pages(spark, sf_dir):
     assert "Exchange" not in after_read and "SortMergeJoin" not in text
 
 
-def test_season_tables_are_dealt_out_once(spark, sf_dir):
+def test_season_tables_are_dealt_out_once(spark, sf_dir, monkeypatch):
+    monkeypatch.setattr(feeds, "LINES_PER_TASK", 1000)
     text = feeds.totals(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert text.count("Exchange") == 1 and "rangepartitioning(season" in text
 
