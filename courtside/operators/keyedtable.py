@@ -12,19 +12,26 @@ import json
 import time
 import uuid
 from datetime import datetime
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from courtside.operators.merge import merge_rows, unique_batch, with_audit
+from courtside.operators.merge import merge_ranges, unique_batch, with_audit
 from courtside.operators.statquery import StatQuery
 from courtside.schemas import TableSpec
 from courtside.sources.tables import empty_table, visible
-from courtside.workspace import create_once, hadoop_path, names_in, read_small
+from courtside.workspace import create_once, hadoop_path, names_in, read_small, session_setting
 
 BUCKET = "key_bucket"
 # A marker is a few bytes written at once; one still unreadable after this long has lost its writer.
 MARKER_WAIT_S = 10.0
 ATTEMPTS = 20
+# What a task reads of a batch: a few hundred thousand wide rows, which it sorts or deals out in memory.
+READ_BYTES = 16 << 20
+# A batch that comes in order is written where it lies if its files hold so many rows on average.
+ROWS_PER_FILE = 20_000
+_READ = "spark.sql.files.maxPartitionBytes"
 
 
 class IncompleteCommitError(RuntimeError):
@@ -139,23 +146,38 @@ class KeyedTable:
         stage = f"{self.root}/staging/{name}"
         fresh = with_audit(batch.select(*self.spec.names, *self._extra(batch, order)), stamp)
         fresh = fresh.withColumn(BUCKET, self._bucket())
-        fresh.write.parquet(stage)
+        fresh.write.option("parquet.block.size", READ_BYTES).parquet(stage)
         fresh = self.spark.read.schema(fresh.schema).parquet(stage)
         try:
-            touched = {tuple(row) for row in fresh.select(*self.parts).distinct().collect()}
-            if not touched:
-                return self.version()
-            # Checked on the staged rows, so the error leaves the table as it was.
-            fresh = unique_batch(fresh, self.spec, on_duplicate, order).select(*self.spec.schema.names)
-            for attempt in range(ATTEMPTS):
-                number = self._attempt(fresh, touched, f"{name}-{attempt}", commit, stream)
-                if number is not None:
-                    return number
+            with session_setting(self.spark, _READ, str(READ_BYTES)):
+                touched = self._spread(fresh)
+                if not touched:
+                    return self.version()
+                # Checked on the staged rows, so the error leaves the table as it was.
+                fresh = unique_batch(fresh, self.spec, on_duplicate, order, sum(rows for rows, _ in touched.values()))
+                if on_duplicate != "error":  # shuffled by key, so in no order
+                    touched = {part: (rows, rows) for part, (rows, _) in touched.items()}
+                for attempt in range(ATTEMPTS):
+                    number = self._attempt(fresh, touched, f"{name}-{attempt}", commit, stream)
+                    if number is not None:
+                        return number
             raise RuntimeError(f"{self.root}: other writers were first {ATTEMPTS} times")
         finally:
             self._delete(stage)
 
-    def _attempt(self, fresh: DataFrame, touched: set, name: str, commit: int | None, stream: str) -> int | None:
+    def _spread(self, fresh: DataFrame) -> dict[tuple, tuple[int, int]]:
+        """Partition -> rows of the batch, and files they make if each task writes what it reads."""
+        files = fresh.groupBy(*self.parts, F.spark_partition_id().alias("_task")).agg(F.count(F.lit(1)).alias("_rows"))
+        found = files.groupBy(*self.parts).agg(F.sum("_rows"), F.count(F.lit(1))).collect()
+        return {tuple(row)[:-2]: tuple(row)[-2:] for row in found}
+
+    def _among(self, rows: DataFrame, places: list[tuple], how: str) -> DataFrame:
+        """The rows in ("left_semi") or outside ("left_anti") the partitions."""
+        kinds = T.StructType([field for field in self._listing.fields if field.name in self.parts])
+        named = F.broadcast(self.spark.createDataFrame(places, kinds))
+        return rows.join(named, reduce(and_, [rows[c].eqNullSafe(named[c]) for c in self.parts]), how)
+
+    def _attempt(self, fresh: DataFrame, touched: dict, name: str, commit: int | None, stream: str) -> int | None:
         """Merge on top of the newest commit; None if another writer published meanwhile."""
         current = self.version()
         streams = dict(self._marker(current)["streams"])
@@ -165,15 +187,24 @@ class KeyedTable:
             streams[stream] = commit
         held = self._places(current)
         key = lambda row: tuple(row[part] for part in self.parts)
-        merged = merge_rows(self._scan([row for row in held if key(row) in touched]), fresh, self.spec)
-        (
-            merged.withColumn(BUCKET, self._bucket())
-            # Rebalance groups by partition and lets AQE split an oversized one; files are sorted by key.
-            .hint("rebalance", *[F.col(part) for part in self.parts])
-            .sortWithinPartitions(*self.parts, *[k for k in self.spec.keys if k not in self.parts])
-            .write.partitionBy(*self.parts)
-            .parquet(f"{self.root}/data/commit={name}")
-        )
+        met = [row for row in held if key(row) in touched]
+        order = [*self.parts, *[k for k in self.spec.keys if k not in self.parts]]
+        columns = [*self.spec.schema.names, BUCKET]
+        batch, total = fresh.select(*columns), sum(rows for rows, _ in touched.values())
+        target = self._scan(met).withColumn(BUCKET, self._bucket()).select(*columns) if met else None
+        stored = target.count() if met else 0
+        known = [key(row) for row in met]
+        new = [touched[part] for part in touched.keys() - set(known)]
+        written = []
+        # New partitions have nothing to merge with, so rows that come in order need no shuffle.
+        if new and sum(rows for rows, _ in new) >= ROWS_PER_FILE * sum(files for _, files in new):
+            alone = self._among(batch, known, "left_anti") if met else batch
+            written.append(alone.sortWithinPartitions(*order))
+            batch, total = self._among(batch, known, "left_semi") if met else None, sum(touched[part][0] for part in known)
+        if batch is not None:
+            written.append(merge_ranges(target, batch, self.spec, order, total + stored))
+        for rows in written:  # sorted by partition and key
+            rows.write.mode("append").partitionBy(*self.parts).parquet(f"{self.root}/data/commit={name}")
         kept = [tuple(row) for row in held if key(row) not in touched]
         listing = kept + [(*parts, current + 1, name) for parts in sorted(touched, key=repr)]
         frame = self.spark.createDataFrame(listing, self._listing)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime
 from functools import reduce
-from operator import and_
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -14,14 +14,29 @@ from courtside.schemas import TableSpec
 
 # Prune values of a batch that are named one by one to the target; with more of them the whole target is joined.
 NAMED_VALUES = 1000
+# Keys, and wide rows, that a task holds in memory at ease.
+KEYS_PER_TASK, ROWS_PER_TASK = 500_000, 250_000
 
 
 class DuplicateKeyError(ValueError):
     """One batch holds the same key more than once."""
 
 
-def duplicate_keys(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Keys that occur more than once, with their counts (partial counts before the shuffle)."""
+def dealt_keys(rows: DataFrame, keys: list[str], total: int) -> DataFrame:
+    """The bare keys of about ``total`` rows, all rows of a key in one task, for keys that seldom repeat.
+
+    Counting such keys ahead of a shuffle fills memory and makes the rows no fewer. They are dealt out by number, since
+    Spark would join ranges that are small when compressed to tasks whose counts spill.
+    """
+    return rows.select(*keys).repartition(max(1, -(-total // KEYS_PER_TASK)), *keys)
+
+
+def duplicate_keys(rows: DataFrame, keys: list[str], total: int | None = None) -> DataFrame:
+    """Keys that occur more than once, with their counts.
+
+    Partial counts go before the shuffle, unless ``total`` says how many rows there are whose keys seldom repeat.
+    """
+    rows = rows if total is None else dealt_keys(rows, keys, total)
     return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("copies")).filter("copies > 1")
 
 
@@ -45,7 +60,11 @@ def split_duplicate_batches(
 
 
 def unique_batch(
-    batch: DataFrame, spec: TableSpec, on_duplicate: str = "error", order: list[str] | None = None
+    batch: DataFrame,
+    spec: TableSpec,
+    on_duplicate: str = "error",
+    order: list[str] | None = None,
+    total: int | None = None,
 ) -> DataFrame:
     if on_duplicate == "last":
         if not order:
@@ -53,7 +72,7 @@ def unique_batch(
         return last_of_duplicates(batch, list(spec.keys), order)
     if on_duplicate != "error":
         raise ValueError(f"unknown duplicate policy: {on_duplicate}")
-    clash = duplicate_keys(batch, list(spec.keys)).limit(1).collect()
+    clash = duplicate_keys(batch, list(spec.keys), total).limit(1).collect()
     if clash:
         raise DuplicateKeyError(f"{spec.name}: key occurs more than once: {clash[0].asDict()}")
     return batch
@@ -96,6 +115,35 @@ def merge_rows(
     return joined.select(*[_merged(c, keys, updates, F.col("_in_target").isNull()) for c in columns])
 
 
+def merge_ranges(target: DataFrame | None, batch: DataFrame, spec: TableSpec, order: list[str], total: int) -> DataFrame:
+    """The rows of ``merge_rows`` for sides with unique keys, sorted by ``order`` inside ranges of it.
+
+    ``order`` is the whole key and columns that follow from it, ``total`` about the rows of both sides. The rows are
+    shuffled once, into the ranges a sorted table is written in; a join would shuffle and sort them before that again.
+    Without a target the batch is only dealt out.
+    """
+    tasks = max(1, -(-total // ROWS_PER_TASK))
+    if target is None:
+        return batch.repartitionByRange(tasks, *order).sortWithinPartitions(*order)
+    columns, keys, updates = target.columns, set(spec.keys), set(spec.updates)
+    both = target.withColumn("_in_batch", F.lit(False)).unionByName(batch.withColumn("_in_batch", F.lit(True)))
+    # A key with a null meets no other, so each such row is a group of its own.
+    alone = F.when(reduce(or_, [F.col(k).isNull() for k in spec.keys]), F.monotonically_increasing_id())
+    replaced = [c for c in columns if c in updates and c not in order]
+    carried = [c for c in columns if c not in updates and c not in keys and c not in order]
+    merged = (
+        both.repartitionByRange(tasks, *order)
+        .withColumn("_alone", alone)
+        .groupBy(*order, "_alone")
+        .agg(
+            F.max_by(F.struct(*replaced), "_in_batch").alias("_replaced"),
+            F.min_by(F.struct(*carried), "_in_batch").alias("_carried"),
+        )
+    )
+    place = {c: F.col("_replaced")[c] for c in replaced} | {c: F.col("_carried")[c] for c in carried}
+    return merged.select(*[place.get(c, F.col(c)).alias(c) for c in columns]).sortWithinPartitions(*order)
+
+
 def _merged(column: str, keys: list[str], updates: set[str], is_new: Column) -> Column:
     if column in keys:
         return F.col(column)

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from courtside.operators.keyedtable import KeyedTable
-from courtside.operators.merge import DuplicateKeyError, merge_rows, split_duplicate_batches, with_audit
+from courtside.operators.merge import DuplicateKeyError, duplicate_keys, merge_ranges, merge_rows, split_duplicate_batches, with_audit
 from courtside.operators.statquery import StatQuery
 from courtside.schemas import SHOTS
 
@@ -143,3 +143,51 @@ def test_reads_prune_partitions_and_vacuum_keeps_newest(spark, store):
     assert {r.team_score for r in store.read().collect()} == {3}
     with pytest.raises(Exception):
         store.read(1).collect()
+
+
+def test_a_sorted_merge_shuffles_once_and_gives_the_same_rows(spark, monkeypatch):
+    from courtside.operators import merge
+
+    monkeypatch.setattr(merge, "ROWS_PER_TASK", 10)
+    nameless = F.when(F.col("top") % 10 != 4, F.col("player_id"))
+    base = with_audit(shots(spark, range(30)), STAMP).withColumn("player_id", nameless)
+    base = base.withColumn("deleted_at", F.when(F.col("top") == 27, F.col("created_at")))
+    delta = with_audit(shots(spark, range(20, 40), score=7), LATER).withColumn("player_id", nameless)
+    delta = delta.withColumn("team", F.when(F.col("top") != 25, F.col("team")))
+    order = ["season", *[k for k in SHOTS.keys if k != "season"]]
+    merged = merge_ranges(base, delta, SHOTS, order, 50)
+    plan = merged._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "rangepartitioning(season" in plan and merged.rdd.getNumPartitions() > 1
+    assert sorted(map(str, merged.collect())) == sorted(map(str, merge_rows(base, delta, SHOTS).collect()))
+    assert sorted(map(str, merge_ranges(None, delta, SHOTS, order, 20).collect())) == sorted(map(str, delta.collect()))
+
+
+def test_bare_keys_are_dealt_out_by_number(spark, monkeypatch):
+    from courtside.operators import merge
+
+    monkeypatch.setattr(merge, "KEYS_PER_TASK", 10)
+    rows = spark.createDataFrame([(i % 33, None if i % 11 == 0 else "x", "wide") for i in range(35)], "a int, b string, c string")
+    found = duplicate_keys(rows, ["a", "b"], total=35)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and plan.rindex("partial_count") < plan.index("Exchange") and "REPARTITION_BY_NUM" in plan
+    assert sorted(map(str, found.collect())) == sorted(map(str, duplicate_keys(rows, ["a", "b"]).collect()))
+    assert {tuple(r) for r in found.collect()} == {(0, None, 2), (1, "x", 2)}
+
+
+@pytest.mark.parametrize("rows_per_file", [1, 1000])
+def test_new_partitions_of_an_ordered_batch_are_written_where_they_lie(spark, store, monkeypatch, rows_per_file):
+    from courtside.operators import keyedtable
+
+    given, real = [], keyedtable.merge_ranges
+    monkeypatch.setattr(keyedtable, "ROWS_PER_FILE", rows_per_file)
+    monkeypatch.setattr(keyedtable, "merge_ranges", lambda *args: given.append(args[1].count()) or real(*args))
+    store.upsert(shots(spark, range(30), season=2020), STAMP)
+    batch = shots(spark, range(25, 40), score=7, season=2020).unionByName(shots(spark, range(20), score=8, season=2021))
+    assert store.upsert(batch, LATER) == 2
+    assert given == ([15] if rows_per_file == 1 else [30, 35])
+    found = {(r.season, r.top): (r.team_score, r.created_at) for r in store.read().collect()}
+    assert store.read().count() == len(found) == 60
+    assert found == {
+        **{(2020, i): (1 if i < 25 else 7, STAMP if i < 30 else LATER) for i in range(40)},
+        **{(2021, i): (8, LATER) for i in range(20)},
+    }
