@@ -11,6 +11,7 @@ from courtside.checks.registry import columns, customers, events, query, stored_
 from courtside.operators import credentials as cred
 from courtside.operators.keyedtable import KeyedTable
 from courtside.operators.merge import (
+    dealt_keys,
     duplicate_keys,
     last_of_duplicates,
     merge_actions,
@@ -160,7 +161,7 @@ def unique_keys_audit(spark, d):
     keyed = [(spec.name, _full(spark, d, short), list(spec.keys)) for short, (spec, *_) in _CASES.items()]
     keyed.append(("api_keys", feeds.credentials(spark, d), ["hash"]))
     audits = [
-        rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(
+        dealt_keys(rows, keys, rows.count()).groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(
             F.count(F.lit(1)).alias("keys"), F.count_if(F.col("n") > 1).alias("repeated")
         ).select(F.lit(name).alias("table_name"), "keys", "repeated")
         for name, rows, keys in keyed
