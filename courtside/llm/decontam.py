@@ -2,7 +2,9 @@
 
 The index is stored as Parquet in the shared folder, one row per segment of some MB of text:
 the segment's terms (64-bit hashes, sorted), for each its postings (word positions, documents laid end
-to end with a gap between them), and the documents' places. A test window is looked up segment
+to end with a gap between them), and the documents' places. Terms and postings are plain bytes, and a
+row group holds a few segments only: readers decode whole row groups at once, and lists with their
+levels took several times their size there. A test window is looked up segment
 by segment: windows with a term the segment lacks go at once; the others start from the
 postings of their rarest term there, shifted by the term's place in the window, and are
 intersected with the shifted postings of the next rarer terms until none or whole phrases are left.
@@ -27,12 +29,16 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from courtside.llm.shared import chunks, fresh, source
-from courtside.workspace import scratch_path
+from courtside.workspace import scratch_path, session_setting, staged
 
 WINDOW = 13
 # Text per index segment and test text per block, in bytes.
 SEGMENT_BYTES = 2 << 20
 BLOCK_BYTES = 8 << 20
+# Index rows that are written and read at a time, in bytes as stored; one segment at least.
+ROW_GROUP_BYTES = 8 << 20
+# Rows that go to a Python worker at a time; the executor holds such a batch several times over.
+BATCH_SETTING, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20
 
 # On lower-cased UTF-8 bytes: every character but ASCII ones that are no letter or digit.
 _WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
@@ -40,13 +46,14 @@ _WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 _INDEX_FIELDS = [
     ("segment", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("row_hashes", pa.list_(pa.int64())),
     ("starts", pa.list_(pa.int32())), ("n_words", pa.list_(pa.int32())),
-    ("terms", pa.list_(pa.int64())), ("ends", pa.list_(pa.int32())), ("positions", pa.list_(pa.int32())),
+    ("terms", pa.binary()), ("ends", pa.binary()), ("positions", pa.binary()),
 ]
 _INDEX = pa.schema(_INDEX_FIELDS)
 _INDEX_DDL = (
     "segment bigint, doc_ids array<bigint>, row_hashes array<bigint>, starts array<int>, n_words array<int>, "
-    "terms array<bigint>, ends array<int>, positions array<int>"
+    "terms binary, ends binary, positions binary"
 )
+_PLAIN = {"terms": np.dtype("<i8"), "ends": np.dtype("<i4"), "positions": np.dtype("<i4")}
 
 
 def words_of(text: bytes | None) -> list[bytes]:
@@ -87,9 +94,8 @@ def _segment(number: int, part: pa.RecordBatch) -> pa.RecordBatch:
         pa.array([starts], pa.list_(pa.int32())),
         pa.array([counts], pa.list_(pa.int32())),
     ]
-    for values, kind in ((hashes[rank], pa.int64()), (ends, pa.int32()), ((first + within)[order], pa.int32())):
-        flat = pa.array(values, kind)
-        columns.append(pa.ListArray.from_arrays(pa.array([0, len(flat)], pa.int32()), flat))
+    for name, values in (("terms", hashes[rank]), ("ends", ends), ("positions", (first + within)[order])):
+        columns.append(pa.array([values.astype(_PLAIN[name]).tobytes()], pa.binary()))
     return pa.RecordBatch.from_arrays(columns, schema=_INDEX)
 
 
@@ -108,35 +114,68 @@ def build_index(docs: DataFrame, path: str) -> DataFrame:
     rows = docs.select(
         F.col("doc_id").cast("bigint"), F.xxhash64("text").alias("row_hash"), "text", F.spark_partition_id().alias("task")
     )
-    rows.mapInArrow(build, _INDEX_DDL).write.option("compression", "zstd").parquet(path)
+    # Sizes are looked at after each row: a row is a segment, and the writer's own first look is at the 100th.
+    stored = {
+        "compression": "zstd", "parquet.enable.dictionary": "false", "parquet.block.size": str(ROW_GROUP_BYTES),
+        "parquet.page.size.row.check.min": "1", "parquet.page.size.row.check.max": "1",
+    }
+    with session_setting(docs.sparkSession, BATCH_SETTING, str(BATCH_BYTES)):
+        rows.mapInArrow(build, _INDEX_DDL).write.options(**stored).parquet(path)
     return docs.sparkSession.read.parquet(path)
 
 
 @dataclass
 class TestBlock:
-    """Distinct windows of some items, as term numbers; shorter items have shorter windows."""
+    """Distinct windows of some items, as stretches of the items' words; shorter items have shorter windows."""
 
     terms: np.ndarray  # sorted term hashes
-    windows: np.ndarray  # n x WINDOW term numbers, -1 where a window is shorter
+    words: np.ndarray  # term numbers of all words, item after item
+    starts: np.ndarray  # of each window, the place in words
     lengths: np.ndarray
-    items: list[list[int]]  # the items each window comes from
+    items: np.ndarray  # the items the windows come from, window after window
+    ends: np.ndarray  # of each window, the place in items
+
+    def window(self, number: int) -> np.ndarray:
+        return self.words[self.starts[number] : self.starts[number] + self.lengths[number]]
+
+    def held_by(self, number: int) -> list[int]:
+        return self.items[self.ends[number - 1] if number else 0 : self.ends[number]].tolist()
 
 
 def test_block(items: list[tuple[int, str]], window: int = WINDOW) -> TestBlock:
-    found: dict[tuple[bytes, ...], list[int]] = {}
-    for item_id, text in items:
-        words = words_of(text.encode()) if text else []
-        for start in range(max(len(words) - window + 1, min(len(words), 1))):
-            holders = found.setdefault(tuple(words[start : start + window]), [])
-            if item_id not in holders:
-                holders.append(item_id)
-    codes = {w: term_hash(w) for key in found for w in key}
-    terms = np.unique(np.fromiter(codes.values(), dtype=np.int64, count=len(codes)))
-    number = {w: int(np.searchsorted(terms, code)) for w, code in codes.items()}
-    windows = np.full((len(found), window), -1, dtype=np.int64)
-    for row, key in enumerate(found):
-        windows[row, : len(key)] = [number[w] for w in key]
-    return TestBlock(terms, windows, (windows >= 0).sum(axis=1), list(found.values()))
+    codes: dict[bytes, int] = {}
+    put = codes.setdefault
+    texts = [np.empty(0, dtype=np.int32)]
+    for _, text in items:
+        held = words_of(text.encode()) if text else []
+        texts.append(np.fromiter((put(w, len(codes)) for w in held), dtype=np.int32, count=len(held)))
+    hashes = np.fromiter(map(term_hash, codes), dtype=np.int64, count=len(codes))
+    terms, number = np.unique(hashes, return_inverse=True)
+    words = number.astype(np.int32)[np.concatenate(texts)]
+    counts = np.array([len(t) for t in texts[1:]], dtype=np.int64)
+    windows = np.maximum(counts - window + 1, np.minimum(counts, 1))
+    firsts = np.cumsum(counts) - counts - (np.cumsum(windows) - windows)
+    starts = np.repeat(firsts, windows) + np.arange(windows.sum())
+    lengths = np.repeat(np.minimum(counts, window), windows)
+    holders = np.repeat(np.array([i for i, _ in items], dtype=np.int64), windows)
+
+    # Equal windows come together by a hash of their terms, and count as one if they are equal word by word.
+    marks = lengths.astype(np.uint64)
+    for offset in range(window):
+        inside = np.flatnonzero(lengths > offset)
+        marks[inside] = marks[inside] * np.uint64(0x9E3779B97F4A7C15) + terms[words[starts[inside] + offset]].view(np.uint64)
+    order = np.argsort(marks, kind="stable")
+    starts, lengths, holders = starts[order], lengths[order], holders[order]
+    again = np.zeros(len(order), dtype=bool)
+    again[1:] = lengths[1:] == lengths[:-1]
+    for offset in range(window):
+        inside = np.flatnonzero(again & (lengths > offset))
+        again[inside] = words[starts[inside] + offset] == words[starts[inside - 1] + offset]
+    heads = np.flatnonzero(~again)
+    kept = ~again
+    kept[1:] |= holders[1:] != holders[:-1]
+    ends = np.cumsum(kept)[np.append(heads[1:], len(order)) - 1] if len(heads) else np.empty(0, dtype=np.int64)
+    return TestBlock(terms, words, starts[heads].astype(np.int32), lengths[heads].astype(np.int32), holders[kept], ends)
 
 
 class _Segment:
@@ -161,13 +200,20 @@ def _present(values: np.ndarray, among: np.ndarray) -> np.ndarray:
     return among[at] == values
 
 
+def _candidates(segment: _Segment, block: TestBlock) -> list[int]:
+    """The windows of which the segment has all terms."""
+    lacking = np.zeros(len(block.words) + 1, dtype=np.int32)
+    np.cumsum(segment.counts[block.words] == 0, out=lacking[1:])
+    return np.flatnonzero(lacking[block.starts + block.lengths] == lacking[block.starts]).tolist()
+
+
 def phrase_starts(segment: _Segment, block: TestBlock) -> Iterator[tuple[int, np.ndarray]]:
     """(window, word positions where it starts) for the windows that occur in the segment."""
-    counts = np.where(block.windows >= 0, segment.counts[block.windows], np.iinfo(np.int64).max)
-    for window in np.flatnonzero(counts.min(axis=1) > 0).tolist():
+    for window in _candidates(segment, block):
+        terms = block.window(window)
         starts = None
-        for offset in np.argsort(counts[window], kind="stable")[: block.lengths[window]].tolist():
-            shifted = segment.postings(block.windows[window, offset]).astype(np.int64) - offset
+        for offset in np.argsort(segment.counts[terms], kind="stable").tolist():
+            shifted = segment.postings(terms[offset]).astype(np.int64) - offset
             starts = shifted if starts is None else starts[_present(starts, shifted)]
             if not len(starts):
                 break
@@ -180,10 +226,9 @@ def near_starts(segment: _Segment, block: TestBlock, span: int) -> Iterator[tupl
 
     Stretches begin at a word of the window and are the shortest from there.
     """
-    counts = np.where(block.windows >= 0, segment.counts[block.windows], np.iinfo(np.int64).max)
-    for window in np.flatnonzero(counts.min(axis=1) > 0).tolist():
+    for window in _candidates(segment, block):
         needed: dict[int, int] = {}
-        for term in block.windows[window, : block.lengths[window]].tolist():
+        for term in block.window(window).tolist():
             needed[term] = needed.get(term, 0) + 1
         rarest = segment.postings(min(needed, key=lambda t: segment.counts[t])).astype(np.int64)
         lists = {t: segment.postings(t).astype(np.int64) for t in needed}
@@ -216,11 +261,15 @@ def near_starts(segment: _Segment, block: TestBlock, span: int) -> Iterator[tupl
 
 def _numpy_rows(batch: pa.RecordBatch, names: list[str]) -> Iterator[dict[str, np.ndarray]]:
     for i in range(batch.num_rows):
-        yield {name: batch.column(name)[i].values.to_numpy(zero_copy_only=False) for name in names}
+        held = {name: batch.column(name)[i] for name in names}
+        yield {
+            name: np.frombuffer(value.as_buffer(), dtype=_PLAIN[name]) if name in _PLAIN else value.values.to_numpy(zero_copy_only=False)
+            for name, value in held.items()
+        }
 
 
 def _search(index: DataFrame, block: TestBlock, span: int | None) -> DataFrame:
-    """(segment, ordinal, hit_words, items) for documents of the index with a match of the block."""
+    """(segment, ordinal, hit_words, items) for documents of the index with a match of the block, in the shared folder."""
     sent = index.sparkSession.sparkContext.broadcast(block)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -239,7 +288,7 @@ def _search(index: DataFrame, block: TestBlock, span: int | None) -> DataFrame:
                         if span is not None and start + 1 > row["n_words"][document]:
                             continue
                         hits.setdefault(document, set()).update(range(start, start + length))
-                        items.setdefault(document, set()).update(block.items[window])
+                        items.setdefault(document, set()).update(block.held_by(window))
                 found = sorted(hits)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([number] * len(found), pa.int64()), pa.array(found, pa.int32()),
@@ -249,7 +298,11 @@ def _search(index: DataFrame, block: TestBlock, span: int | None) -> DataFrame:
                 )
 
     ddl = "segment bigint, ordinal int, hit_words array<int>, items array<bigint>"
-    return index.select("segment", "starts", "n_words", "terms", "ends", "positions").mapInArrow(search, ddl)
+    found = index.select("segment", "starts", "n_words", "terms", "ends", "positions").mapInArrow(search, ddl)
+    with session_setting(index.sparkSession, BATCH_SETTING, str(BATCH_BYTES)):
+        hits = staged(found, "benchmark-hits")
+    sent.destroy()
+    return hits
 
 
 def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:

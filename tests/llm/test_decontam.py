@@ -1,6 +1,9 @@
+import glob
+import pickle
 import re
 import random
 
+import pyarrow.parquet as pq
 import pytest
 
 from courtside.llm import decontam
@@ -81,3 +84,33 @@ def test_stage_drops_contaminated_rows_only(spark, sf_dir):
     item = spark.read.parquet(f"{sf_dir}/benchmark.parquet").first().text
     docs = documents(spark, [f"before it {item} and after", "clean words only", None, ""])
     assert sorted(r.doc_id for r in decontam.stage(spark, docs, sf_dir).collect()) == [1, 2, 3]
+
+
+def test_a_row_group_of_the_index_is_bounded(spark):
+    rng = random.Random(6)
+    vocabulary = [f"t{i}" for i in range(20_000)]
+    texts = [" ".join(rng.choices(vocabulary, k=370_000)) for _ in range(12)]
+    path = scratch_path(spark, "index")
+    index = decontam.build_index(documents(spark, texts).coalesce(1), path)
+    assert index.count() == len(texts)
+    groups = [file.row_group(i) for f in glob.glob(f"{path}/*.parquet") for file in [pq.ParquetFile(f).metadata] for i in range(file.num_row_groups)]
+    assert len(groups) > 1
+    for group in groups:
+        assert sum(group.column(c).total_uncompressed_size for c in range(group.num_columns)) <= 2 * decontam.ROW_GROUP_BYTES
+        assert max(group.column(c).num_values for c in range(group.num_columns)) <= 1000
+    words = " ".join(texts[7].split()[5000:5020])
+    found = decontam.matches(index, spark.createDataFrame([(1, words)], "item_id bigint, text string")).collect()
+    assert {r.doc_id: (sorted(r.hit_words), r.items) for r in found if r.items} == {7: (list(range(5000, 5020)), [1])}
+
+
+def test_a_block_of_windows_takes_a_few_bytes_a_word():
+    rng = random.Random(7)
+    items = [(i, " ".join(f"t{rng.randrange(3000)}" for _ in range(60))) for i in range(2000)]
+    block = decontam.test_block([*items, (2000, items[5][1]), (2001, "t1"), (2002, ""), (2003, "t1 t2")])
+    assert len(block.starts) == 2000 * 48 + 2
+    assert len(pickle.dumps(block)) <= 40 * len(block.words)
+    held = {tuple(block.terms[block.window(n)].tolist()): block.held_by(n) for n in range(len(block.starts))}
+    term = [decontam.term_hash(w.encode()) for w in items[5][1].split()]
+    assert all(held[tuple(term[i : i + 13])] == [5, 2000] for i in range(48))
+    assert held[(decontam.term_hash(b"t1"),)] == [2001]
+    assert held[(decontam.term_hash(b"t1"), decontam.term_hash(b"t2"))] == [2003]
